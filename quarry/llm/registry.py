@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import minhash_dedup
+from quarry.llm import decontamination, minhash_dedup
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+}
