@@ -36,35 +36,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _from(a: Column, first: Column | int, n: Column) -> Column:
-    """The part of an array from a first index on, n elements at most and none where n is negative."""
-    return F.slice(a, first, F.greatest(n, F.lit(0)))
+def _grams(column: str, k: int) -> Column:
+    """Hashes of the k-grams of an array of word hashes that is a column of its own; the last k - 1 are of fewer words."""
+    return F.transform(column, lambda x, i: F.xxhash64(x, *[F.get(column, i + j) for j in range(1, k)]))
 
 
-def _gram_hashes(hashes: Column, k: int) -> Column:
-    """Hashes of all k-grams of an array of word hashes, each made from two shorter ones; the array has no null."""
-    made, width = hashes, 1
-    while width < k:
-        step = min(width, k - width)
-        n = F.size(made) - step
-        made = F.zip_with(_from(made, 1, n), _from(made, step + 1, n), lambda x, y: F.xxhash64(x, y))
-        width += step
-    return made
+def _lows(column: str, width: int) -> Column:
+    """The smallest of each value and the width - 1 values after it."""
+    return F.transform(column, lambda x, i: F.least(x, *[F.get(column, i + j) for j in range(1, width)])) if width > 1 else F.col(column)
 
 
-def _sliding(values: Column, width: int, pick) -> Column:
-    """pick (least or greatest) over the windows of values; windows at the end are shorter, all have one value at least."""
-    made, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        made = F.zip_with(made, _from(made, step + 1, F.size(made)), lambda x, y: pick(x, y))
-        have += step
-    return made
+def with_fingerprints(texts: DataFrame, window_words: int = WINDOW_WORDS, k: int = GRAM_WORDS) -> DataFrame:
+    """texts (words) with hashes, grams and marks: the distinct smallest k-gram hash of every window of k-grams.
 
-
-def fingerprints(gram_hashes: Column, window_words: int = WINDOW_WORDS, k: int = GRAM_WORDS) -> Column:
-    """The winnowed fingerprints: the distinct smallest k-gram hashes of all windows."""
-    return F.array_distinct(_sliding(gram_hashes, window_words - k + 1, F.least))
+    Each step is a column of its own, so no step is computed more than once; explode_outer keeps Spark from adding a
+    filter on the exploded array, which it would push below the steps, with all of them inside it."""
+    hashed = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("grams", _grams("hashes", k)).withColumn("lows", _lows("grams", window_words - k + 1)).withColumn("marks", F.array_distinct("lows")).drop("lows")
 
 
 def _windows(n: int) -> Column:
@@ -77,47 +65,49 @@ def contamination_spans(docs: DataFrame, items: DataFrame, window_words: int = W
     texts = docs.select("text").where("text is not null").withColumn("text_key", F.md5(F.col("text").cast("binary")))
     # item_id and words; long items have one row for each window, short ones a single row
     lists = items.where("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    windows = lists.where(F.size("words") >= window_words).select("item_id", F.explode(_windows(window_words)).alias("window")).withColumn("n", F.lit(window_words))
+    windows = lists.where(F.size("words") >= window_words).select("item_id", F.explode_outer(_windows(window_words)).alias("window")).withColumn("n", F.lit(window_words))
     short = lists.where(F.size("words") < window_words).select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("n"))
     windows = materialize(windows.unionByName(short).distinct(), "leak-windows")
     n_windows = windows.count()
     lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # ten numbers at most
 
-    hashed = texts.select("text_key", words(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    item_hashes = lists.where(F.size("words") >= window_words).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    marks = item_hashes.select(F.explode(fingerprints(_gram_hashes(F.col("hashes"), k), window_words, k)).alias("mark")).distinct()
-    marks = materialize(marks, "leak-marks")
+    tokens = texts.select("text_key", words(F.col("text")).alias("words"))
+    long_items = lists.where(F.size("words") >= window_words)
+    marks = materialize(with_fingerprints(long_items, window_words, k).select(F.explode_outer("marks").alias("mark")).distinct(), "leak-marks")
     found = []
     if window_words in lengths:
-        own = hashed.select("text_key", F.explode(fingerprints(_gram_hashes(F.col("hashes"), k), window_words, k)).alias("mark"))
+        own = with_fingerprints(tokens, window_words, k).select("text_key", F.explode_outer("marks").alias("mark"))
         found.append(own.join(broadcast_if_small(marks, marks.count(), BROADCAST_ROWS), "mark", "left_semi").withColumn("n", F.lit(window_words)))
     for n in (n for n in lengths if n < window_words):
-        keys = windows.where(F.col("n") == n).select(F.split("window", " ").alias("words")).select(_gram_hashes(F.transform("words", lambda w: F.xxhash64(w)), n)[0].alias("mark")).distinct()
-        own = hashed.select("text_key", F.explode(F.array_distinct(_gram_hashes(F.col("hashes"), n))).alias("mark"))
+        keys = windows.where(F.col("n") == n).select(F.split("window", " ").alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+        keys = keys.withColumn("grams", _grams("hashes", n)).select(F.element_at("grams", 1).alias("mark")).distinct()
+        own = tokens.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("grams", _grams("hashes", n))
+        own = own.select("text_key", F.explode_outer(F.array_distinct("grams")).alias("mark"))
         found.append(own.join(broadcast_if_small(keys, n_windows, BROADCAST_ROWS), "mark", "left_semi").withColumn("n", F.lit(n)))
     if not found:
         none = texts.select("text_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n"))
         return none.where("false")
     hits = materialize(reduce(DataFrame.unionByName, found).distinct(), "leak-hits")
-    hit_texts = hits.groupBy("text_key").agg(F.collect_set(F.struct("n", "mark")).alias("marks"))
-    n_hit = hits.select("text_key").distinct().count()
+    hit_texts = materialize(hits.groupBy("text_key").agg(F.collect_set(F.struct("n", "mark")).alias("all_marks")), "leak-texts")
+    n_hit = hit_texts.count()
 
-    # of the texts that share a fingerprint, the windows that contain one, word for word
+    # the texts that share a fingerprint, once each; every hit is extended to the windows that contain it
     again = texts.join(broadcast_if_small(hit_texts, n_hit, BROADCAST_ROWS // 10), "text_key")
-    again = again.groupBy("text_key").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
-    again = again.select("text_key", "marks", words(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-
-    def starts(n: int) -> Column:
-        width = min(n, k) if n == window_words else n
-        own = F.transform(F.filter("marks", lambda m: m["n"] == n), lambda m: m["mark"])
-        grams = _gram_hashes(F.col("hashes"), width)
-        at = F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
-        spread = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (n - width), F.lit(0)), i))))
-        return F.transform(F.filter(spread, lambda i: i + n <= F.size("words")), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("window")))
-
-    spans = again.select("text_key", F.explode(F.concat(*[starts(n) for n in lengths])).alias("s")).select("text_key", "s.*")
+    again = again.groupBy("text_key").agg(F.first("text").alias("text"), F.first("all_marks").alias("all_marks"))
+    again = again.select("text_key", "all_marks", words(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    parts = []
+    for n in lengths:
+        width = k if n == window_words else n
+        own = again.withColumn("own", F.transform(F.filter("all_marks", lambda m: m["n"] == n), lambda m: m["mark"])).where(F.size("own") > 0)
+        own = own.withColumn("grams", _grams("hashes", width))
+        own = own.withColumn("at", F.array_compact(F.transform("grams", lambda h, i: F.when(F.array_contains("own", h), i))))
+        own = own.withColumn("starts", F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (n - width), F.lit(0)), i)))))
+        own = own.withColumn("fit", F.filter("starts", lambda i: i + n <= F.size("words")))
+        own = own.withColumn("spans", F.transform("fit", lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("window"))))
+        parts.append(own.select("text_key", F.explode_outer("spans").alias("s")).select("text_key", "s.*"))
+    spans = reduce(DataFrame.unionByName, parts)
     out = materialize(spans.join(broadcast_if_small(windows, n_windows, BROADCAST_ROWS), ["n", "window"]).select("text_key", "item_id", "start", "n"), "leak-spans")
-    discard(marks, hits, windows)
+    discard(marks, hits, hit_texts, windows)
     return out
 
 

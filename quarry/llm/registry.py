@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, minhash_dedup
+from quarry.llm import decontamination, language_id, minhash_dedup, sentencepiece_codec, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op8_language_id": language_id.op8_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
