@@ -8,9 +8,11 @@ Circulant MinHash: one permutation scatters the shingles over the ring of 32-bit
 ring, and signature coordinate i ranks the ring after turning it by i. No third random permutation is drawn.
 
 Large groups never become pairs. Equal texts are one node. In each bucket every node is first compared with the
-bucket's smallest node only; then only nodes of buckets that still hold several components are compared, and where
-such a bucket is large, nodes must meet in two bands. A pair over the threshold meets in about 14 of the 32 bands,
-so the chance of losing one is under one in a million.
+bucket's most central node only, then those that are still in several components with the next one; only what is
+left after these rounds is compared in pairs of different components, which in a large bucket are blocks of rows whose
+links alone leave the task. A pair over the threshold meets in about 14 of the 32 bands, so that it meets in none is a matter of
+one in a hundred million. Pairs whose signatures, sketched in four bits a coordinate, lie SLACK standard deviations
+below the threshold are not compared in full; that loses a link at the very threshold once in some 300,000.
 
 Defined results: null or blank texts have an empty set (n_shingles 0), are linked with nothing and form their own
 component; repeated rows and equal texts share a component; component_id is the smallest doc_id of a component
@@ -20,20 +22,25 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import connected_components, discard, hash_shingles, hash_words, materialize, mix64, small_batches, table, text_chunks
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 32, 5
-#: Pairs that meet in fewer bands than this are far below any threshold of 0.8 or more.
-LEAST_BANDS = 3
-#: Nodes of a bucket with several components above which its nodes must meet in a second band.
-LARGE_BUCKET = 200
+#: Standard deviations below the threshold at which a pair's sketched similarity still lets it be compared in full.
+SLACK = 4.5
+#: Times that every bucket's nodes are compared with one of them before the rest are compared in pairs.
+STAR_ROUNDS = 1
+#: Nodes of a bucket with several components above which it is compared block by block.
+LARGE_BUCKET = 64
+#: Nodes of such a bucket in one block; tasks compare two blocks with each other.
+BLOCK_NODES = 400
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
@@ -60,19 +67,46 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each coordinate, sixteen coordinates in a signed 64-bit number."""
+    bits = np.zeros(-(-len(sig) // 16) * 16, dtype=np.uint64)
+    bits[: len(sig)] = sig & np.uint32(15)
+    return (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _most_differ(percent: int, coordinates: int) -> int:
+    q = (1 - percent / 100) * 15 / 16
+    return math.ceil(coordinates * q + SLACK * math.sqrt(coordinates * q * (1 - q)))
+
+
+def _may_reach(a: str, b: str, percent: int, coordinates: int) -> Column:
+    """Whether two sketches differ in so few coordinates that the full sets may reach the threshold."""
+    differ = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    return differ <= _most_differ(percent, coordinates)
+
+
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys = np.zeros(len(batch), np.int64), np.zeros((len(batch), bands), np.int64)
+            sketches = np.zeros((len(batch), -(-bands * rows // 16)), np.int64)
             for a, _, data, offsets in text_chunks(batch.column("text")):
                 words, word_offsets, _ = hash_words(data, offsets)
                 for i, shingles in enumerate(hash_shingles(words, word_offsets, k), a):
                     if len(shingles):
                         counts[i] = len(shingles)
-                        keys[i] = band_keys(signature(shingles, bands * rows), bands, rows)
+                        sig = signature(shingles, bands * rows)
+                        keys[i], sketches[i] = band_keys(sig, bands, rows), sketch(sig)
             some = np.repeat(counts > 0, bands)
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum((counts > 0) * bands))).astype(np.int32), pa.array(keys.ravel()[some]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts), lists], ["doc_id", "text_key", "n_shingles", "keys"])
+            width = sketches.shape[1]
+            short = pa.ListArray.from_arrays(np.arange(0, len(batch) * width + 1, width, dtype=np.int32), pa.array(sketches.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts), lists, short], ["doc_id", "text_key", "n_shingles", "keys", "sketch"])
 
     return run
 
@@ -91,13 +125,12 @@ def _sets(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, coordinates: int) -> DataFrame:
     """Of candidate pairs (src, dst) those whose full sets reach the threshold."""
-    bands = nodes.select("node", "n_shingles", "keys")
-    a, b = (bands.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("keys").alias(f"keys_{n}")) for n in ("src", "dst"))
+    a, b = (nodes.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("sketch").alias(f"sketch_{n}")) for n in ("src", "dst"))
     near = pairs.distinct().join(a, "src").join(b, "dst")
     near = near.where(F.least("n_src", "n_dst") * 100 >= F.greatest("n_src", "n_dst") * percent)
-    near = materialize(near.where(F.size(F.array_intersect("keys_src", "keys_dst")) >= LEAST_BANDS).select("src", "dst", "n_src", "n_dst"), "near-pairs")
+    near = materialize(near.where(_may_reach("sketch_src", "sketch_dst", percent, coordinates)).select("src", "dst", "n_src", "n_dst"), "near-pairs")
     wanted = near.select(F.col("src").alias("node")).union(near.select(F.col("dst").alias("node"))).distinct().join(nodes.select("node", "text_key"), "node")
     # equal texts are many where copies are, but each task passes on one of them only
     full = texts.join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text"))
@@ -111,36 +144,108 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perc
     return links
 
 
+def _compare_blocks(percent: int, coordinates: int):
+    """Links between different components of two blocks of one bucket, from the full sets."""
+    limit = _most_differ(percent, coordinates)
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, component, n, block = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
+        bucket, first, second = (rows.column(c)[0].as_py() for c in ("bucket", "first", "second"))
+        sketches = np.stack(rows.column("sketch").to_numpy()).view(np.uint64)
+        keys = np.stack(rows.column("keys").to_numpy())
+        sets = rows.column("shingles").to_numpy()
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        inner = np.flatnonzero(block == first)
+        outer = np.flatnonzero(block == second)
+        for i in inner.tolist():
+            js = outer[outer > i] if first == second else outer
+            js = js[(component[js] != component[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
+            x = sketches[js] ^ sketches[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            js = js[np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) <= limit]
+            common = keys[js] == keys[i]
+            js = js[keys[i][common.argmax(axis=1)] == bucket]
+            for j in js.tolist():
+                a, b = find(component[i].item()), find(component[j].item())
+                if a != b:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * percent:
+                        root[max(a, b)] = min(a, b)
+                        out.append((node[i], node[j]))
+        return pa.table({"src": pa.array([x for x, _ in out], pa.int64()), "dst": pa.array([x for _, x in out], pa.int64())})
+
+    return run
+
+
+def _block_links(cells: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, coordinates: int) -> DataFrame:
+    """A forest of the links between components within large buckets; no group holds more than two blocks of one bucket."""
+    wanted = cells.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    full = texts.join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialize(full.mapInArrow(_sets(k), "node long, shingles array<long>"), "near-sets")
+    blocks = F.ceil(F.col("members") / BLOCK_NODES).cast("int")
+    placed = cells.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    rows = placed.select("bucket", "first", "second", "block", "node", "component", "n_shingles", "sketch", "keys").join(sets, "node")
+    return rows.groupBy("bucket", "first", "second").applyInArrow(_compare_blocks(percent, coordinates), "src long, dst long")
+
+
 def minhash_components(docs: DataFrame, percent: int = 85, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_key (md5 of the text, '' for null), n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("text_key"))
-    signed = texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, text_key string, n_shingles long, keys array<long>")
-    grouped = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    signed = texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, text_key string, n_shingles long, keys array<long>, sketch array<long>")
+    grouped = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     entries = nodes.where("n_shingles > 0").select("node", "n_shingles", F.explode("keys").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").select("bucket", "head")
-    buckets = materialize(entries.join(heads, "bucket"), "near-buckets")
-    stars = buckets.where("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
-    links = _verified(stars, nodes, texts.select("text_key", "text"), k, percent)
-    components = connected_components(links, "near-star")
-
-    # what one comparison with the bucket's head has not joined: buckets that hold several components
-    open_rows = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("bucket", "members")
-    rest = materialize(open_rows.join(mixed, "bucket"), "near-rest")
-    large = rest.where(F.col("members") > LARGE_BUCKET).groupBy("node", "component", "n_shingles").agg(F.array_sort(F.collect_list("bucket")).alias("own"))
-    doubled = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    twice = large.select("node", "component", "n_shingles", F.explode(doubled).alias("bucket"), F.lit(-1).cast("long").alias("head"))
-    cells = rest.where(F.col("members") <= LARGE_BUCKET).select("node", "component", "n_shingles", "bucket", "head").unionByName(twice)
-    a, b = cells.alias("a"), cells.alias("b")
-    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component")) & (F.col("a.node") != F.col("a.head")) & (F.col("b.node") != F.col("b.head"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = materialize(entries.join(shared, "bucket"), "near-buckets")
+    # the head of a bucket is its most central node: the one that meets most others in all its buckets
+    support = buckets.groupBy("node").agg(F.sum("members").alias("support"))
+    ranked = buckets.join(support, "node").select("bucket", "node", "n_shingles", F.struct("support", (-F.col("node")).alias("rank")).alias("order"))
+    ranked = materialize(ranked, "near-ranked")
+    discard(buckets)
+    words_of = texts.select("text_key", "text")
+    rest, links, components = ranked, None, None
+    for step in range(STAR_ROUNDS):
+        heads = rest.groupBy("bucket").agg((-F.max("order")["rank"]).alias("head"))
+        stars = rest.join(heads, "bucket").where("node <> head")
+        if components is not None:
+            own = components.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
+            stars = stars.join(own, "head", "left").where(F.col("component") != F.coalesce("head_component", "head"))
+        found = _verified(stars.select(F.col("head").alias("src"), F.col("node").alias("dst")), nodes, words_of, k, percent, bands * rows)
+        links = found if links is None else materialize(links.union(found), "near-links")
+        components = connected_components(links, "near-star")
+        # what is left: buckets that hold several components, without the heads, which have met all others
+        left = rest.join(heads, "bucket").where("node <> head").drop("component", "head").join(components, "node", "left")
+        left = materialize(left.withColumn("component", F.coalesce("component", "node")), "near-left")
+        mixed = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("bucket", "members")
+        rest = materialize(left.drop("members").join(mixed, "bucket"), "near-rest")
+        discard(left)
+
+    # each pair of different components is compared once, in the first band where its nodes meet
+    cells = materialize(rest.join(nodes.select("node", "sketch", "keys"), "node"), "near-cells")
+    small = cells.where(F.col("members") <= LARGE_BUCKET)
+    a, b = small.alias("a"), small.alias("b")
+    other = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") < F.col("b.component"))
     alike = F.least("a.n_shingles", "b.n_shingles") * 100 >= F.greatest("a.n_shingles", "b.n_shingles") * percent
-    pairs = a.join(b, other & alike).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    more = _verified(pairs, nodes, texts.select("text_key", "text"), k, percent)
+    near = _may_reach("a.sketch", "b.sketch", percent, bands * rows)
+    once = F.element_at(F.array_intersect("a.keys", "b.keys"), 1) == F.col("a.bucket")
+    pairs = a.join(b, other & alike & near & once).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    more = _verified(pairs, nodes, words_of, k, percent, bands * rows)
+    more = more.union(_block_links(cells.where(F.col("members") > LARGE_BUCKET), nodes, words_of, k, percent, bands * rows))
+    more = materialize(more, "near-more")
     # links of the second step join components of the first
     tops = components.select(F.col("node"), F.col("component"))
     lifted = more.join(tops.select(F.col("node").alias("src"), F.col("component").alias("c_src")), "src", "left").join(tops.select(F.col("node").alias("dst"), F.col("component").alias("c_dst")), "dst", "left")
@@ -149,7 +254,7 @@ def minhash_components(docs: DataFrame, percent: int = 85, k: int = SHINGLE_WORD
     full = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").withColumn("root", F.coalesce("root", "component"))
     smallest = full.where("n_shingles > 0").groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = full.where("n_shingles > 0").join(smallest, "root").select("text_key", "n_shingles", "component_id")
-    discard(buckets, rest, links, more)
+    discard(ranked, rest, cells, more)
     out = texts.select("doc_id", "text_key").join(classes, "text_key", "left")
     return out.select("doc_id", "text_key", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.when(F.col("n_shingles").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
