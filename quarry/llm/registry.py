@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, language_id, minhash_dedup, sentencepiece_codec, toxicity
+from quarry.llm import decontamination, language_id, line_dedup, minhash_dedup, sentencepiece_codec, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_language_id": language_id.op8_language_id,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
