@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, language_id, line_dedup, minhash_dedup, sentencepiece_codec, toxicity
+from quarry.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, sentencepiece_codec, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+    "op4_sharding": sharding.op4_sharding,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
