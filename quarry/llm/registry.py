@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, sentencepiece_codec, sharding, toxicity, url_filter
+from quarry.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, pii, sentencepiece_codec, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
