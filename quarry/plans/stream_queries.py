@@ -1,0 +1,55 @@
+"""Streams over the events table; each is worked off into a table in the shared checkpoint folder and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.plans import registry
+from quarry.streaming import streams
+
+
+def _available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/quarry-streams').rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    streams.run_available(stream, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = streams.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream(name: str, sql: str | None):
+    def register(f):
+        registry.QUERIES[name] = lambda spark, sf_dir: f(spark, _events(spark, sf_dir))
+        if sql:
+            registry.ORACLES[name] = sql
+        return f
+
+    return register
+
+
+@_stream("stream_dedup", "SELECT DISTINCT event_id, user_id FROM events")
+def _(spark, events):
+    found = streams.dedup(events.select("event_id", "user_id", "ts"), ["event_id"], "ts", "60 days")
+    return _available(spark, found, "dedup").select("event_id", "user_id")
+
+
+@_stream("stream_change_feed", "SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+def _(spark, events):
+    found = streams.change_feed(events.withColumn("entity_type", F.col("event_type")), "click")
+    return _available(spark, found.select("event_id", "user_id"), "feed")
+
+
+@_stream("stream_tumbling_counts", None)
+def _(spark, events):
+    return _available(spark, streams.tumbling_counts(events, "ts", "7 days", ["event_type"]), "tumbling")
+
+
+@_stream("stream_sliding_counts", None)
+def _(spark, events):
+    return _available(spark, streams.sliding_counts(events, "ts", "7 days", "1 day", ["event_type"]), "sliding")
