@@ -22,6 +22,7 @@ those with the names of the results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +39,53 @@ NEAR = (4, 5)
 BROADCAST_ROWS = 500_000
 
 
-def line_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line number, sorted distinct token hashes) of every line that has words."""
+#: Lines numbered in one call; a number and a 44-bit token hash share 64 bits, so that one sort serves both.
+LINES_AT_ONCE, TOKEN_BITS = 1 << 20, 44
+
+
+@dataclass
+class Lines:
+    """Lines that have words: row and number of each, and their sorted distinct tokens, those of line i from cuts[i] to cuts[i + 1]."""
+
+    row: np.ndarray
+    number: np.ndarray
+    cuts: np.ndarray
+    tokens: np.ndarray
+
+    def keys(self) -> np.ndarray:
+        """A signed 64-bit key of each token set."""
+        if not len(self.row):
+            return np.zeros(0, np.int64)
+        total = np.add.reduceat(mix64(self.tokens ^ np.uint64(0xA24BAED4963EE407)), self.cuts[:-1])
+        return mix64(total + np.diff(self.cuts).astype(np.uint64)).view(np.int64)
+
+
+def line_sets(column: pa.Array) -> Iterator[Lines]:
     for a, _, data, offsets in text_chunks(column):
-        breaks = np.flatnonzero(data == 10) + 1
-        starts = np.union1d(offsets[:-1], breaks)
-        starts = starts[starts < len(data)]
-        bounds = np.append(starts, len(data))
-        words, at, _ = hash_words(data, bounds)
-        row = np.searchsorted(offsets, starts, "right") - 1
-        first = np.searchsorted(starts, offsets[row])
-        number = np.arange(len(starts)) - first
-        lines = np.repeat(np.arange(len(starts)), np.diff(at))
-        order = np.lexsort((words, lines))
-        words, lines = words[order], lines[order]
-        new = np.ones(len(words), dtype=bool)
-        new[1:] = (words[1:] != words[:-1]) | (lines[1:] != lines[:-1])
-        words, lines = words[new], lines[new]
-        cuts = np.flatnonzero(np.diff(lines, prepend=-1))
-        for i, b, e in zip(lines[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(words)], strict=True):
-            yield a + int(row[i]), int(number[i]), words[b:e]
-
-
-def set_key(tokens: np.ndarray) -> int:
-    """A signed 64-bit key of a token set."""
-    total = mix64(np.array([mix64(tokens ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64) + np.uint64(len(tokens))], dtype=np.uint64))
-    return int(total.view(np.int64)[0])
+        all_starts = np.union1d(offsets[:-1], np.flatnonzero(data == 10) + 1)
+        all_starts = all_starts[all_starts < len(data)]
+        words, at, _ = hash_words(data, np.append(all_starts, len(data)))
+        rows = np.searchsorted(offsets, all_starts, "right") - 1
+        numbers = np.arange(len(all_starts)) - np.searchsorted(all_starts, offsets[rows])
+        for first in range(0, len(all_starts), LINES_AT_ONCE):
+            last = min(first + LINES_AT_ONCE, len(all_starts))
+            own = np.repeat(np.arange(last - first, dtype=np.uint64), np.diff(at[first : last + 1]))
+            both = np.sort((own << np.uint64(TOKEN_BITS)) | (words[at[first] : at[last]] >> np.uint64(64 - TOKEN_BITS)))
+            both = both[np.diff(both, prepend=~both[:1]) != 0]
+            line, tokens = (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
+            begins = np.flatnonzero(np.diff(line, prepend=-1))
+            which = line[begins] + first
+            yield Lines(a + rows[which], numbers[which], np.append(begins, len(tokens)), tokens)
+
+
+def _new(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which keys this task has not seen before."""
+    out = np.zeros(len(keys), dtype=bool)
+    for i, key in enumerate(keys.tolist()):
+        if key not in seen:
+            seen.add(key)
+            out[i] = True
+    return out
 
 
 def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
@@ -71,36 +93,38 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
     return n - -(-n * NEAR[0] // NEAR[1]) + 1
 
 
+def _buckets(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(RANK_BUCKETS - 1)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(RANK_BUCKETS, dtype=np.int64)
     seen: set[int] = set()
     for batch in batches:
-        for _, _, tokens in line_sets(batch.column("text")):
-            key = set_key(tokens)
-            if key not in seen:
-                seen.add(key)
-                counts[(tokens >> np.uint64(43)).astype(np.int64)] += 1
+        for lines in line_sets(batch.column("text")):
+            fresh = np.repeat(_new(lines.keys(), seen), np.diff(lines.cuts))
+            np.add.at(counts, _buckets(lines.tokens[fresh]), 1)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
 
 
 def token_counts(docs: DataFrame) -> np.ndarray:
     """Lines with a token of each bucket, over all of docs, as an array of RANK_BUCKETS numbers."""
-    rows = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
+    summed = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    rows = summed.toArrow()
     counts = np.zeros(RANK_BUCKETS, dtype=np.int32)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, numbers, keys = [], [], []
-        for row, number, tokens in line_sets(batch.column("text")):
-            rows.append(row)
-            numbers.append(number)
-            keys.append(set_key(tokens))
-        taken = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "text_key")]
-        yield pa.RecordBatch.from_arrays([*taken, pa.array(numbers, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "text_key", "line", "set_key"])
+        found = list(line_sets(batch.column("text")))
+        rows = np.concatenate([x.row for x in found]) if found else np.zeros(0, np.int64)
+        numbers = np.concatenate([x.number for x in found]) if found else np.zeros(0, np.int64)
+        keys = np.concatenate([x.keys() for x in found]) if found else np.zeros(0, np.int64)
+        taken = [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "text_key")]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(numbers.astype(np.int32)), pa.array(keys)], ["doc_id", "text_key", "line", "set_key"])
 
 
 def _prefixes(shared):
@@ -108,36 +132,34 @@ def _prefixes(shared):
         counts = shared.value
         seen: set[int] = set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, np.ndarray, int]] = []
-            for _, _, tokens in line_sets(batch.column("text")):
-                key = set_key(tokens)
-                if key in seen:
+            for lines in line_sets(batch.column("text")):
+                keys, n = lines.keys(), np.diff(lines.cuts)
+                if not len(keys):
                     continue
-                seen.add(key)
-                n = len(tokens)
-                rarity = counts[(tokens >> np.uint64(43)).astype(np.int64)]
-                order = np.lexsort((tokens, rarity))[: prefix_size(n)]
-                at = np.flatnonzero(rarity[order] > 1)  # a token of one line only meets none
-                if len(at):
-                    bits = np.bitwise_or.reduce(np.uint64(1) << (tokens & np.uint64(63)))
-                    out.append(((tokens[order[at]] >> np.uint64(32)).astype(np.uint32), key, n, at, int(bits.astype(np.int64))))
-            if out:
-                each = [len(o[0]) for o in out]
-                columns = [np.concatenate([o[0] for o in out]).view(np.int32), np.repeat([o[1] for o in out], each), np.repeat([o[2] for o in out], each).astype(np.int32), np.concatenate([o[3] for o in out]).astype(np.int32), np.repeat([o[4] for o in out], each)]
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (lines.tokens >> np.uint64(21) & np.uint64(63)), lines.cuts[:-1])
+                rarity = counts[_buckets(lines.tokens)].astype(np.int64)
+                line = np.repeat(np.arange(len(n)), n)
+                order = np.argsort((line << 32) | rarity, kind="stable")
+                pos = np.arange(len(line)) - np.repeat(lines.cuts[:-1], n)
+                # a token of one line only meets none
+                use = (pos < prefix_size(n)[line]) & (rarity[order] > 1) & _new(keys, seen)[line]
+                line, pos, tokens = line[use], pos[use], lines.tokens[order[use]]
+                columns = [(tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32), keys[line], n[line].astype(np.int32), pos.astype(np.int32), bits[line].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set_key", "n", "pos", "bits"])
 
     return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        keys, sets = [], []
-        for _, _, tokens in line_sets(batch.column("text")):
-            keys.append(set_key(tokens))
-            sets.append(tokens)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], ["set_key", "tokens"])
+        for lines in line_sets(batch.column("text")):
+            keys = lines.keys()
+            fresh = _new(keys, seen)
+            n = np.diff(lines.cuts)
+            flat = lines.tokens[np.repeat(fresh, n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), lists], ["set_key", "tokens"])
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -166,11 +188,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return found
 
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, text, text_key): the classes of lines with equal token sets (set_key, first: their earliest line as a
-    struct of doc_id, text_key and line, rank: their place in that order), and the ranks that have a similar earlier class."""
+def line_classes(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text, text_key) and their lines (doc_id, text_key, line, set_key): the classes of lines with equal
+    token sets (set_key, first: their earliest line as a struct of doc_id, text_key and line, rank: their place in that
+    order), and the ranks that have a similar earlier class."""
     spark = docs.sparkSession
-    lines = docs.mapInArrow(_lines, "doc_id long, text_key string, line int, set_key long")
     first = lines.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"))
     classes = materialize(first.orderBy("first").withColumn("rank", F.monotonically_increasing_id()), "line-classes")
     shared = spark.sparkContext.broadcast(token_counts(docs))
@@ -215,8 +237,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    classes, removed = line_classes(keyed)
-    lines = keyed.mapInArrow(_lines, "doc_id long, text_key string, line int, set_key long")
+    lines = materialize(keyed.mapInArrow(_lines, "doc_id long, text_key string, line int, set_key long"), "line-lines")
+    classes, removed = line_classes(keyed, lines)
     # of each document's lines: removed are all of a class with a similar earlier class, and all but a class's first
     state = classes.join(removed.withColumn("near", F.lit(True)), "rank", "left")
     marked = lines.join(state, "set_key").select("doc_id", "text_key", "line", "first", F.coalesce("near", F.lit(False)).alias("near"))
