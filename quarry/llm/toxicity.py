@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from quarry.llm.common import doc_crc, hash_words, small_batches, table, text_chunks
 
 BUCKETS, FEATURES = 1 << 18, 400
+#: Standard errors by which a bucket's document frequencies must differ to be a feature.
+LEAST_Z = 2.0
 POSITIVES, UNLABELLED = 3_000, 9_000
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
 _PUNCTUATION = np.arange(256, dtype=np.uint8)
@@ -69,14 +71,19 @@ def _smallest(df: DataFrame, limit: int) -> DataFrame:
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Non-negative PU learning of a logistic model on sets of buckets."""
+    share = min(max(prior, 1e-9), 1 - 1e-9)
+    constant = Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
     if not positive or not unlabelled:
-        share = min(max(prior, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
+        return constant
     df_p = np.bincount(np.concatenate(positive), minlength=BUCKETS)
     df_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
     p, u = (df_p + 1) / (len(positive) + 2), (df_u + 1) / (len(unlabelled) + 2)
     spread = np.sqrt(p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled))
-    chosen = np.sort(np.argsort(-np.abs(p - u) / spread, kind="stable")[:FEATURES]).astype(np.int32)
+    score = np.abs(p - u) / spread
+    chosen = np.argsort(-score, kind="stable")[:FEATURES]
+    chosen = np.sort(chosen[score[chosen] >= LEAST_Z]).astype(np.int32)
+    if not len(chosen):
+        return constant
 
     def dense(sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(sets), len(chosen)), dtype=np.float32)
