@@ -136,7 +136,9 @@ def _prefixes(shared):
                 keys, n = lines.keys(), np.diff(lines.cuts)
                 if not len(keys):
                     continue
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (lines.tokens >> np.uint64(21) & np.uint64(63)), lines.cuts[:-1])
+                # a bitmap of 128 bits, one for each token
+                bit, second = np.uint64(1) << (lines.tokens >> np.uint64(21) & np.uint64(63)), (lines.tokens >> np.uint64(27) & np.uint64(1)) == 1
+                bits, more = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), lines.cuts[:-1]) for half in (~second, second))
                 rarity = counts[_buckets(lines.tokens)].astype(np.int64)
                 line = np.repeat(np.arange(len(n)), n)
                 order = np.argsort((line << 32) | rarity, kind="stable")
@@ -144,8 +146,8 @@ def _prefixes(shared):
                 # a token of one line only meets none
                 use = (pos < prefix_size(n)[line]) & (rarity[order] > 1) & _new(keys, seen)[line]
                 line, pos, tokens = line[use], pos[use], lines.tokens[order[use]]
-                columns = [(tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32), keys[line], n[line].astype(np.int32), pos.astype(np.int32), bits[line].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set_key", "n", "pos", "bits"])
+                columns = [(tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32), keys[line], n[line].astype(np.int32), pos.astype(np.int32), bits[line].view(np.int64), more[line].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set_key", "n", "pos", "bits", "more"])
 
     return run
 
@@ -168,7 +170,8 @@ def _may_match(a: str, b: str) -> Column:
     both = n_a + n_b
     # overlap o gives Jaccard o / (both - o) >= 4 / 5 where 9 o >= 4 both
     most = F.lit(1) + F.least(n_a - F.col(f"{a}.pos") - 1, n_b - F.col(f"{b}.pos") - 1) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    one, two = (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "more"))
+    differ = one + two
     return (F.least(n_a, n_b) * NEAR[1] >= F.greatest(n_a, n_b) * NEAR[0]) & (most * 9 >= both * 4) & (differ * 9 <= both)
 
 
@@ -197,11 +200,11 @@ def line_classes(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFram
     classes = materialize(first.orderBy("first").withColumn("rank", F.monotonically_increasing_id()), "line-classes")
     shared = spark.sparkContext.broadcast(token_counts(docs))
     # a token is a 32-bit hash here: two that agree by chance only add a pair to verify
-    rows = docs.select("text").mapInArrow(_prefixes(shared), "token int, set_key long, n int, pos int, bits long")
-    rows = rows.join(classes.select("set_key", "rank"), "set_key").select("token", "rank", "n", "pos", "bits").dropDuplicates(["rank", "token"])
+    rows = docs.select("text").mapInArrow(_prefixes(shared), "token int, set_key long, n int, pos int, bits long, more long")
+    rows = rows.join(classes.select("set_key", "rank"), "set_key").dropDuplicates(["set_key", "token"]).drop("set_key")
     rows = materialize(rows, "line-prefixes")
 
-    heads = rows.groupBy("token").agg(F.min(F.struct("rank", "n", "pos", "bits")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = rows.groupBy("token").agg(F.min(F.struct("rank", "n", "pos", "bits", "more")).alias("head"), F.count("*").alias("members")).where("members > 1")
     heads = materialize(heads.select("token", "head.*"), "line-heads")
     a, b = rows.alias("a"), heads.alias("b")
     stars = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rank") > F.col("b.rank")) & _may_match("a", "b"))
