@@ -175,3 +175,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9)
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All pairs by cosine, and their closure.
+ORACLE = """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9
+), reach AS (SELECT vec_id AS r, vec_id FROM embeddings UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.vec_id
+), c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = vec_id
+"""

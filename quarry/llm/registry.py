@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
+    "op7_minhash_dedup": minhash_dedup.ORACLE,
 }
