@@ -143,11 +143,16 @@ def _prefixes(shared):
                 line = np.repeat(np.arange(len(n)), n)
                 order = np.argsort((line << 32) | rarity, kind="stable")
                 pos = np.arange(len(line)) - np.repeat(lines.cuts[:-1], n)
-                # a token of one line only meets none
-                use = (pos < prefix_size(n)[line]) & (rarity[order] > 1) & _new(keys, seen)[line]
-                line, pos, tokens = line[use], pos[use], lines.tokens[order[use]]
-                columns = [(tokens >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32), keys[line], n[line].astype(np.int32), pos.astype(np.int32), bits[line].view(np.int64), more[line].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "set_key", "n", "pos", "bits", "more"])
+                # a token of one line only meets none; these come first in the order
+                lone = rarity[order] <= 1
+                use = (pos < prefix_size(n)[line]) & ~lone & _new(keys, seen)[line]
+                held = np.bincount(line[use], minlength=len(n))
+                some = held > 0
+                start = np.bincount(line[lone], minlength=len(n))
+                tokens = (lines.tokens[order[use]] >> np.uint64(TOKEN_BITS - 32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(held[some]))).astype(np.int32), pa.array(tokens))
+                columns = [keys[some], n[some].astype(np.int32), start[some].astype(np.int32), bits[some].view(np.int64), more[some].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), lists], ["set_key", "n", "start", "bits", "more", "prefix"])
 
     return run
 
@@ -200,8 +205,10 @@ def line_classes(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFram
     classes = materialize(first.orderBy("first").withColumn("rank", F.monotonically_increasing_id()), "line-classes")
     shared = spark.sparkContext.broadcast(token_counts(docs))
     # a token is a 32-bit hash here: two that agree by chance only add a pair to verify
-    rows = docs.select("text").mapInArrow(_prefixes(shared), "token int, set_key long, n int, pos int, bits long, more long")
-    rows = rows.join(classes.select("set_key", "rank"), "set_key").dropDuplicates(["set_key", "token"]).drop("set_key")
+    rows = docs.select("text").mapInArrow(_prefixes(shared), "set_key long, n int, start int, bits long, more long, prefix array<int>")
+    # a set of several tasks is one row before its tokens become rows
+    rows = rows.dropDuplicates(["set_key"]).join(classes.select("set_key", "rank"), "set_key").select("rank", "n", "start", "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("token", "rank", "n", (F.col("start") + F.col("i")).alias("pos"), "bits", "more")
     rows = materialize(rows, "line-prefixes")
 
     heads = rows.groupBy("token").agg(F.min(F.struct("rank", "n", "pos", "bits", "more")).alias("head"), F.count("*").alias("members")).where("members > 1")
