@@ -40,11 +40,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def finished_shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete a step's shuffle files when the step ends, not when the driver's garbage collector gets to them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it cuts the lineage, survives lost executors and gives the planner true sizes."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with finished_shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
