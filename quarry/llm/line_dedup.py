@@ -39,6 +39,8 @@ NEAR = (4, 5)
 BROADCAST_ROWS = 500_000
 
 
+#: Bits of a key that place it in the bitmap of wanted keys.
+KEY_BITS = 24
 #: Lines numbered in one call; a number and a 44-bit token hash share 64 bits, so that one sort serves both.
 LINES_AT_ONCE, TOKEN_BITS = 1 << 20, 44
 
@@ -157,16 +159,36 @@ def _prefixes(shared):
     return run
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        for lines in line_sets(batch.column("text")):
-            keys = lines.keys()
-            fresh = _new(keys, seen)
-            n = np.diff(lines.cuts)
-            flat = lines.tokens[np.repeat(fresh, n)].view(np.int64)
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), lists], ["set_key", "tokens"])
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2^KEY_BITS bits with those of the keys (set_key) set: 2 MB at most, however many keys there are."""
+    at = f"shiftrightunsigned(set_key, {64 - KEY_BITS})"
+    words = keys.select(F.expr(f"cast({at} >> 6 as int)").alias("word"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (KEY_BITS - 6), dtype=np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _full_sets(shared):
+    """Full sets whose keys may be wanted; the bitmap lets few others pass, and the join that follows none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            for lines in line_sets(batch.column("text")):
+                keys = lines.keys()
+                at = keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+                wanted = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                wanted = wanted[_new(keys[wanted], seen)]
+                n = np.diff(lines.cuts)
+                taken = np.zeros(len(n), dtype=bool)
+                taken[wanted] = True
+                flat = lines.tokens[np.repeat(taken, n)].view(np.int64)
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n[taken]))).astype(np.int32), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[taken]), lists], ["set_key", "tokens"])
+
+    return run
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -186,7 +208,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     ranks = pairs.select(F.col("later").alias("rank")).union(pairs.select(F.col("earlier").alias("rank"))).distinct()
     keys = materialize(ranks.join(classes.select("rank", "set_key"), "rank"), "line-keys")
     wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    sets = docs.select("text").mapInArrow(_full_sets, "set_key long, tokens array<long>").join(wanted, "set_key")
+    shared = docs.sparkSession.sparkContext.broadcast(_key_bits(keys))
+    sets = docs.select("text").mapInArrow(_full_sets(shared), "set_key long, tokens array<long>").join(wanted, "set_key")
     sets = materialize(sets.groupBy("rank").agg(F.first("tokens").alias("tokens")), "line-sets")
     a, b = (sets.select(F.col("rank").alias(n), F.col("tokens").alias(f"tokens_{n}")) for n in ("later", "earlier"))
     both = pairs.join(a, "later").join(b, "earlier")
