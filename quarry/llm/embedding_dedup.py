@@ -2,16 +2,18 @@
 
 Vectors are rotated at random and cut into two halves; a filter direction is a pair of random code words, one for each
 half, so that CODE x CODE directions need only 2 x CODE words. List decoding sorts a vector's inner products with the
-words of each half and walks over exactly those pairs whose sum exceeds the cap's threshold: the vector is filed under
-all filters whose cap it lies in, about PASSES of them. Vectors that share a filter are compared by cosine in double
-precision, and links are pairs that reach the threshold; a pair that shares several filters counts at the first.
+words of each half and finds the PASSES pairs with the greatest sums: the cap of a vector's own that holds so many filters,
+so every vector is filed under the same number, whatever the code's size. There are CODES codes, each with its own
+rotation and words. Vectors that share a filter are compared by cosine in double precision, and links are pairs that
+reach the threshold; a pair that shares several filters counts at the first.
 
 The number of filters follows the number of vectors, so lists keep their length. A list that is long all the same, as
 where a third of the vectors are alike, is cut into blocks that are compared two at a time; out of a task come counts
 for each vector and a forest of its links, never all pairs. Equal vectors are one node with a weight.
 
-Pairs at the very threshold share two or three filters on average and are found with a recall over 0.9 (measured against
-brute force in the tests), closer pairs with more.
+Filters grow finer with the number of vectors, and a pair at the threshold then shares fewer: the recall of pairs at the very
+threshold is measured on random ones for each length of vector, and the code is made coarser, with longer lists, until
+it is LEAST_RECALL (code_size). Tests hold it over 0.95 at all sizes of the code; closer pairs are found more surely.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different length link with nothing; repeated rows and equal vectors link with each other; component_id is the
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,42 +34,75 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import connected_components, discard, materialize, small_batches, table
 
-PASSES, LEAST_CODE, MOST_CODE = 40, 64, 4096
+#: Independent codes, filters of each that a vector is filed under, and words of a half.
+CODES, PASSES, LEAST_CODE, MOST_CODE = 2, 20, 64, 4096
+#: Dimensions under which vectors are filled up with zeros before the rotation, and vectors decoded at once.
+LEAST_DIM, DECODED = 8, 256
+#: Least share of random pairs at the threshold that have to share a filter, and pairs on which it is measured.
+LEAST_RECALL, MEASURED = 0.98, 1000
 #: Vectors of a list in one block, and lists that one task call takes together.
 BLOCK, LISTS = 512, 32
 
 
-def _code(dim: int, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rotation and the words of both halves, the same in every task."""
-    rng = np.random.default_rng(dim * 10_007 + size)
+@lru_cache(maxsize=2 * CODES)
+def _code(dim: int, size: int, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rotation and the words of both halves of one code, the same in every task."""
+    rng = np.random.default_rng([dim, size, number])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    words = []
-    for d in (dim // 2, dim - dim // 2):
-        w = rng.standard_normal((size, max(d, 1)))
-        words.append(w / np.linalg.norm(w, axis=1, keepdims=True) if d else np.zeros((size, 0)))
-    return rotation, words
+    words = [rng.standard_normal((size, d)) for d in (dim // 2, dim - dim // 2)]
+    return rotation, [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]
 
 
-def list_decode(vectors: np.ndarray, size: int, passes: float = PASSES) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of all filters whose cap it lies in."""
+def _greatest(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row, falling, and their columns."""
+    columns = np.argpartition(-products, k - 1, axis=1)[:, :k]
+    values = np.take_along_axis(products, columns, 1)
+    order = np.argsort(-values, axis=1)
+    return np.take_along_axis(values, order, 1), np.take_along_axis(columns, order, 1)
+
+
+def list_decode(vectors: np.ndarray, size: int, passes: int = PASSES) -> np.ndarray:
+    """For each unit vector the sorted numbers of the filters nearest to it, passes of each code."""
+    vectors = np.pad(vectors, ((0, 0), (0, max(0, LEAST_DIM - vectors.shape[1]))))
     dim = vectors.shape[1]
-    rotation, (left, right) = _code(dim, size)
-    turned = vectors @ rotation
-    least = math.sqrt(2 / dim) * NormalDist().inv_cdf(1 - min(0.4, passes / size**2))
-    a_all, b_all = turned[:, : dim // 2] @ left.T, turned[:, dim // 2 :] @ right.T
-    out = []
-    for a, b in zip(a_all, b_all, strict=True):
-        order = np.argsort(-b)
-        falling = -b[order]
-        rows = np.flatnonzero(a >= least + falling[0])
-        each = np.searchsorted(falling, a[rows] - least, "right")
-        first = np.cumsum(each) - each
-        columns = order[np.arange(each.sum()) - np.repeat(first, each)]
-        out.append(np.sort(np.repeat(rows, each) * size + columns).astype(np.int32))
+    # the i-th and the j-th word of the halves are among the best pairs only if i * j pairs are no more than passes
+    ranks = np.arange(1, passes + 1)
+    i, j = np.nonzero(np.outer(ranks, ranks) <= passes)
+    out = np.empty((len(vectors), CODES * passes), dtype=np.int32)
+    for number in range(CODES):
+        rotation, (left, right) = _code(dim, size, number)
+        for at in range(0, len(vectors), DECODED):
+            turned = vectors[at : at + DECODED] @ rotation
+            a, rows = _greatest(turned[:, : dim // 2] @ left.T, passes)
+            b, columns = _greatest(turned[:, dim // 2 :] @ right.T, passes)
+            best = np.argpartition(-(a[:, i] + b[:, j]), passes - 1, axis=1)[:, :passes]
+            pairs = np.take_along_axis(rows[:, i], best, 1) * size + np.take_along_axis(columns[:, j], best, 1)
+            out[at : at + DECODED, number * passes : (number + 1) * passes] = np.sort(pairs + number * size**2, axis=1)
     return out
 
 
-def _file(size: int):
+def pair_recall(dim: int, size: int, cosine: float, pairs: int = MEASURED, seed: int = 0) -> float:
+    """The share of random pairs of this very cosine that share a filter."""
+    rng = np.random.default_rng([dim, size, seed])
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, pairs, dim)))
+    if dim > 1:
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    else:
+        y = x
+    both = np.sort(np.hstack([list_decode(x, size), list_decode(y, size)]), axis=1)
+    return float((both[:, 1:] == both[:, :-1]).any(axis=1).mean())
+
+
+def code_size(dim: int, n: int, cosine: float) -> int:
+    """Words of a half for n vectors: about n filters, or as many as leave pairs at the threshold their recall."""
+    size = min(MOST_CODE, max(LEAST_CODE, math.isqrt(n // CODES) + 1))
+    while size > LEAST_CODE and pair_recall(dim, size, cosine) < LEAST_RECALL:
+        size = max(LEAST_CODE, size * 3 // 4)
+    return size
+
+
+def _file(code_sizes: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column("node").to_pylist(), batch.column("vector").to_pylist()
@@ -80,7 +115,7 @@ def _file(size: int):
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 rows += own
-                lists += list_decode(x, size)
+                lists += list(list_decode(x, code_sizes[dim]))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["node", "filters"])
 
     return run
@@ -148,9 +183,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     usable = (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0)
     grouped = rows.where(F.coalesce(usable, F.lit(False))).groupBy("k1", "k2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "vec-nodes")
-    n = nodes.count()
-    size = min(MOST_CODE, max(LEAST_CODE, math.isqrt(n) + 1))
-    filed = nodes.select("node", "vector").mapInArrow(_file(size), "node long, filters array<int>")
+    counts = nodes.groupBy(F.size("vector").alias("dim")).count().collect()
+    code_sizes = {r["dim"]: code_size(r["dim"], r["count"], cosine) for r in counts}
+    filed = nodes.select("node", "vector").mapInArrow(_file(code_sizes), "node long, filters array<int>")
     filed = materialize(filed, "vec-filters")
     entries = filed.select("node", F.explode("filters").alias("filter"))
     lists = entries.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")

@@ -212,6 +212,20 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [64, 708, 2000, 4096])
+def test_embedding_filters_at_every_size(size):
+    x = np.random.default_rng(size).standard_normal((400, 64))
+    passed = embedding_dedup.list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), size)
+    assert all(len(np.unique(p)) == embedding_dedup.CODES * embedding_dedup.PASSES for p in passed)
+    assert embedding_dedup.pair_recall(64, size, 0.9, seed=1) > 0.95 and embedding_dedup.pair_recall(64, size, 0.95, seed=1) > 0.98
+
+
+@pytest.mark.parametrize("dim", [1, 2, 8, 16])
+def test_embedding_filters_of_short_vectors(dim):
+    size = embedding_dedup.code_size(dim, 4_000_000, 0.9)
+    assert embedding_dedup.pair_recall(dim, size, 0.9, seed=1) > 0.95
+
+
 URLS = ["http://A.Example.com/en/1?x=/fr/", "https://www.example.com/en/2", "https://example.com/EN/3", "http://x.net/es/1", "http://net/fr/", "http://notexample.com/en/", "http://org/es/", "no scheme", None, "", "http://", "x://h#/en/", "a://b://c/d"]
 
 
