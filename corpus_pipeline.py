@@ -15,8 +15,8 @@ from quarry.llm.common import materialize, table
 
 #: Posterior probability under which a predicted language is no decision and the document is rejected.
 LEAST_SCORE = 0.5
-#: Similarity of near duplicates in percent.
-NEAR_PERCENT = 85
+#: Similarity of near duplicates in percent, and the bands for it: of pairs at 80 percent one in 7 million meets in no band.
+NEAR_PERCENT, NEAR_BANDS = 80, 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one whose doc_id is the smallest."""
-    found = minhash_dedup.minhash_components(docs.select("doc_id", "text"), percent=NEAR_PERCENT)
+    found = minhash_dedup.minhash_components(docs.select("doc_id", "text"), percent=NEAR_PERCENT, bands=NEAR_BANDS)
     kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct(), "kept")
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key")), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, each held against what its operator alone decides."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -21,6 +23,36 @@ def test_stages(spark):
     assert out.count() == docs.count() and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
+def test_near_dedup_from_80_percent(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(600)]
+    texts = []
+    for group in range(30):  # chains: each text is near the one before it, at 0.78 to 0.87
+        words = [f"g{group}{w}" for w in base[: rng.randint(150, 400)]]
+        texts.append(words)
+        for step in range(3):
+            words = list(words)
+            changed = round(len(words) * rng.uniform(0.014, 0.026))
+            for at in rng.sample(range(10, len(words) - 10), changed):
+                words[at] = f"x{group}.{step}.{at}"
+            texts.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    component = list(range(len(texts)))
+    between = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            common = len(sets[a] & sets[b])
+            near = common * 100 >= (len(sets[a]) + len(sets[b]) - common) * 80
+            between += near and common * 100 < (len(sets[a]) + len(sets[b]) - common) * 85
+            if near:
+                low, high = sorted((component[a], component[b]))
+                component = [low if c == high else c for c in component]
+    assert between >= 20
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()}
+    assert kept == {(i, " ".join(texts[i])) for i in set(component)}
+
+
 def test_queries_import():
     import __spark_entry__
 
