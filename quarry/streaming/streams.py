@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -15,13 +15,18 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str = "2 days") -> DataFrame:
-    """Counts by event-time window; rows later than the watermark no longer count."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("start"), *by, "cnt")
+def tumbling_counts(events: DataFrame, time: str, width: str, by: list[str], late: str | None = "2 days") -> DataFrame:
+    """Counts by event-time window; rows later than the watermark no longer count, with late=None all do."""
+    return _window_counts(events, time, F.window(time, width), by, late)
 
 
-def sliding_counts(events: DataFrame, time: str, width: str, slide: str, by: list[str], late: str = "2 days") -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.window(time, width, slide).alias("w"), *by).agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("start"), *by, "cnt")
+def sliding_counts(events: DataFrame, time: str, width: str, slide: str, by: list[str], late: str | None = "2 days") -> DataFrame:
+    return _window_counts(events, time, F.window(time, width, slide), by, late)
+
+
+def _window_counts(events: DataFrame, time: str, window: Column, by: list[str], late: str | None) -> DataFrame:
+    kept = events if late is None else events.withWatermark(time, late)
+    return kept.groupBy(window.alias("w"), *by).agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("start"), *by, "cnt")
 
 
 def dedup(events: DataFrame, keys: list[str], time: str, late: str = "2 days") -> DataFrame:
@@ -38,6 +43,20 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
 
 
+def run_complete(stream: DataFrame, sink: str, checkpoint: str) -> str | None:
+    """Work off all that has arrived; every batch writes the whole result to a folder of its own, and the last one's is returned (None without a batch).
+
+    No window is held back for later rows. A batch that is repeated overwrites its own folder."""
+    written: list[int] = []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id:012d}")
+        written.append(batch_id)
+
+    stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return f"{sink}/batch={max(written):012d}" if written else None
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Call each(batch, batch_id) for every micro-batch (Z1, Z7, Z8); an idempotent sink makes it exactly once."""
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
