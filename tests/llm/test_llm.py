@@ -300,6 +300,15 @@ def test_pii(spark):
         assert set(joined.split(",")) <= set(got[i]["spans"].split(",")) or not joined
 
 
+def test_pii_long_domains(spark):
+    texts = ["a@" + "b." * n + "c " + tail for n in (1000, 5000, 200_000) for tail in ("", "x@y.z")] + ["a@" + "b." * 5000 + ".c@d.e"]
+    got = {r["doc_id"]: r for r in pii.find_pii(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)]
+        assert got[i]["n_email"] == len(spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"email:{a}:{b}" for a, b in spans).encode()).hexdigest()
+
+
 def test_em_finds_the_reliable_labelers():
     patterns = [(0, (1, 1, 1, -1, 1), 50.0), (0, (0, 0, 0, -1, 0), 50.0), (0, (1, 1, 0, -1, 1), 5.0), (0, (0, 0, 1, -1, 0), 5.0)]
     share, posterior = pii.estimate(patterns)
