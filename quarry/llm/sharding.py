@@ -155,13 +155,13 @@ class ShardedDataset:
                     fs.delete(hadoop_fs(self.spark, name)[1], False)
 
 
-#: Arrivals into which the query deals the table, and its target size of a shard.
-ARRIVALS, QUERY_TARGET = 4, 32 << 20
+#: Arrivals into which the query deals the table.
+ARRIVALS = 4
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    data = ShardedDataset(spark, new_path(spark, "sharded"), target=QUERY_TARGET)
+    data = ShardedDataset(spark, new_path(spark, "sharded"))
     arrival = F.pmod(F.xxhash64("_metadata.row_index"), F.lit(ARRIVALS))
     for i in range(ARRIVALS):
         data.append(docs.where(arrival == i))

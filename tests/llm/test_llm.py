@@ -270,6 +270,14 @@ def test_sharding(spark, tmp_path):
     assert data.manifest() == before and data.read().count() == 600
 
 
+def test_sharding_query_has_the_production_target(spark, monkeypatch):
+    made = []
+    start = sharding.ShardedDataset.__init__
+    monkeypatch.setattr(sharding.ShardedDataset, "__init__", lambda self, *a, **k: (start(self, *a, **k), made.append(self.target))[0])
+    assert sharding.op4_sharding(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert made == [sharding.TARGET_BYTES] == [128 << 20]
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
