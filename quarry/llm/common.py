@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in one Arrow batch. Texts may be long, so batches stay small.
 ARROW_ROWS = 1000
 #: Bytes of text handled at once inside a task; a single longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +29,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where unset, one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where unset in local mode, as in tests, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
-        path = "file://" + tempfile.gettempdir() + "/quarry-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = f"file://{tempfile.gettempdir()}/quarry-checkpoints"
     return path.rstrip("/")
 
 
@@ -82,6 +84,14 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with underscores before it a name that no column has."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
@@ -103,28 +113,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Bytes with A-Z lower-cased; the values of the polynomial follow the lower-cased byte.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER_VALUE = _BYTE_VALUE[_LOWER]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        made = np.cumprod(steps, dtype=np.uint64)
-        if n > 4 * CHUNK_BYTES:  # a very long text: not kept
-            return made
-        _powers[key] = made
-    return _powers[key]
+#: Masks of the lowest 0 to 8 bytes of a number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 512
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -151,20 +143,37 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than ASCII white space, A-Z lower-cased) of adjacent segments.
 
-    Returns their 64-bit hashes, the word offsets of the segments, and the words' first bytes.
+    Returns their 64-bit hashes, the word offsets of the segments, and the words' first bytes. Eight bytes of each word are
+    mixed into its hash at a time.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
-    first = np.zeros(n + 1, dtype=bool)
-    first[offsets] = True
-    starts = np.flatnonzero(solid & (first[:n] | ~np.concatenate(([False], solid[:-1]))))
-    ends = np.flatnonzero(solid & (first[1:] | ~np.concatenate((solid[1:], [False])))) + 1
-    power = _power(_BASE, n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_LOWER_VALUE[data] * power[:n], out=sums[1:])
-    words = mix64((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    lowered = np.zeros(n + 8, dtype=np.uint8)
+    np.bitwise_or(data, ((data - np.uint8(65)) < np.uint8(26)).view(np.uint8) << np.uint8(5), out=lowered[:n])
+    space = np.ones(n + 1, dtype=bool)
+    np.logical_or(data == 32, (data - np.uint8(9)) < np.uint8(5), out=space[:n])
+    before = np.ones(n + 1, dtype=bool)
+    before[1:] = space[:-1]
+    edges = np.flatnonzero(before != space)
+    starts, ends = edges[::2].copy(), edges[1::2].copy()
+    # segments that meet within a run of bytes cut it in two
+    cuts = np.unique(offsets)
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    cuts = cuts[~space[cuts] & ~before[cuts]]
+    if len(cuts):
+        starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+    size = ends - starts
+    eight = np.ndarray((n + 1,), dtype=np.uint64, buffer=lowered, strides=(1,))
+    words = mix64((eight[starts] & _BYTES[np.minimum(size, 8)]) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
+    at, more = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(more):
+        part = eight[starts[more] + at] & _BYTES[np.minimum(size[more] - at, 8)]
+        words[more] = mix64(words[more] ^ (part * np.uint64(0xD6E8FEB86659FD93)))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(lowered[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return words, np.searchsorted(starts, offsets), starts
 
 

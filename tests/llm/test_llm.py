@@ -130,6 +130,22 @@ def test_decontamination(spark):
         assert got[i] == (len(v), len(hit), len(ids), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)), i
 
 
+def lines_by_hand(texts):
+    """What is left of each text, by the definition: a line goes if any earlier line is similar."""
+    seen, out = [], []
+    for t in texts:
+        kept = []
+        for line in (t or "").split("\n"):
+            s = frozenset(line.encode().lower().split())
+            if s and any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                seen.append(s)
+                continue
+            seen += [s] if s else []
+            kept.append(line)
+        out.append(None if t is None else "\n".join(kept))
+    return out
+
+
 def test_line_dedup(spark):
     rng = random.Random(9)
     lines = [prose(rng.randint(1, 40), rng) for _ in range(80)]
@@ -140,25 +156,59 @@ def test_line_dedup(spark):
         return " ".join(w)
 
     texts = ["\n".join(rng.choice([rng.choice(lines), variant(rng.choice(lines)), "", "  "]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "\n\n", lines[0] + "\n" + lines[0].upper()]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, texts).withColumn("n_near", F.lit("clash"))).collect()}
-    seen = []
-    for i, t in enumerate(texts):
-        if t is None:
-            assert got[i]["text"] is None and got[i]["n_lines"] == 0
-            continue
-        kept = []
-        for line in t.split("\n"):
-            s = frozenset(line.encode().lower().split())
-            if s and any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
-                seen.append(s)
-                continue
-            seen += [s] if s else []
-            kept.append(line)
-        assert got[i]["text"] == "\n".join(kept), i
-        assert got[i]["n_exact"] + got[i]["n_near"] == len(t.split("\n")) - len(kept)
+    clashing = documents(spark, texts).withColumn("n_near", F.lit("clash")).withColumn("gone", F.lit("mine")).withColumn("text_key", F.lit("own"))
+    found = line_dedup.dedup_lines(clashing)
+    assert found.columns == ["doc_id", "text", "gone", "text_key", "n_lines", "n_exact", "n_near"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, (t, kept) in enumerate(zip(texts, lines_by_hand(texts), strict=True)):
+        assert got[i]["text"] == kept and got[i]["gone"] == "mine" and got[i]["text_key"] == "own", i
+        assert got[i]["n_lines"] == (0 if t is None else t.count("\n") + 1)
+        kept_lines = 0 if t is None else kept.count("\n") + 1 if kept or t.count("\n") + 1 > got[i]["n_exact"] + got[i]["n_near"] else 0
+        assert got[i]["n_exact"] + got[i]["n_near"] == got[i]["n_lines"] - kept_lines
     assert line_dedup.dedup_lines(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 60])
+def test_line_dedup_of_many_near_equal_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(24)]
+    texts = []
+    for i in range(600):  # lines that differ from one another in up to ten words, under and over the threshold
+        w = list(base)
+        for at in rng.sample(range(24), rng.randint(0, 5)):
+            w[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(w) + ("" if i % 3 else "\n" + prose(12, rng)))
+    texts.append("a" * 5000 + " " + " ".join(base[1:]))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == lines_by_hand(texts)
+
+
+def test_lists_that_are_long_pass_on_their_members():
+    import pyarrow as pa
+
+    n = line_dedup.LIST_ROWS * 2 + 10
+    rows = [(1, 7)] + [(2, k) for k in range(n)] + [(2, n - 1), (3, 8), (3, 9)]
+    table = pa.table({"token": pa.array([t for t, _ in rows], pa.int32()), "set_key": [k for _, k in rows], "place": pa.array([10 << 32] * len(rows)), "bits": pa.array([0] * len(rows), pa.int64()), "more": pa.array([0] * len(rows), pa.int64())})
+    old, line_dedup.ROWS_AT_ONCE = line_dedup.ROWS_AT_ONCE, 1000
+    try:
+        out = pa.Table.from_batches(line_dedup._meet(iter(table.to_batches(max_chunksize=700)))).to_pylist()
+    finally:
+        line_dedup.ROWS_AT_ONCE = old
+    assert sorted(r["a"] for r in out if r["token"] == 2) == list(range(n))
+    assert [(r["a"], r["b"]) for r in out if r["token"] is None] == [(8, 9)]
+
+
+def test_line_dedup_odd_rows(spark):
+    rows = [(None, "a b c d e"), (1, "a b c d e\nq"), (1, "a b c d e\nq"), (1, "z\nq"), (2, "a b c d e"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted(str((r["doc_id"], r["text"])) for r in got)
+    assert len(got) == len(rows) and texts.count("(None, 'a b c d e')") == 1 and texts.count("(2, '')") == 1 and texts.count("(None, None)") == 1
+    # of two texts with one doc_id, one keeps the line q; a repeated row is one document
+    ones = [r["text"] for r in got if r["doc_id"] == 1]
+    assert sorted(ones) in (["q", "q", "z"], ["", "", "z\nq"])
+
+
 def test_sentencepiece_parity(spark):
     import sentencepiece
 
