@@ -4,10 +4,11 @@ A dataset is a folder of immutable shard files and numbered manifests. append()
 a manifest with them; compact() merges the files of a tier, once it has FAN_IN of them, into files of the target size,
 which belong to higher tiers, until no tier is full. A file's tier follows from its size: each is FAN_IN times the one
 before. A manifest is written under another name and renamed to the next version, which only one writer can
-do; readers take the highest version and see either all of a change or nothing. Old files stay until vacuum().
+do; readers take the highest version and see either all of a change or nothing. Old files stay until vacuum(), or until
+their merge is committed where compact() is told so.
 
-What passes the driver is the list of files, one entry for each, never rows. A merge reads each row once and writes it once; rows
-are dealt to the new files by a hash of their place in the old ones, so no key can make a file large.
+What passes the driver is the list of files, one entry for each, never rows. A merge reads each row once and writes it once,
+without a shuffle: every new file takes whole splits of the old ones, as many as fill it, so no key can make a file large.
 
 Defined results: every arriving row is in exactly one shard, whatever nulls, ties, repeated rows, empty or very long
 texts it has; columns named shard or version are carried inside the shards and replaced in what read() adds; an
@@ -103,36 +104,43 @@ class ShardedDataset:
         """Commit the rows of arrivals as small shards, one for each of its partitions that has rows."""
         now = self.manifest()
         shards = self._write(arrivals)
-        rows = {r["path"] for r in self.spark.read.parquet(*[s.path for s in shards]).select(F.input_file_name().alias("path")).groupBy("path").count().collect()} if shards else set()
-        base = {p.rsplit("/", 1)[1] for p in rows}
-        shards = [s for s in shards if s.path.rsplit("/", 1)[1] in base]
+        # of partitions without rows Spark writes a file for the first only, and only there is one looked for
+        if shards and self.spark.read.parquet(shards[0].path).isEmpty():
+            shards = shards[1:]
         if not shards:
             return now
         return self._commit(now.version + 1 if now else 1, [*(now.shards if now else ()), *shards])
 
-    def compact(self) -> Manifest | None:
-        """Merge full tiers, the lowest first, until none is full; each merge is a version of its own."""
+    def _full_tier(self, shards: tuple[Shard, ...]) -> tuple[list[Shard], int] | None:
+        """The files of the lowest full tier that a merge makes fewer, and the number of files to make of them."""
+        tiers: dict[int, list[Shard]] = {}
+        for s in shards:
+            if s.size < self.target * 3 // 4:
+                tiers.setdefault(tier(s.size, self.small), []).append(s)
+        for _, run in sorted(tiers.items()):
+            files = max(1, round(sum(s.size for s in run) / self.target))
+            if len(run) >= FAN_IN and files < len(run):
+                return sorted(run, key=lambda s: s.path), files
+        return None
+
+    def compact(self, keep_old: bool = True) -> Manifest | None:
+        """Merge full tiers, the lowest first, until none is full; each merge is a version of its own. Merged files are
+        deleted once the version without them is committed, unless keep_old."""
         now = self.manifest()
-        while now:
-            tiers: dict[int, list[Shard]] = {}
-            for s in now.shards:
-                if s.size < self.target * 3 // 4:
-                    tiers.setdefault(tier(s.size, self.small), []).append(s)
-            full = [t for t, own in sorted(tiers.items()) if len(own) >= FAN_IN]
-            if not full:
-                return now
-            run = sorted(tiers[full[0]], key=lambda s: s.path)
-            total = sum(s.size for s in run)
-            files = max(1, round(total / self.target))
-            if files >= len(run):
-                return now
-            old = self.spark.read.parquet(*[s.path for s in run])
-            merged = old.coalesce(1) if files == 1 else old.repartition(files, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-            new = self._write(merged)
+        while now and (found := self._full_tier(now.shards)):
+            run, files = found
+            new = self._write(self.spark.read.parquet(*[s.path for s in run]).coalesce(files))
             gone = set(run)
             now = self._commit(now.version + 1, [*(s for s in now.shards if s not in gone), *new])
+            if not keep_old:
+                self._delete([s.path for s in run])
         return now
 
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            fs, p = hadoop_fs(self.spark, path)
+            fs.delete(p, False)
+
     # --- reading ---
 
     def read(self) -> DataFrame:
@@ -149,10 +157,8 @@ class ShardedDataset:
         now = self.manifest()
         live = {s.path for s in now.shards} if now else set()
         fs, p = hadoop_fs(self.spark, f"{self.path}/data")
-        for folder in fs.listStatus(p) if fs.exists(p) else ():
-            for name, _ in self._list(folder.getPath().toString(), ".parquet"):
-                if name not in live:
-                    fs.delete(hadoop_fs(self.spark, name)[1], False)
+        folders = [f.getPath().toString() for f in fs.listStatus(p)] if fs.exists(p) else []
+        self._delete([name for folder in folders for name, _ in self._list(folder, ".parquet") if name not in live])
 
 
 #: Arrivals into which the query deals the table.
@@ -165,6 +171,5 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrival = F.pmod(F.xxhash64("_metadata.row_index"), F.lit(ARRIVALS))
     for i in range(ARRIVALS):
         data.append(docs.where(arrival == i))
-        data.compact()
-        data.vacuum()
+        data.compact(keep_old=False)
     return data.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", "shard", "version")

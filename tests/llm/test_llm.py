@@ -320,11 +320,30 @@ def test_sharding(spark, tmp_path):
     assert data.manifest() == before and data.read().count() == 600
 
 
+def test_sharding_merges_to_the_target_size(spark, tmp_path):
+    data = sharding.ShardedDataset(spark, f"file://{tmp_path}/d", target=40_000, small=2_000)
+    long = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=30_000))
+    for k in range(3):
+        rows = [(k * 400 + i, prose(30) if i % 50 else long[i:]) for i in range(400)]
+        data.append(spark.createDataFrame(rows, "doc_id long, text string").repartition(20))
+        data.compact(keep_old=False)
+    shards = data.manifest().shards
+    assert sorted(r["doc_id"] for r in data.read().collect()) == list(range(1200))
+    assert len(shards) < 30 and max(s.size for s in shards) < 4 * data.target
+    assert sum(f.stat().st_size for f in (tmp_path / "d" / "data").rglob("*.parquet")) == sum(s.size for s in shards)
+    other = sharding.ShardedDataset(spark, data.path)  # a writer that has seen an older version
+    with pytest.raises(RuntimeError):
+        other._commit(data.manifest().version, [])
+
+
 def test_sharding_query_has_the_production_target(spark, monkeypatch):
     made = []
     start = sharding.ShardedDataset.__init__
     monkeypatch.setattr(sharding.ShardedDataset, "__init__", lambda self, *a, **k: (start(self, *a, **k), made.append(self.target))[0])
-    assert sharding.op4_sharding(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    found = sharding.op4_sharding(spark, SF)
+    rows = found.drop("shard", "version")
+    assert rows.count() == docs.count() and not rows.exceptAll(docs).count() and found.select("version").distinct().count() == 1
     assert made == [sharding.TARGET_BYTES] == [128 << 20]
 
 
