@@ -1,8 +1,9 @@
 """PII spans by weak-supervision aggregation, with DataFrame functions only.
 
 Base spans of four kinds (email, ip, card, phone) come from fixed patterns and checks and always stay. The method looks
-at a wider set of candidates: everything of the fixed patterns, with or without their checks, and looser forms (e-mail
-addresses with spelled-out signs, telephone numbers without a plus). Labelers vote on each candidate (1, 0, or -1 for
+at a wider set of candidates: everything of the fixed patterns, with or without their checks, and looser forms outside
+the base spans (e-mail addresses with spelled-out signs, telephone numbers without a plus, single card numbers in a longer run of
+digit groups). Labelers vote on each candidate (1, 0, or -1 for
 no opinion): its pattern, its check (Luhn, octets, digits), a gazetteer (top-level domains, card issuers,
 area codes), context words before it, and its shape. Expectation-maximisation over the counts of vote patterns
 estimates the reliability of every labeler and the share of true candidates for each kind; the posterior of each pattern is the
@@ -42,6 +43,7 @@ STRICT = {
 #: Looser forms; what they match is a candidate and never a base span.
 LOOSE = {
     "email": rf"(?<!{LOCAL}){LOCAL}{{1,64}}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{{1,63}}+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{{2,24}}",
+    "card": r"(?<![0-9]|[0-9]-)(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
 }
 #: Fixed values of the gazetteer and the context labeler.
@@ -55,6 +57,8 @@ CUES = {
 }
 LABELERS = ["pattern", "check", "gazetteer", "context", "shape"]
 FEATURES = ["edge", "inner", "long"]
+#: How often the check passes for true and for false candidates: known beforehand (of random numbers one in ten has a right check digit).
+CHECK_PASSES = {1: 0.99, 0: 0.1}
 EM_ROUNDS, FIT_ROUNDS = 50, 300
 
 
@@ -112,7 +116,7 @@ def _votes(kind: str, match: Column, before: Column, strict: bool) -> dict[str,
         "phone": yes(n.between(10, 13) & match.rlike(r"[ ().-]")),
     }[kind]
     return {
-        "pattern": F.lit(1 if strict else 0),
+        "pattern": F.lit(1 if strict else -1),
         "check": yes(_checked(kind, match)) if kind != "email" else F.lit(1 if strict else -1),
         "gazetteer": gazetteer,
         "context": F.when(before.rlike(CUES[kind]), F.lit(1)).otherwise(F.lit(-1)),
@@ -149,6 +153,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         if kind in LOOSE:
             texts = texts.withColumn(f"loose_{kind}", _cut(F.col("clean"), LOOSE[kind]))
             columns.append((i, kind, f"loose_{kind}", False))
+    base = F.concat(*(F.filter(F.transform(column, _candidate(i, kind, True)), lambda c: c["base"]) for i, kind, column, strict in columns if strict))
+    texts = texts.withColumn("spans", F.transform(base, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    for _, _, column, strict in columns:
+        if not strict:  # what lies in a base span is no candidate of its own
+            texts = texts.withColumn(column, F.filter(column, lambda c: ~F.exists("spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     lists = [F.transform(column, _candidate(i, kind, strict)) for i, kind, column, strict in columns]
     return texts.select("doc_id", F.concat(*lists).alias("cands"))
 
@@ -156,7 +165,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 def estimate(patterns: list[tuple[int, tuple[int, ...], float]]) -> tuple[list[float], dict[tuple[int, tuple[int, ...]], float]]:
     """EM over (kind, votes, count): the share of true candidates of each kind, and the posterior of each (kind, votes).
 
-    Labelers are independent given the truth; each has its own rates for each kind, with a prior that votes are better than chance."""
+    Labelers are independent given the truth; each has its own rates for each kind, with a prior that votes are better than chance.
+    Only the check's rates are given, not estimated."""
     posterior = {(k, v): sum(x == 1 for x in v) / max(1, sum(x >= 0 for x in v)) for k, v, _ in patterns}
     share = [0.5] * len(KINDS)
     for _ in range(EM_ROUNDS):
@@ -171,6 +181,8 @@ def estimate(patterns: list[tuple[int, tuple[int, ...], float]]) -> tuple[list[f
                     seen = [(v[j], n * (p if truth else 1 - p)) for v, n, p in own if v[j] >= 0]
                     # pseudo-counts of ten candidates: 70 % of the votes are right
                     rate[k, j, truth] = (sum(n for x, n in seen if x == 1) + (7 if truth else 3)) / (sum(n for _, n in seen) + 10)
+                    if LABELERS[j] == "check":
+                        rate[k, j, truth] = CHECK_PASSES[truth]
         for k, v, _ in patterns:
             logs = []
             for truth in (0, 1):
