@@ -5,10 +5,13 @@ logistic model over hashed words is trained with numpy on the class-prior-correc
 prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)), with gradient steps against the correction where it turns negative.
 The class prior is the share of toxic labels. Features are the presence of words (runs of bytes other than ASCII white
 space and punctuation, A-Z lower-cased) hashed into BUCKETS; the FEATURES buckets whose document frequencies differ
-most between positives and unlabelled texts are used, the others weigh nothing.
+most between positives and unlabelled texts are used, the others weigh nothing. By how many standard errors they have to
+differ is chosen among LEAST_ZS on the training rows alone: a quarter of them is set aside, and the bound wins whose
+model has the smallest positive-unlabelled estimate of the error there.
 
 Bounds: the model is fitted on POSITIVES positive and UNLABELLED unlabelled documents at most, those with the
-smallest hash of doc_id (whole texts). Scoring goes over every whole text.
+smallest hash of doc_id (whole texts, one for each doc_id). To the driver come document frequencies by bucket, 2 x BUCKETS numbers,
+and of each sampled document the buckets that are candidates, FEATURES at most for each bound. Scoring goes over every whole text.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; without positives or
 unlabelled texts to learn from, all scores are the class prior (0.0 where no label is known); documents with a null
@@ -27,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import doc_crc, hash_words, small_batches, table, text_chunks
+from quarry.llm.common import discard, doc_crc, hash_words, materialize, small_batches, table, text_chunks
 
 BUCKETS, FEATURES = 1 << 18, 400
-#: Standard errors by which a bucket's document frequencies must differ to be a feature.
-LEAST_Z = 2.0
+#: Standard errors by which a bucket's document frequencies must differ to be a feature: the bounds to choose from.
+LEAST_ZS = (1.0, 2.0, 3.0, 4.0)
 POSITIVES, UNLABELLED = 3_000, 9_000
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
 _PUNCTUATION = np.arange(256, dtype=np.uint8)
@@ -55,81 +58,123 @@ def word_buckets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(words[a:b])
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, bucket, n): the task's documents that have each bucket, and their number in bucket -1."""
+    counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
     for batch in batches:
-        sets = list(word_buckets(batch.column("text")))
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "buckets"])
+        for toxic, buckets in zip(batch.column("toxic").to_pylist(), word_buckets(batch.column("text")), strict=True):
+            counts[toxic, buckets] += 1
+            counts[toxic, BUCKETS] += 1
+    toxic, at = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[toxic, at])], ["toxic", "bucket", "n"])
+
+
+def _featurize(chosen: np.ndarray):
+    """(toxic, apart, buckets): of each document the buckets that are among chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.intersect1d(s, chosen, assume_unique=True).astype(np.int32) for s in word_buckets(batch.column("text"))]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("apart"), lists], ["toxic", "apart", "buckets"])
+
+    return run
 
 
 def _smallest(df: DataFrame, limit: int) -> DataFrame:
-    """The rows with the smallest hashes of doc_id, about limit of them."""
-    top = df.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return df.where(F.xxhash64("doc_id") <= top) if top is not None else df.limit(0)
+    """Of df (doc_id) the limit doc_ids with the smallest hashes, once each."""
+    return df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Non-negative PU learning of a logistic model on sets of buckets."""
-    share = min(max(prior, 1e-9), 1 - 1e-9)
-    constant = Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
-    if not positive or not unlabelled:
-        return constant
-    df_p = np.bincount(np.concatenate(positive), minlength=BUCKETS)
-    df_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
-    p, u = (df_p + 1) / (len(positive) + 2), (df_u + 1) / (len(unlabelled) + 2)
-    spread = np.sqrt(p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled))
-    score = np.abs(p - u) / spread
+def choose(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, least_z: float) -> np.ndarray:
+    """The sorted buckets that are features, from their document frequencies in n_p positives and n_u unlabelled texts."""
+    if not n_p or not n_u:
+        return np.zeros(0, np.int32)
+    p, u = (df_p + 1) / (n_p + 2), (df_u + 1) / (n_u + 2)
+    score = np.abs(p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
     chosen = np.argsort(-score, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[score[chosen] >= LEAST_Z]).astype(np.int32)
-    if not len(chosen):
-        return constant
-
-    def dense(sets: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(sets), len(chosen)), dtype=np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(chosen, s)
-            at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == s)]
-            x[i, at] = 1
-        return x
-
-    xp, xu = dense(positive), dense(unlabelled)
-    w, b = np.zeros(len(chosen)), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    return np.sort(chosen[score[chosen] >= least_z]).astype(np.int32)
+
+
+def dense(sets: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(sets), len(chosen)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        x[i] = np.isin(chosen, s, assume_unique=True)
+    return x
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Of a logistic model the risk of positives, the corrected risk of negatives (which may be under 0), and the step's gradient
+    by weights and bias: of both risks where the second is not under 0, else against it."""
+    sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
+    # logistic losses: of a positive -log s, of a negative -log(1 - s)
+    positive = prior * -np.log(np.maximum(sp, 1e-12)).mean()
+    negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
+    if negative >= 0:
+        cp, cu = prior * (sp - 1) / len(sp) - prior * sp / len(sp), su / len(su)
+    else:
+        cp, cu = prior * sp / len(sp), -su / len(su)
+    return positive, negative, np.append(xp.T @ cp + xu.T @ cu, cp.sum() + cu.sum())
+
+
+def _constant(prior: float) -> Model:
+    share = min(max(prior, 1e-9), 1 - 1e-9)
+    return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray) -> Model:
+    """Non-negative PU learning of a logistic model on the chosen buckets of sets of buckets."""
+    if not positive or not unlabelled or not len(chosen):
+        return _constant(prior)
+    xp, xu = (dense(sets, chosen).astype(np.float64) for sets in (positive, unlabelled))
+    w, b = np.zeros(len(chosen)), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
-        zp, zu = xp @ w.astype(np.float32) + b, xu @ w.astype(np.float32) + b
-        sp, su = sigmoid(zp), sigmoid(zu)
-        # logistic losses: of a positive -log s, of a negative -log(1 - s)
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
-        gp_plus, gp_minus, gu = (sp - 1) / len(sp), sp / len(sp), su / len(su)
-        if negative >= 0:
-            cp, cu = prior * gp_plus - prior * gp_minus, gu
-        else:
-            cp, cu = prior * gp_minus, -gu
-        grad = np.append(xp.T @ cp.astype(np.float32) + xu.T @ cu.astype(np.float32) + DECAY * w, cp.sum() + cu.sum())
+        grad = risk(w, b, xp, xu, prior)[2] + DECAY * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return Model(chosen, w, float(b))
 
 
+def estimated_error(model: Model, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> float:
+    """The positive-unlabelled estimate of the error rate: missed positives, and flagged unlabelled texts beyond the positives among them."""
+    flagged = [np.mean(dense(sets, model.buckets) @ model.weights + model.bias >= 0) for sets in (positive, unlabelled)]
+    return prior * (1 - flagged[0]) + max(0.0, flagged[1] - prior * flagged[0])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    prior = float(known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0)
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    toxic = _smallest(known.where("toxic = 1").select("doc_id"), POSITIVES).distinct()
-    positive = texts.join(F.broadcast(toxic), "doc_id").select(F.lit(1).alias("toxic"), "text")
-    unlabelled = _smallest(texts, UNLABELLED).select(F.lit(0).alias("toxic"), "text")
-    rows = positive.unionAll(unlabelled).mapInArrow(_featurize, "toxic int, buckets array<int>").toPandas()
-    sets = [np.asarray(x, dtype=np.int32) for x in rows["buckets"]]
-    is_toxic = rows["toxic"].to_numpy() == 1
-    return fit([s for s, t in zip(sets, is_toxic, strict=True) if t], [s for s, t in zip(sets, is_toxic, strict=True) if not t], float(share))
+    toxic = _smallest(known.where("toxic = 1").join(texts.select("doc_id"), "doc_id", "left_semi"), POSITIVES).withColumn("toxic", F.lit(1))
+    sampled = toxic.union(_smallest(texts, UNLABELLED).withColumn("toxic", F.lit(0)))
+    # of several texts with one doc_id the smallest counts
+    own = texts.join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    own = materialize(own.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0), "toxic-sample")
+    counted = own.select("toxic", "text").mapInArrow(_frequencies, "toxic int, bucket int, n long").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    counts[counted["toxic"].to_numpy(), counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    n_u, n_p = counts[:, BUCKETS]
+    features = [choose(counts[1, :BUCKETS], counts[0, :BUCKETS], n_p, n_u, z) for z in LEAST_ZS]
+    rows = own.select("toxic", "apart", "text").mapInArrow(_featurize(np.unique(np.concatenate(features))), "toxic int, apart boolean, buckets array<int>").toPandas()
+    discard(own)
+    rows["buckets"] = [np.asarray(x, dtype=np.int32) for x in rows["buckets"]]
+    parts = {(t, a): rows.loc[(rows["toxic"] == t) & (rows["apart"] == a), "buckets"].tolist() for t in (0, 1) for a in (False, True)}
+    best = 0
+    if all(parts.values()):
+        # frequencies of the texts that are not set aside
+        df = [np.bincount(np.concatenate(parts[t, False]), minlength=BUCKETS) for t in (0, 1)]
+        trial = [fit(parts[1, False], parts[0, False], prior, choose(df[1], df[0], len(parts[1, False]), len(parts[0, False]), z)) for z in LEAST_ZS]
+        best = int(np.argmin([round(estimated_error(m, parts[1, True], parts[0, True], prior), 4) for m in trial]))
+    return fit(parts[1, False] + parts[1, True], parts[0, False] + parts[0, True], prior, features[best])
 
 
 def _scorer(model: Model):
