@@ -6,7 +6,7 @@ goes over whole texts in Arrow batches: the n-grams of a batch are one sparse li
 are summed for each document with numpy. The score is the posterior probability of the predicted language.
 
 Bounds: the classifier is fitted on TRAIN_DOCS labelled documents at most, those with the smallest hash of doc_id
-(whole texts), and on MAX_LANGUAGES languages at most, the commonest among them.
+(whole texts); every language among them is learned.
 
 Defined results: texts that are null or have no letter get `und` and score 0.0; where no document is labelled, all
 documents get `und`; documents with a null doc_id are scored, are not held out and never train; repeated rows are
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quarry.llm.common import doc_crc, small_batches, table
 
 BUCKETS, GRAMS = 1 << 15, (1, 2, 3)
-TRAIN_DOCS, MAX_LANGUAGES = 8_000, 256
+TRAIN_DOCS = 8_000
 UNDETERMINED = "und"
 #: Characters handled at once; n-grams do not cross the cut between two pieces of one text.
 PIECE_CHARS = 1 << 18
@@ -67,13 +67,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of priors and buckets: one row for each language) from docs (doc_id, text, lang)."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "text", "doc_id")
-    sample = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).agg(F.max("h").alias("top"), F.count("*").alias("n")).first()
+    sample = labelled.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(limit).agg(F.max("h").alias("top"), F.count("*").alias("n")).first()
     if not sample["n"]:
         return [], np.zeros((0, BUCKETS + 1))
     sample = labelled.where(F.xxhash64("doc_id") <= sample["top"])
-    priors = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    priors = sample.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in priors)
-    rows = sample.mapInArrow(_counter, "lang string, bucket int, n long").where(F.col("lang").isin(languages)).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(_counter, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(languages), BUCKETS), 0.5)
     np.add.at(counts, (np.searchsorted(languages, rows["lang"].to_numpy(str)), rows["bucket"].to_numpy()), rows["n"].to_numpy())
     prior = {r["lang"]: r["count"] for r in priors}
