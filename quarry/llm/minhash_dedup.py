@@ -12,7 +12,7 @@ bucket's most central node only, then those that are still in several components
 left after these rounds is compared in pairs of different components, which in a large bucket are blocks of rows whose
 links alone leave the task. A pair over the threshold meets in about 14 of the 32 bands, so that it meets in none is a matter of
 one in a hundred million. Pairs whose signatures, sketched in four bits a coordinate, lie SLACK standard deviations
-below the threshold are not compared in full; that loses a link at the very threshold once in some 300,000.
+below the threshold are not compared in full; that loses a link at the very threshold less than once in a hundred million, as banding does.
 
 Defined results: null or blank texts have an empty set (n_shingles 0), are linked with nothing and form their own
 component; repeated rows and equal texts share a component; component_id is the smallest doc_id of a component
@@ -34,7 +34,7 @@ from quarry.llm.common import connected_components, discard, hash_shingles, hash
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 32, 5
 #: Standard deviations below the threshold at which a pair's sketched similarity still lets it be compared in full.
-SLACK = 4.5
+SLACK = 6.0
 #: Times that every bucket's nodes are compared with one of them before the rest are compared in pairs.
 STAR_ROUNDS = 1
 #: Nodes of a bucket with several components above which it is compared block by block.
