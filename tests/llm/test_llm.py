@@ -390,3 +390,110 @@ def test_em_finds_the_reliable_labelers():
     patterns = [(0, (1, 1, 1, -1, 1), 50.0), (0, (0, 0, 0, -1, 0), 50.0), (0, (1, 1, 0, -1, 1), 5.0), (0, (0, 0, 1, -1, 0), 5.0)]
     share, posterior = pii.estimate(patterns)
     assert 0.4 < share[0] < 0.6 and posterior[0, (1, 1, 0, -1, 1)] > 0.9 > 0.1 > posterior[0, (0, 0, 1, -1, 0)]
+
+
+def test_pu_risk_and_its_gradient():
+    rng = np.random.default_rng(1)
+    xp, xu, prior = rng.integers(0, 2, (30, 5)).astype(float), rng.integers(0, 2, (70, 5)).astype(float), 0.3
+    for scale in (0.1, 6.0):
+        w, b = rng.standard_normal(5) * scale, -2.0 * scale
+
+        def by_hand(v):
+            s = lambda x: 1 / (1 + np.exp(-(x @ v[:5] + v[5])))
+            positive = prior * np.mean([-np.log(s(x)) for x in xp])
+            negative = np.mean([-np.log(1 - s(x)) for x in xu]) - prior * np.mean([-np.log(1 - s(x)) for x in xp])
+            return positive, negative
+
+        v = np.append(w, b)
+        positive, negative, gradient = toxicity.risk(w, b, xp, xu, prior)
+        assert np.allclose((positive, negative), by_hand(v))
+        goal = (lambda v: sum(by_hand(v))) if negative >= 0 else (lambda v: -by_hand(v)[1])
+        steps = [(goal(v + h) - goal(v - h)) / 2e-6 for h in np.eye(6) * 1e-6]
+        assert np.allclose(gradient, steps, atol=1e-6)
+    # where the unlabelled texts look less positive than the positives among them would make them, the corrected risk is under 0
+    assert toxicity.risk(np.array([5.0]), -2.0, np.ones((10, 1)), np.zeros((10, 1)), 0.5)[1] < 0
+
+
+def test_toxicity_odd_rows(spark):
+    rows = [(i, f"bad word{i % 7} {prose(5)}" if i % 4 == 0 else prose(8)) for i in range(200)]
+    docs = spark.createDataFrame([*rows, *[(0, "bad again")] * 3, (None, "bad"), (500, "bad " * 300_000), (501, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 200, 2)] + [(0, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[500] > by_id[501] and by_id[4] > by_id[1]
+
+
+def test_language_id_odd_rows(spark):
+    words = {f"l{i}": "".join(chr(0x3400 + 40 * i + k) for k in range(20)) for i in range(300)}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(words.items())], "doc_id long, text string, lang string")
+    languages, _ = language_id.train(docs)
+    assert languages == sorted(words)
+    odd = spark.createDataFrame([(None, words["l5"]), (1, words["l7"]), (1, words["l7"]), (2, words["l9"] * 30_000)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in language_id.identify(odd, language_id.train(docs)).collect())
+    assert got == [("1", "l7"), ("1", "l7"), ("2", "l9"), ("None", "l5")]
+    assert language_id.identify(odd.limit(0), language_id.train(docs)).count() == 0
+
+
+def test_language_id_by_hand(spark):
+    """Naive Bayes written out: log prior and the sum of the log shares of all grams."""
+    rows = [(0, "aab ab", "x"), (1, "bba ba", "y"), (2, "ab ab", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {lang: np.full(language_id.BUCKETS, 0.5) for lang in "xy"}
+    for _, text, lang in rows:
+        for b in language_id.gram_buckets(text):
+            np.add.at(counts[lang], b, 1)
+    prior = {"x": 2 / 3, "y": 1 / 3}
+    for r in language_id.identify(spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "ba", "aabba", "b a"])], "doc_id long, text string"), language_id.train(docs)).collect():
+        logs = {lang: np.log(prior[lang]) + sum(np.log(c[b] / c.sum()).sum() for b in language_id.gram_buckets(r["text"])) for lang, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert r["lang_pred"] == best and np.isclose(r["score"], np.exp(logs[best]) / sum(np.exp(v) for v in logs.values()))
+
+
+def card(rng, right=True):
+    d = [4] + [rng.randrange(10) for _ in range(14)]
+    total = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(d))
+    return "".join(map(str, d)) + str((10 - total + (0 if right else rng.randint(1, 9))) % 10)
+
+
+def test_pii_adds_spans_of_planted_data(spark):
+    rng = random.Random(8)
+    texts, planted = [], set()
+    for i in range(300):
+        parts = [prose(6, rng) + " "]
+        for _ in range(2):
+            kind = rng.choice(["twice", "wrong", "alone", "phone", "order", "email", "plain"])
+            found = []
+            if kind == "twice":
+                found = [("card", card(rng), " "), ("card", card(rng), " ")]
+            elif kind == "wrong":
+                found = [(None, card(rng, right=False), " ")]
+            elif kind == "alone":
+                found = [(None, card(rng), " ")]  # a base span
+            elif kind == "phone":
+                found = [(None, "call ", ""), ("phone", f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}", " ")]
+            elif kind == "order":
+                found = [(None, f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}", " ")]  # a base span
+            elif kind == "email":
+                found = [(None, "mail ", ""), ("email", f"ann{rng.randrange(99)} at example dot com", " ")]
+            for name, value, after in found:
+                if name:
+                    start = sum(map(len, parts))
+                    planted.add((i, name, start, start + len(value)))
+                parts.append(value + after)
+            parts.append(prose(4, rng) + " ")
+        texts.append("".join(parts))
+    got = pii.find_pii(documents(spark, texts)).collect()
+    added = set()
+    for r in got:
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(texts[r["doc_id"]])}
+        more = [s.split(":") for s in r["spans"].split(",") if s and s not in base]
+        assert r["n_added"] == len(more)
+        added |= {(r["doc_id"], k, int(a), int(b)) for k, a, b in more}
+    assert len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added)
+
+
+def test_pii_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")], "doc_id long, text string").withColumn("cands", F.lit("clash")).withColumn("spans", F.lit("x"))
+    assert [r["spans"] for r in pii.find_pii(df).collect()] == ["email:0:5"] * 3
+    assert pii.find_pii(df.limit(0)).count() == 0
