@@ -6,8 +6,13 @@ depth TREE_DEPTH are trained with logistic loss on lexical features of a URL: it
 of characters, number of query parameters, hyphens, longest label, and suffix statistics: the smoothed share of blocked
 URLs among the labelled ones of the same host suffix (last two labels) and of the same first path segment.
 
-Bounds: trees are fitted on TRAIN_URLS labelled URLs at most, those with the smallest hash of the URL; suffix statistics
-come from the same URLs and hold STATS values at most, the commonest; others get the overall share.
+Suffix statistics are counted in Spark over all labelled URLs and joined to the pages by suffix and by segment. For training
+they are out of fold: a URL's statistics leave out the FOLD of it. A suffix that no labelled URL has gets the overall
+share, and so do, in training, the statistics of one URL in HIDDEN, so that trees learn what to say then. Scores of URLs
+of such suffixes are calibrated (a slope and an offset of the log odds) on labelled URLs scored by trees that have
+seen no URL of their suffix; where all labelled URLs have one suffix, they are shrunk to the overall share.
+
+Bounds: trees are fitted on TRAIN_URLS labelled URLs at most, those with the smallest hash of the URL.
 
 Defined results: null URLs and those without `://` have an empty host and path and fit no rule; they are scored like
 others. Without labelled URLs, or with labels of one kind only, the verdict is that kind's, else allow. Repeated rows
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lower_ascii, table
+from quarry.llm.common import broadcast_if_small, discard, free_name, lower_ascii, materialize, table
 
 #: Host, path and verdict of each rule.
 RULES = [
@@ -35,7 +40,15 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-TRAIN_URLS, STATS = 20_000, 2_000
+TRAIN_URLS = 20_000
+#: Folds of labelled URLs, of suffixes for the calibration, and URLs of which one has hidden statistics in training.
+FOLDS, SUFFIX_FOLDS, HIDDEN = 5, 4, 3
+#: Labelled URLs of the overall share that are added to each suffix.
+SMOOTH = 10.0
+#: Least slope of the calibration, so that URLs of suffixes without a label keep their order.
+LEAST_SLOPE = 0.25
+#: Rows of suffix statistics up to which they are broadcast; larger tables are shuffled.
+BROADCAST_ROWS = 500_000
 TREES, TREE_DEPTH, BINS, RATE = 40, 3, 32, 0.2
 
 
@@ -117,65 +130,153 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def lexical_features(url: pd.Series, host: pd.Series, path: pd.Series) -> np.ndarray:
-    rows = []
-    for u, h, p in zip(url.fillna(""), host, path, strict=True):
-        counts = np.unique(np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] / max(len(u), 1)
-        query = u.partition("?")[2].partition("#")[0]
-        labels = h.split(".")
-        rows.append((len(u), len(h), p.count("/"), sum(c.isdigit() for c in u) / max(len(u), 1), float(-(counts * np.log2(counts)).sum()) if len(u) else 0.0, query.count("=") + query.count("&"), u.count("-"), len(labels), max(map(len, labels)), float(u.startswith("https"))))
-    return np.array(rows, dtype=float).reshape(len(rows), 10)
+    """Ten columns, counted over the code points of all the URLs at once."""
+
+    def points(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        encoded = [t.encode("utf-32-le", "surrogatepass") for t in column.fillna("")]
+        sizes = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+        return np.frombuffer(b"".join(encoded), np.uint32), np.repeat(np.arange(len(encoded)), sizes), sizes
+
+    n = len(url)
+    chars, row, size = points(url)
+    count = lambda hit, rows=row: np.bincount(rows[hit], minlength=n).astype(float)
+    each, times = np.unique((row.astype(np.uint64) << np.uint64(32)) | chars, return_counts=True)
+    owner = (each >> np.uint64(32)).astype(np.int64)
+    share = times / np.maximum(size, 1)[owner]
+    entropy = np.bincount(owner, -share * np.log2(share), n)
+    query = url.fillna("").str.partition("?")[2].str.partition("#")[0] if n else url
+    q_chars, q_row, _ = points(query)
+    h_chars, h_row, h_size = points(host)
+    p_chars, p_row, _ = points(path)
+    longest = np.array([max(map(len, h.split("."))) for h in host], dtype=float) if n else np.zeros(0)
+    digits = count((chars >= 48) & (chars <= 57)) / np.maximum(size, 1)
+    parameters = count((q_chars == 61) | (q_chars == 38), q_row)
+    secure = url.fillna("").str.startswith("https").to_numpy(float) if n else np.zeros(0)
+    return np.column_stack([size, h_size, count(p_chars == 47, p_row), digits, entropy, parameters, count(chars == 45), 1 + count(h_chars == 46, h_row), longest, secure]).astype(float)
+
 
+def suffix(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
 
-def _segments(host: pd.Series, path: pd.Series) -> tuple[pd.Series, pd.Series]:
-    return host.str.split(".").str[-2:].str.join("."), path.str.split("/").str[1].fillna("")
+
+def segment(path: Column) -> Column:
+    """What stands between a path's first two slashes."""
+    return F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit(""))
 
 
 @dataclass
 class Model:
     trees: Trees
-    overall: float
-    stats: list[dict[str, float]]
-
-    def features(self, url: pd.Series, host: pd.Series, path: pd.Series) -> np.ndarray:
-        stats = [s.map(t).fillna(self.overall).to_numpy(float) for s, t in zip(_segments(host, path), self.stats, strict=True)]
-        return np.column_stack([lexical_features(url, host, path), *stats])
-
-
-def fit(url: pd.Series, host: pd.Series, path: pd.Series, blocked: np.ndarray) -> Model:
-    overall = float(blocked.mean()) if len(blocked) else 0.0
-    stats = []
-    for s in _segments(host, path):
-        known = pd.DataFrame({"s": s.to_numpy(), "b": blocked}).groupby("s")["b"].agg(["sum", "count"]).sort_values("count", ascending=False, kind="stable").head(STATS)
-        stats.append(dict(zip(known.index, (known["sum"] + 10 * overall) / (known["count"] + 10), strict=True)))
-    model = Model(Trees(), overall, stats)
-    model.trees = fit_trees(model.features(url, host, path), blocked.astype(float))
+    overall: float = 0.0
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def block_score(self, lexical: np.ndarray, stats: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+        """Probability of block from features and statistics (suffix, segment; nan for the overall share)."""
+        z = self.trees.score(np.column_stack([lexical, np.where(np.isnan(stats), self.overall, stats)]))
+        z = np.where(unseen, self.slope * z + self.offset, z)
+        return _share(z)
+
+
+def _share(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def calibrate(z: np.ndarray, y: np.ndarray, suffixes: int) -> tuple[float, float]:
+    """Slope (LEAST_SLOPE at least) and offset of log odds, fitted with smoothed targets; the fewer suffixes there are to judge by,
+    the more the slope is held to a half."""
+    pull = 1.0 / suffixes
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    a, b = 0.5, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    for _ in range(300):  # one after the other, so that the offset follows a slope at its bound
+        p = _share(a * z + b)
+        w = np.maximum(p * (1 - p), 1e-6)
+        a = max(LEAST_SLOPE, a - np.clip((((p - target) * z).mean() + pull * (a - 0.5)) / ((w * z * z).mean() + pull), -1, 1))
+        p = _share(a * z + b)
+        b -= np.clip((p - target).mean() / np.maximum(p * (1 - p), 1e-6).mean(), -1, 1)
+    return float(a), float(b)
+
+
+def fit(rows: pd.DataFrame, overall: float) -> Model:
+    """A model from labelled URLs: url, host, path, blocked, suffix, suffix_share and segment_share (out of fold), hide."""
+    y = rows["blocked"].to_numpy(float)
+    lexical = lexical_features(rows["url"], rows["host"], rows["path"])
+    stats = rows[["suffix_share", "segment_share"]].to_numpy(float)
+    hidden = np.where(rows["hide"].to_numpy(bool)[:, None], overall, np.where(np.isnan(stats), overall, stats))
+    model = Model(fit_trees(np.column_stack([lexical, hidden]), y), overall)
+    if not len(y) or y.min() == y.max():
+        return model
+    codes, suffixes = pd.factorize(rows["suffix"], sort=True)
+    groups = codes % SUFFIX_FOLDS
+    z = np.full(len(y), np.nan)
+    for g in np.unique(groups) if len(suffixes) > 1 else ():
+        out = groups == g
+        trees = fit_trees(np.column_stack([lexical, hidden])[~out], y[~out])
+        z[out] = trees.score(np.column_stack([lexical[out], np.full(out.sum(), overall), np.where(np.isnan(stats[out, 1]), overall, stats[out, 1])]))
+    share = min(max(overall, 1e-3), 1 - 1e-3)
+    model.slope, model.offset = calibrate(z, y, len(suffixes)) if len(suffixes) > 1 else (0.5, 0.5 * float(np.log(share / (1 - share))))
     return model
 
 
-def train(labelled: DataFrame, limit: int = TRAIN_URLS) -> Model:
-    """A model from labelled URLs (url, host, path, verdict)."""
-    known = labelled.where("url is not null and verdict is not null").select("url", "host", "path", "verdict").distinct()
-    rows = known.orderBy(F.xxhash64("url"), "url").limit(limit).toPandas()
-    return fit(rows["url"], rows["host"], rows["path"], (rows["verdict"] == "block").to_numpy(float))
+@dataclass
+class Trained:
+    """A model with the tables of its statistics: of all labelled URLs, the smoothed share of blocked ones by suffix and by segment."""
+
+    model: Model
+    suffixes: DataFrame
+    segments: DataFrame
+
 
+def _shares(labelled: DataFrame, key: str, overall: float) -> DataFrame:
+    """key, share, and by_fold: the share without the URLs of each fold."""
+    by_fold = labelled.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    total = by_fold.groupBy(key).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("own"))
+    share = lambda n, b: (b + SMOOTH * overall) / (n + SMOOTH)
+    part = lambda fold, c: F.coalesce(F.col("own")[F.lit(fold)][c], F.lit(0))
+    folds = F.array(*(F.when(F.col("n") > part(f, "n"), share(F.col("n") - part(f, "n"), F.col("b") - part(f, "b"))) for f in range(FOLDS)))
+    return total.select(key, share(F.col("n"), F.col("b")).alias("share"), folds.alias("by_fold"))
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: Model | None = None) -> DataFrame:
+
+def train(labelled: DataFrame, limit: int = TRAIN_URLS) -> Trained:
+    """A model from labelled URLs (url, host, path, verdict)."""
+    known = labelled.where("url is not null and verdict is not null").select("url", "host", "path", "verdict").distinct()
+    known = known.select("url", "host", "path", F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("blocked"), suffix(F.col("host")).alias("suffix"), segment(F.col("path")).alias("segment"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("fold"))
+    known = materialize(known, "url-labelled")
+    overall = float(known.agg(F.avg("blocked")).first()[0] or 0.0)
+    suffixes, segments = (materialize(_shares(known, key, overall), f"url-{key}") for key in ("suffix", "segment"))
+    sample = known.orderBy(F.xxhash64("url"), "url").limit(limit)
+    for table_, key in ((suffixes, "suffix"), (segments, "segment")):
+        sample = sample.join(table_.select(key, F.col("by_fold").alias(f"{key}_folds")), key, "left").withColumn(f"{key}_share", F.get(f"{key}_folds", F.col("fold"))).drop(f"{key}_folds")
+    rows = sample.withColumn("hide", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(HIDDEN)) == 0).drop("segment", "fold").toPandas().sort_values("url", kind="stable", ignore_index=True)
+    discard(known)
+    return Trained(fit(rows, overall), suffixes.drop("by_fold"), segments.drop("by_fold"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, trained: Trained | None = None) -> DataFrame:
     """pages with host, path, rule, verdict and block_score (the trees' probability of block)."""
-    kept = pages.drop("host", "path", "rule", "verdict", "block_score")
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
     host, path = url_parts(F.col("url"))
-    parted = kept.withColumn("host", host).withColumn("path", path)
+    parted = pages.select(*own, host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parted.withColumn("rule", rule).withColumn("verdict", verdict)
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(ruled))
+    trained = trained or train(ruled)
+    shared = pages.sparkSession.sparkContext.broadcast(trained.model)
+    of_suffix, of_segment = (free_name(c, ruled.columns) for c in ("suffix_share", "segment_share"))
+    for stats, key, of, name in ((trained.suffixes, suffix(F.col("host")), "suffix", of_suffix), (trained.segments, segment(F.col("path")), "segment", of_segment)):
+        known = free_name(f"known_{of}", ruled.columns)
+        small = stats.select(F.col(of).alias(known), F.col("share").alias(name))
+        ruled = ruled.join(broadcast_if_small(small, stats.count(), BROADCAST_ROWS), key == F.col(known), "left").drop(known)
 
     @F.pandas_udf("double")
-    def block_score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def block_score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = shared.value
-        for url, h, p in batches:
-            yield pd.Series(1 / (1 + np.exp(-m.trees.score(m.features(url, h, p))))) if len(url) else pd.Series(dtype=float)
+        for url, h, p, a, b in batches:
+            stats = np.column_stack([a.to_numpy(float), b.to_numpy(float)])
+            yield pd.Series(m.block_score(lexical_features(url, h, p), stats, np.isnan(stats[:, 0])), dtype=float)
 
-    scored = ruled.withColumn("block_score", block_score("url", "host", "path"))
-    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")))
+    scored = ruled.withColumn("block_score", block_score("url", "host", "path", of_suffix, of_segment))
+    return scored.withColumn("verdict", F.coalesce("verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))).drop(of_suffix, of_segment)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
