@@ -292,6 +292,56 @@ def test_url_filter(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, best and best[0] + best[1])
         assert got[i]["verdict"] == best[2] if best else got[i]["verdict"] in ("allow", "block")
     assert url_filter.judge(df.limit(0)).count() == 0
+    twice = url_filter.judge(df.union(df).withColumn("suffix_share", F.lit("clash"))).collect()
+    assert len(twice) == 2 * len(URLS) and {r["suffix_share"] for r in twice} == {"clash"}
+
+
+def test_url_features_by_hand():
+    import pandas as pd
+
+    urls = ["https://a-b.Example.com/en/1?x=1&y=2#z", "", None, "x://é🙂.com", "http://h/" + "a" * 5000]
+    host, path = pd.Series(["a-b.example.com", "", "", "é🙂.com", "h"]), pd.Series(["/en/1", "", "", "", "/" + "a" * 5000])
+    got = url_filter.lexical_features(pd.Series(urls), host, path)
+    for i, u in enumerate(u or "" for u in urls):
+        p = np.array([u.count(c) for c in set(u)]) / max(len(u), 1)
+        query = u.partition("?")[2].partition("#")[0]
+        expected = [len(u), len(host[i]), path[i].count("/"), sum(c.isdigit() for c in u) / max(len(u), 1), -(p * np.log2(p)).sum() if u else 0, query.count("=") + query.count("&"), u.count("-"), host[i].count(".") + 1, max(map(len, host[i].split("."))), u.startswith("https")]
+        assert np.allclose(got[i], expected), u
+    assert url_filter.lexical_features(pd.Series([], dtype=str), pd.Series([], dtype=str), pd.Series([], dtype=str)).shape == (0, 10)
+
+
+def labelled_urls(rng, hosts, n):
+    """URLs of hosts, to block where they have many digits and parameters, whatever the host."""
+    rows = []
+    for _ in range(n):
+        h, bad = rng.choice(hosts), rng.random() < 0.4
+        tail = f"{rng.randrange(10**9):09d}?a={rng.randrange(9999)}&b={rng.randrange(9999)}" if bad else prose(2, rng).replace(" ", "/")
+        rows.append((f"http://{h}/{tail}", h, f"/{tail.partition('?')[0]}", "block" if bad else "allow"))
+    return rows
+
+
+def test_url_verdicts_of_suffixes_that_no_label_has(spark):
+    rng = random.Random(6)
+    columns = "url string, host string, path string, verdict string"
+    trained = url_filter.train(spark.createDataFrame(labelled_urls(rng, [f"w.s{i}.com" for i in range(12)], 3000), columns))
+    other = labelled_urls(rng, [f"w.t{i}.org" for i in range(12)], 600)
+    got = {r["url"]: r for r in url_filter.judge(spark.createDataFrame(other, columns), [], trained).collect()}
+    assert np.mean([got[u]["verdict"] == v for u, _, _, v in other]) > 0.9
+
+
+def test_url_statistics_leave_a_url_out(spark):
+    rows = [(f"http://a.x{i}.com/", f"a.x{i}.com", "/", "block" if i % 2 else "allow") for i in range(40)]
+    known = spark.createDataFrame([(u, int(v == "block") * 1.0, h[2:], i % 5) for i, (u, h, _, v) in enumerate(rows)], "url string, blocked double, suffix string, fold int")
+    got = url_filter._shares(known, "suffix", 0.5).collect()
+    # a suffix of one URL: nothing is known of it out of its own fold
+    assert all(sum(x is None for x in r["by_fold"]) == 1 and np.isclose(r["share"], (10 * 0.5 + int(r["suffix"][1:-4]) % 2) / 11) for r in got)
+
+
+def test_url_filter_on_the_tables(spark):
+    got = url_filter.op6_url_filter(spark, "/root/testdata/sf0.01").toPandas()
+    free = got[got["rule"].isna()]
+    unseen = free[free["host"].str.endswith(".org")]
+    assert len(unseen) and unseen["block_score"].max() < 0.98 and unseen["block_score"].nunique() > 1
 
 
 def test_trees_learn():
@@ -497,3 +547,64 @@ def test_pii_odd_rows(spark):
     df = spark.createDataFrame([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")], "doc_id long, text string").withColumn("cands", F.lit("clash")).withColumn("spans", F.lit("x"))
     assert [r["spans"] for r in pii.find_pii(df).collect()] == ["email:0:5"] * 3
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def message(*fields):
+    """A protobuf message of (number, value): int, float, str or bytes."""
+    import struct
+
+    def varint(v):
+        out = bytearray()
+        while True:
+            out.append(v & 127 | (128 if v > 127 else 0))
+            v >>= 7
+            if not v:
+                return bytes(out)
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def unigram_model(byte_fallback, trim):
+    """A unigram model written by hand: single letters, pieces of the vocabulary's words and, with fallback, all bytes."""
+    rng = random.Random(2)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if byte_fallback:
+        pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    words = {("▁" if rng.random() < 0.5 else "") + w[: rng.randint(1, 6)] for w in VOCABULARY} - set("abcdefghij▁é.")
+    pieces += [(p, -2.0 - rng.random() * 8, 1) for p in ["▁", *"abcdefghijé.", *sorted(words)]]
+    spec = message((1, "identity"), (3, 1), (4, int(trim)), (5, 1))
+    return message(*((1, message((1, p), (2, s), (3, k))) for p, s, k in pieces), (2, message((3, 1), (35, int(byte_fallback)))), (3, spec))
+
+
+@pytest.mark.parametrize(("byte_fallback", "trim"), [(True, False), (True, True), (False, False)])
+def test_unigram_parity(spark, byte_fallback, trim):
+    import sentencepiece
+
+    model = unigram_model(byte_fallback, trim)
+    parsed = sentencepiece_codec.parse_model(model)
+    assert parsed.model_type == 1 and parsed.byte_fallback == byte_fallback and parsed.remove_extra_whitespaces == trim
+    rng = random.Random(3)
+    texts = [prose(rng.randint(1, 60), rng) for _ in range(80)] + ["", None, "é.é a", " a  b " if byte_fallback else "a b", prose(4000, rng)]
+    texts += ["xyz 日本 🙂 a", "tab\there"] if byte_fallback else []
+    reference = sentencepiece.SentencePieceProcessor(model_proto=model)
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(documents(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i]["ids"]) == reference.encode(t or ""), (i, t)
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(sentencepiece_codec.encode(documents(spark, texts), model), model).collect()}
+    assert all(back[i] == reference.decode(reference.encode(t or "")) for i, t in enumerate(texts))
+
+
+def test_sentencepiece_odd_rows(spark):
+    model = sentencepiece_codec.load_model()
+    df = spark.createDataFrame([(None, "ab"), (1, "ab"), (1, "ab")], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    assert len({tuple(r["ids"]) for r in sentencepiece_codec.encode(df, model).collect()}) == 1
+    assert sentencepiece_codec.encode(df.limit(0), model).count() == 0
