@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rows in one Arrow batch. Texts may be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes in one Arrow batch, whichever is reached first. Texts may be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 #: Bytes of text handled at once inside a task; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 18
 
@@ -26,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
