@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language_id, line_dedup, minhash_dedup, sentencepiece_codec
-from quarry.llm.common import materialize, table
+from quarry.llm.common import broadcast_if_small, materialize, table
 
 #: Posterior probability under which a predicted language is no decision and the document is rejected.
 LEAST_SCORE = 0.5
 #: Similarity of near duplicates in percent, and the bands for it: of pairs at 80 percent one in 7 million meets in no band.
 NEAR_PERCENT, NEAR_BANDS = 80, 40
+#: Keys of 32 characters up to which a list of documents is broadcast; a longer one is shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     spans = decontamination.contamination_spans(docs.select("text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    leaked = spans.select(F.col("text_key").alias("leaked_key")).distinct()
-    return docs.join(leaked, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("leaked_key"), "left_anti")
+    leaked = materialize(spans.select(F.col("text_key").alias("leaked_key")).distinct(), "leaked")
+    return docs.join(broadcast_if_small(leaked, leaked.count(), BROADCAST_KEYS), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")) == F.col("leaked_key"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Classifier, tokenizer and near-dedup have no SQL: the stages are tested one by one against brute force.
+#: Classifier and tokenizer have no SQL: tests hold the documents and texts that each stage keeps against brute force.
 ORACLE_SQL = None
