@@ -30,5 +30,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["weak_signals"](spark, sf_dir)
 
 
-for _module in ("profile_queries", "signal_queries", "entity_queries", "graph_queries", "search_queries", "stream_queries", "source_queries", "pipeline_queries"):
+for _module in ("profile_queries", "signal_queries", "entity_queries", "graph_queries", "search_queries", "stream_queries", "source_queries", "pipeline_queries", "record_queries"):
     importlib.import_module(f"quarry.plans.{_module}")
