@@ -224,9 +224,14 @@ def feature(features: Column, name: str) -> Column:
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
-    x, y = (F.array_distinct(F.split(s, "")) for s in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return jaccard_of(*(F.array_distinct(F.split(s, "")) for s in (a, b)))
+
+
+def jaccard_of(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats."""
+    common = F.size(F.array_intersect(x, y))
+    union = F.size(x) + F.size(y) - common
+    return F.when(union == 0, 0.0).otherwise(common / union)
 
 
 # --- scores ---

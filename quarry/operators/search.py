@@ -86,17 +86,21 @@ def title_overlap(titles: DataFrame, techs: DataFrame, title: str, name: str, sc
 
     techs is a list of scored names and is joined by word, so titles meet only names that share a word with them."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 1))
-    t = titles.withColumn("_w", F.explode_outer(words(F.col(title))))
+    t = titles.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", F.explode_outer(words(F.col(title))))
     n = techs.select(F.explode(words(F.col(name))).alias("_w"), F.col(score).alias("_s")).groupBy("_w").agg(F.max("_s").alias("_s"))
     mean = techs.agg((F.avg(score) * 0.5).alias("_m"))
-    return t.join(n, "_w", "left").groupBy(*titles.columns).agg(F.max("_s").alias("_s")).join(F.broadcast(mean)).select(*titles.columns, F.coalesce("_s", "_m", F.lit(0.0)).alias("hot"))
+    return t.join(n, "_w", "left").groupBy("_row", *titles.columns).agg(F.max("_s").alias("_s")).join(F.broadcast(mean)).select(*titles.columns, F.coalesce("_s", "_m", F.lit(0.0)).alias("hot"))
 
 
 def history_similarity(titles: DataFrame, history: DataFrame, key: str, title: str, latest: int = 200) -> DataFrame:
     """1 less the greatest character Jaccard with any of the latest titles of the history (J14, D7); the history is a list of fixed length."""
-    old = history.orderBy(F.desc("at"), "title").limit(latest).agg(F.collect_list("title").alias("old"))
-    best = F.array_max(F.transform("old", lambda o: S.char_jaccard(F.col(title), o)))
-    return titles.join(F.broadcast(old)).select(key, (1 - F.coalesce(best, F.lit(0.0))).alias("novelty"))
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    # the letters of each title are split once, and those of equal sets of letters compared once
+    old = history.orderBy(F.desc("at"), "title").limit(latest).agg(F.collect_set(F.array_sort(letters(F.col("title")))).alias("_old"))
+    own = titles.select(key, F.array_sort(letters(F.col(title))).alias("_own"))
+    best = F.array_max(F.transform("_old", lambda o: S.jaccard_of(F.col("_own"), o)))
+    scored = own.select("_own").distinct().join(F.broadcast(old)).select("_own", (1 - F.coalesce(best, F.lit(0.0))).alias("novelty"))
+    return own.join(scored.withColumnRenamed("_own", "_set"), F.col("_own").eqNullSafe(F.col("_set"))).select(key, "novelty")
 
 
 def tfidf(docs: DataFrame, key: str, terms: str, k: int = 5) -> DataFrame:

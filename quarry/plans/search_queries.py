@@ -40,10 +40,10 @@ def _(t):
     return search.bm25(t("documents"), "doc_id", F.col("text"), ["idiot", "keit"])
 
 
-@query("dual_retrieval", "SELECT k, max(score) AS score FROM (SELECT c_custkey AS k, round(c_acctbal, 2) AS score FROM customer WHERE c_nationkey = 3 UNION ALL SELECT o_custkey, round(o_totalprice / 100, 2) FROM orders WHERE o_orderkey % 11 = 0) GROUP BY k")
+@query("dual_retrieval", "SELECT k, max(score) AS score FROM (SELECT c_custkey AS k, round(c_acctbal, 2) AS score FROM customer WHERE c_nationkey = 3 UNION ALL SELECT o_custkey, round(o_totalprice / 100, 2) FROM orders) GROUP BY k")
 def _(t):
     a = t("customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 2).alias("score"))
-    b = t("orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("k"), F.round(F.col("o_totalprice") / 100, 2).alias("score"))
+    b = t("orders").select(F.col("o_custkey").alias("k"), (F.round(F.col("o_totalprice") / 100 * 100) / 100).alias("score"))
     return search.merge_hits([a, b], "k")
 
 
@@ -64,19 +64,19 @@ def _(t):
     return spans.select("l_orderkey", F.size(search.select_spans(F.col("spans"))).alias("kept"), F.size("spans").alias("spans"))
 
 
-@query("title_dedup_jaccard", """WITH h AS (SELECT p_name FROM part WHERE p_partkey <= 200)
+@query("title_dedup_jaccard", """WITH h AS (SELECT p_name FROM part ORDER BY p_partkey DESC, p_name LIMIT 200)
  SELECT p_partkey, round(1 - max(len(list_intersect(list_distinct(string_split(p.p_name, '')), list_distinct(string_split(h.p_name, '')))) / len(list_distinct(list_concat(string_split(p.p_name, ''), string_split(h.p_name, ''))))::DOUBLE), 6) AS novelty
- FROM part p, h WHERE p_partkey > 200 GROUP BY 1""")
+ FROM part p, h GROUP BY 1""")
 def _(t):
-    history = t("part").where("p_partkey <= 200").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("at"))
-    found = search.history_similarity(t("part").where("p_partkey > 200").select("p_partkey", "p_name"), history, "p_partkey", "p_name")
+    history = t("part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("at"))
+    found = search.history_similarity(t("part").select("p_partkey", "p_name"), history, "p_partkey", "p_name")
     return found.withColumn("novelty", F.round("novelty", 6))
 
 
-@query("name_overlap_score", """WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), n AS (SELECT w, max(p_size / 50.0::DOUBLE) AS s FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w, p_size FROM part WHERE p_partkey <= 20) WHERE length(w) > 1 GROUP BY 1)
- SELECT p_partkey, round(coalesce(max(s), (SELECT avg(p_size / 50.0::DOUBLE) * 0.5 FROM part WHERE p_partkey <= 20)), 6) AS hot FROM w LEFT JOIN n ON w.w = n.w AND length(w.w) > 1 GROUP BY 1""")
+@query("name_overlap_score", """WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), n AS (SELECT w, max(p_size / 50.0::DOUBLE) AS s FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w, p_size FROM part) WHERE length(w) > 1 GROUP BY 1)
+ SELECT p_partkey, round(coalesce(max(s), (SELECT avg(p_size / 50.0::DOUBLE) * 0.5 FROM part)), 6) AS hot FROM w LEFT JOIN n ON w.w = n.w AND length(w.w) > 1 GROUP BY 1""")
 def _(t):
-    techs = t("part").where("p_partkey <= 20").select("p_name", (F.col("p_size") / 50.0).alias("fusion"))
+    techs = t("part").select("p_name", (F.col("p_size") / 50.0).alias("fusion"))
     return search.title_overlap(t("part").select("p_partkey", "p_name"), techs, "p_name", "p_name", "fusion").select("p_partkey", F.round("hot", 6).alias("hot"))
 
 
@@ -91,11 +91,11 @@ def _(t):
     return t("documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("n_terms"))
 
 
-@query("tfidf_keywords", """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 1)) AS term FROM documents WHERE lang = 'es') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
- SELECT doc_id, term, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents WHERE lang = 'es')) / (1.0::DOUBLE + df)) + 1), 6) AS score FROM tf JOIN df USING (term))) WHERE rank <= 5""")
+@query("tfidf_keywords", """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 1)) AS term FROM documents) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+ SELECT doc_id, term, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1), 6) AS score FROM tf JOIN df USING (term))) WHERE rank <= 5""")
 def _(t):
     terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: F.length(x) > 1)
-    return search.tfidf(t("documents").where("lang = 'es'").select("doc_id", terms.alias("terms")), "doc_id", "terms")
+    return search.tfidf(t("documents").select("doc_id", terms.alias("terms")), "doc_id", "terms")
 
 
 @query("context_pack", "SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY event_id) AS used FROM events) WHERE used <= 200 GROUP BY 1")
