@@ -41,12 +41,17 @@ def merge_first(df: DataFrame, key: str, order: str, columns: list[str]) -> Data
 
 
 def weak_clusters(df: DataFrame, keys: list[str], order: str, same: Callable[[str, str], Column]) -> DataFrame:
-    """Rows of equal keys joined to the group's head where the predicate holds, else on their own (J15): adds head."""
-    heads = df.groupBy(*keys).agg(F.min(order).alias("_h"))
-    head_rows = df.select(*keys, *[F.col(c).alias(f"h_{c}") for c in df.columns if c not in keys])
-    joined = df.join(heads, keys).join(head_rows, keys).where(F.col(f"h_{order}") == F.col("_h"))
+    """Rows of equal keys joined to the group's head where the predicate holds, else on their own, as are rows with a null key (J15): adds head."""
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | F.col(k).isNull()
+    keyed = df.where(~blank)
+    heads = keyed.groupBy(*keys).agg(F.min(order).alias("_h"))
+    head_rows = keyed.select(*keys, *[F.col(c).alias(f"h_{c}") for c in df.columns if c not in keys])
+    joined = keyed.join(heads, keys).join(head_rows, keys).where(F.col(f"h_{order}") == F.col("_h"))
     out = joined.withColumn("head", F.when((F.col(order) == F.col("_h")) | same("", "h_"), F.col("_h")).otherwise(F.col(order)))
-    return out.select(*df.columns, "head")
+    alone = df.where(blank).select(*df.columns, F.col(order).alias("head"))
+    return out.select(*df.columns, "head").unionByName(alone)
 
 
 def name_index(entities: DataFrame, order: str) -> DataFrame:
@@ -61,22 +66,23 @@ def resolve_endpoints(edges: DataFrame, index: DataFrame, column: str, entity_ty
     return joined.withColumn(column, F.coalesce("_id", S.name_id(F.col(column)))).drop("_t", "_n", "_id")
 
 
-def dedup_documents(docs: DataFrame, id_column: str = "raw_key", title_column: str = "title_key", rank: str = "rank", rounds: int = 50) -> DataFrame:
+def dedup_documents(docs: DataFrame, id_column: str = "raw_key", title_column: str = "title_key", rank: str = "rank") -> DataFrame:
     """The sequential rule as rounds (D1): a row is kept if it is the first live row of both its id and its title; what it conflicts with goes.
 
-    Dropped rows do not mark their keys. An empty or null title takes part in the id key only. Every round is checkpointed."""
-    live = docs.select(id_column, F.when(F.col(title_column) != "", F.col(title_column)).alias(title_column), rank)
+    Dropped rows do not mark their keys. A null id and an empty or null title are no key. Every round keeps the first live row
+    at least and is checkpointed; rounds go on until no row is live."""
+    own = lambda c, none: F.when(none, F.struct(F.lit(None).cast("string").alias("key"), F.col(rank).cast("string").alias("row"))).otherwise(F.struct(F.col(c).cast("string").alias("key"), F.lit(None).cast("string").alias("row")))
+    live = docs.select(own(id_column, F.col(id_column).isNull()).alias("_i"), own(title_column, F.coalesce(F.col(title_column), F.lit("")) == "").alias("_t"), rank)
     kept = None
-    for _ in range(rounds):
-        by_id, by_title = Window.partitionBy(id_column).orderBy(rank), Window.partitionBy(title_column).orderBy(rank)
-        first = live.withColumn("_i", F.row_number().over(by_id)).withColumn("_t", F.when(F.col(title_column).isNull(), 1).otherwise(F.row_number().over(by_title)))
-        winners = first.where("_i = 1 and _t = 1").select(id_column, title_column, rank)
-        winners = winners.checkpoint()
+    while True:
+        first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(rank))
+        winners = live.withColumn("_ni", first("_i")).withColumn("_nt", first("_t")).where("_ni = 1 and _nt = 1").select("_i", "_t", rank).checkpoint()
         kept = winners if kept is None else kept.unionByName(winners)
-        live = live.join(winners.select(id_column), id_column, "left_anti").join(winners.where(F.col(title_column).isNotNull()).select(title_column), title_column, "left_anti").checkpoint()
+        live = live.join(winners.select("_i"), "_i", "left_anti").join(winners.select("_t"), "_t", "left_anti")
+        # a key without a value is a struct with a null in it, which equals none: its row goes by rank
+        live = live.join(winners.select(rank), rank, "left_anti").select("_i", "_t", rank).checkpoint()
         if live.isEmpty():
-            break
-    return docs.join(kept.select(rank), rank, "left_semi")
+            return docs.join(kept.select(rank), rank, "left_semi")
 
 
 def dedup_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import email.utils
 import json
 import time
 import urllib.error
@@ -86,6 +87,20 @@ class Page(InputPartition):
         self.number = number
 
 
+def told(after: str | None, default: float) -> float:
+    """Seconds to wait by a Retry-After header, which gives seconds or a date."""
+    if not after:
+        return default
+    try:
+        return max(0.0, float(after))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, email.utils.parsedate_to_datetime(after).timestamp() - time.time())
+    except ValueError:
+        return default
+
+
 def fetch(url: str, headers: dict[str, str], tries: int = 4, wait: float = 1.0) -> bytes:
     """GET with retries: 429 waits as told, 401 and 403 are final, others back off exponentially."""
     for attempt in range(tries):
@@ -95,7 +110,7 @@ def fetch(url: str, headers: dict[str, str], tries: int = 4, wait: float = 1.0)
         except urllib.error.HTTPError as error:
             if error.code in (401, 403) or attempt == tries - 1:
                 raise
-            time.sleep(float(error.headers.get("Retry-After", wait * 2**attempt)) if error.code == 429 else wait * 2**attempt)
+            time.sleep(told(error.headers.get("Retry-After"), wait * 2**attempt) if error.code == 429 else wait * 2**attempt)
         except OSError:
             if attempt == tries - 1:
                 raise
