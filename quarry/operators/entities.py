@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.session import checkpointed
 
 Mapping = dict[str, tuple[str | Column, Callable[[Column], Column] | None]]
 
@@ -76,11 +77,11 @@ def dedup_documents(docs: DataFrame, id_column: str = "raw_key", title_column: s
     kept = None
     while True:
         first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(rank))
-        winners = live.withColumn("_ni", first("_i")).withColumn("_nt", first("_t")).where("_ni = 1 and _nt = 1").select("_i", "_t", rank).checkpoint()
+        winners = checkpointed(live.withColumn("_ni", first("_i")).withColumn("_nt", first("_t")).where("_ni = 1 and _nt = 1").select("_i", "_t", rank))
         kept = winners if kept is None else kept.unionByName(winners)
         live = live.join(winners.select("_i"), "_i", "left_anti").join(winners.select("_t"), "_t", "left_anti")
         # a key without a value is a struct with a null in it, which equals none: its row goes by rank
-        live = live.join(winners.select(rank), rank, "left_anti").select("_i", "_t", rank).checkpoint()
+        live = checkpointed(live.join(winners.select(rank), rank, "left_anti").select("_i", "_t", rank))
         if live.isEmpty():
             return docs.join(kept.select(rank), rank, "left_semi")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.session import checkpointed
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -30,11 +31,11 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, l
     seen = frontier.select("at")
     for _ in range(max_depth):
         step = frontier.join(both, F.col("at") == F.col("src")).select(F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = step.join(seen, "at", "left_anti").checkpoint()
+        frontier = checkpointed(step.join(seen, "at", "left_anti"))
         found = frontier.where(F.col("at") == goal)
         if not found.isEmpty():
             return found.select("path", (F.size("path") - 1).alias("depth")).orderBy("path").limit(limit)
-        seen = seen.unionByName(frontier.select("at")).distinct().checkpoint()
+        seen = checkpointed(seen.unionByName(frontier.select("at")).distinct())
     return frontier.where("false").select("path", F.size("path").alias("depth"))
 
 

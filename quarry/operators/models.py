@@ -38,6 +38,20 @@ def accept_fills(df: DataFrame, confidence: str, auto: float = 0.80, review: flo
     return df.withColumn("accepted", c >= review).withColumn("needs_review", (c >= review) & (c < auto))
 
 
+def enrich(df: DataFrame, required: list[str], recommended: list[str], prompt: Column, client: Client, least: float = 0.6) -> DataFrame:
+    """A round of enrichment (E6): rows less complete than least are asked about, answers that are accepted fill what is empty, and every row is scored again.
+
+    The client answers with confidence and a map fields. Adds before and after (completeness), accepted and needs_review."""
+    whole = lambda: S.completeness([S.has_value(F.col(c)) for c in required], [S.has_value(F.col(c)) for c in recommended])
+    scored = df.withColumn("before", whole())
+    asked = answer(scored.where(F.col("before") < least), prompt, client, "confidence double, fields map<string,string>")
+    judged = accept_fills(asked.withColumn("_confidence", F.coalesce("answer.confidence", F.lit(0.0))), "_confidence")
+    fill = lambda c: F.when(~S.has_value(F.col(c)) & F.col("accepted"), F.coalesce(F.col("answer.fields")[c], F.col(c))).otherwise(F.col(c))
+    filled = judged.select(*[fill(c).alias(c) if c in (*required, *recommended) else F.col(c) for c in df.columns], "before", "accepted", "needs_review")
+    rest = scored.where(F.col("before") >= least).select(*df.columns, "before", F.lit(False).alias("accepted"), F.lit(False).alias("needs_review"))
+    return filled.unionByName(rest).withColumn("after", whole())
+
+
 def map_predicates(triples: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mapped, unmapped) triples by predicate and end types (J11, W10); the unmapped are staged with shortened columns."""
     joined = triples.join(F.broadcast(mapping), ["predicate", "subj_type", "obj_type"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.session import checkpointed
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,22 +25,36 @@ def knn(vectors: DataFrame, vector: list[float], k: int = 20, key: str = "vec_id
 
 
 def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for query terms by BM25 (K3): term counts of the documents with a term, one pass for the statistics."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    counted = docs.select(key, words.alias("words"))
-    tf = [F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = counted.select(key, F.size("words").alias("n"), *tf)
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    joined = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.ln(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("n") / F.col("avg")))
-    return joined.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
-
-
-def _equals(term: str):
-    return lambda w: w == term
+    """The k best documents for query terms, words of a-z and 0-9, by BM25 (K3)."""
+    return _best(docs, key, [(text, 1.0)], terms, k, k1, b)
+
+
+def best_field(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best documents by the best of their fields, each field's BM25 being multiplied by its weight (K3)."""
+    return _best(docs, key, [(F.col(c), w) for c, w in fields.items()], terms, k, k1, b)
+
+
+def _best(docs: DataFrame, key: str, fields: list[tuple[Column, float]], terms: list[str], k: int, k1: float, b: float) -> DataFrame:
+    # the counts of words are written, so that texts are read once and statistics and scores are taken from narrow rows
+    counts = []
+    for f, (text, _) in enumerate(fields):
+        lowered = F.lower(F.coalesce(text, F.lit("")))
+        counts.append(F.regexp_count(lowered, F.lit("[a-z0-9]+")).alias(f"n{f}"))
+        counts += [F.regexp_count(lowered, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"tf{f}_{i}") for i, t in enumerate(terms)]
+    rows = checkpointed(docs.select(key, *counts))
+    pairs = [(f, i) for f in range(len(fields)) for i in range(len(terms))]
+    stats = rows.agg(F.count("*").alias("docs"), *[F.avg(f"n{f}").alias(f"avg{f}") for f in range(len(fields))], *[F.count_if(F.col(f"tf{f}_{i}") > 0).alias(f"df{f}_{i}") for f, i in pairs])
+    joined = rows.where(" or ".join(f"tf{f}_{i} > 0" for f, i in pairs)).join(F.broadcast(stats))
+    scores = []
+    for f, (_, weight) in enumerate(fields):
+        score = F.lit(0.0)
+        for i in range(len(terms)):
+            tf, df = F.col(f"tf{f}_{i}"), F.col(f"df{f}_{i}")
+            idf = F.ln(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
+            score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"n{f}") / F.col(f"avg{f}")))).otherwise(0.0)
+        scores.append(weight * score)
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return joined.select(key, F.round(best, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def merge_hits(hits: list[DataFrame], key: str, score: str = "score") -> DataFrame:
@@ -113,6 +128,28 @@ def tfidf(docs: DataFrame, key: str, terms: str, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "term", "score", "rank")
 
 
+def textrank(docs: DataFrame, key: str, terms: str, k: int = 5, span: int = 5, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    """The k best words of each document by rank in the graph of words that stand within span words of one another (X15), ties by word.
+
+    Documents are independent: a round joins a document's words with its edges, both dealt by document and word. Rows of terms
+    share their document's key; a document without two different words has no graph and no row. Rounds are fixed in number,
+    as in the original, and written every few rounds."""
+    n = F.size("_terms")
+    near = docs.select(key, F.col(terms).alias("_terms"), F.posexplode(terms).alias("_at", "src"))
+    near = near.select(key, "src", F.explode(F.slice("_terms", F.col("_at") + 2, F.least(F.lit(span - 1), n))).alias("dst")).where("src <> dst")
+    both = near.union(near.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = both.groupBy(key, "src", "dst").agg(F.count("*").cast("double").alias("w"))
+    out = edges.groupBy(key, "src").agg(F.sum("w").alias("out"))
+    share = checkpointed(edges.join(out, [key, "src"]).select(key, "src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    rank = share.select(key, F.col("src").alias("term")).distinct().withColumn("score", F.lit(1.0))
+    for i in range(rounds):
+        given = share.join(rank.withColumnRenamed("term", "src"), [key, "src"]).select(key, F.col("dst").alias("term"), (F.col("share") * F.col("score")).alias("got"))
+        rank = given.groupBy(key, "term").agg((1 - damping + damping * F.sum("got")).alias("score"))
+        rank = checkpointed(rank) if i % 5 == 4 else rank
+    w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "term")
+    return rank.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "term", F.round("score", 6).alias("score"), "rank")
+
+
 def llm_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call from its tokens and the model's price for a million (G25); unknown models cost nothing."""
     joined = calls.join(F.broadcast(prices), "model", "left")

@@ -39,8 +39,11 @@ def term_presence(docs: DataFrame, period_from: str, period_to: str, lookback: i
 def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int = 2, mode: str = "presence") -> DataFrame:
     """One row for each term of min_df windows or more: current, mean_history, sd_history, seen, diversity, velocity series and coherence parts."""
     cell = F.lit(1) if mode == "presence" else F.col("docs")
+    # dealt by term once: all groupings, the window and the join below keep to it; a term has no more rows than windows and sources
+    presence = presence.repartition("term")
     by_window = presence.groupBy("term", "win").agg(F.sum("docs").alias("docs"), F.collect_set("source").alias("sources"))
-    by_source = presence.groupBy("term", "source").agg(F.count_distinct("win").alias("n"))
+    # presence has one row for each term, window and source
+    by_source = presence.groupBy("term", "source").agg(F.count("win").alias("n"))
     total = F.sum("n").over(Window.partitionBy("term"))
     p = F.col("n") / total
     spread = by_source.select("term", p.alias("p")).groupBy("term").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count("*").alias("n_sources"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import records
+from quarry.operators import records, rules
 from quarry.plans.registry import query
 
 
@@ -106,7 +106,23 @@ def _(t):
     return kept.select("s_suppkey", F.array_join(records.new_peers(F.array(*map(F.lit, "abc")), related), ",").alias("peers"))
 
 
-@query("bulk_import", "SELECT count(DISTINCT o_custkey) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) AS accepted, count(*) - count(DISTINCT o_custkey) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) AS skipped FROM orders")
+@query("patent_rules", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CN' || (100000000 + o_orderkey) || 'A' END AS cn_patent_number, CASE WHEN o_orderkey % 3 = 1 THEN 'WO2020/' || (100000 + o_custkey) END AS wo_patent_number,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'A61B 5/0,G06F17/3' END AS ipc, o_orderdate::DATE AS application_date FROM orders""")
+def _(t):
+    k = F.col("o_orderkey")
+    number = F.when(k % 3 == 0, F.concat(F.lit("no. cn"), 100000000 + k, F.lit("a of"))).when(k % 3 == 1, F.concat(F.lit("WO2020/"), 100000 + F.col("o_custkey")))
+    fields = t("orders").select("o_orderkey", number.alias("title"), F.when(k % 2 == 0, "A61B 5/0; G06F17/3").alias("raw_IPC"), F.date_format("o_orderdate", "yyyy年M月d日").alias("application_date"))
+    found = rules.extract(fields, "patent", ["o_orderkey"])
+    return found.select("o_orderkey", "cn_patent_number", "wo_patent_number", F.array_join("ipc_codes", ",").alias("ipc"), "application_date")
+
+
+@query("tender_rules", "SELECT s_suppkey, (s_suppkey * 1000 + 0.5)::DOUBLE AS budget_amount, DATE '2024-03-01' AS publish_date FROM supplier")
+def _(t):
+    s = t("supplier").select("s_suppkey", F.concat(F.lit("RMB "), F.format_number(F.col("s_suppkey") * 1000 + F.lit(0.5), 1)).alias("budget_amount"), F.lit("2024/03").alias("publish_date"))
+    return rules.extract(s, "tender", ["s_suppkey"])
+
+
+@query("bulk_import","SELECT count(DISTINCT o_custkey) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) AS accepted, count(*) - count(DISTINCT o_custkey) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)) AS skipped FROM orders")
 def _(t):
     new = t("orders").select(F.col("o_custkey").alias("key"), "o_orderstatus")
     return records.create_records(new, t("customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("key")), "key")[2]

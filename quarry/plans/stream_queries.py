@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans import registry
+from quarry.session import shared_folder
 from quarry.streaming import streams
 
 
 def _available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/quarry-streams').rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     streams.run_available(stream, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def _complete(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/quarry-streams').rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     last = streams.run_complete(stream, f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema)
 

@@ -1,8 +1,10 @@
-"""A session with the settings that the queries expect."""
+"""A session with the settings that the queries expect, and the folder that its driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
@@ -14,3 +16,21 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, dr
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or, where unset in local mode, as in tests, a temporary folder; a cluster has to name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = f"file://{tempfile.gettempdir()}/quarry-checkpoints"
+    return path.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
