@@ -106,12 +106,57 @@ def delete(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def merge_pair(to: DataFrame, other: DataFrame, key: str, keep_max: list[str], columns: list[str]) -> DataFrame:
-    """Attributes of two records of one key: the target's value wins, blanks are filled, some columns take the maximum."""
-    o = other.select(key, *[F.col(c).alias(f"o_{c}") for c in columns])
-    joined = to.join(o, key, "left")
-    value = lambda c: F.greatest(c, f"o_{c}") if c in keep_max else F.coalesce(c, f"o_{c}")
-    return joined.select(key, *[value(c).alias(c) for c in columns])
+#: Attributes of which a merge keeps the greater value, or the later one.
+GREATER = ["confidence", "completeness_score", "updated_at", "last_seen_at"]
+
+
+def merge_entities(records: DataFrame, merged: DataFrame, key: str, columns: list[str], greater: list[str] = GREATER) -> DataFrame:
+    """Records after those of merged (from_id, to_id) went into another one (I3, X45); edges are moved by graph.redirect.
+
+    The target's value stays unless it is empty, then the first present of its sources in id order fills it; attributes of
+    greater keep the greatest. Adds filled (names of the attributes that changed). A pair without a target leaves its source as it
+    is. Sources of a target are aggregated, so one with very many stays one row; pairs of a chain are merged one call at a time."""
+    kind = {c: records.schema[c].dataType.typeName() for c in columns}
+    known = merged.where("from_id <> to_id").join(records.select(F.col(key).alias("to_id")), "to_id", "left_semi")
+    pick = lambda c: F.max(c) if c in greater else F.min_by(c, F.when(S.has_value(F.col(c), kind[c]), F.col(key)))
+    sources = records.join(known, F.col(key) == F.col("from_id")).groupBy("to_id").agg(*[pick(c).alias(f"_{c}") for c in columns])
+    kept = records.join(known.select(F.col("from_id").alias(key)), key, "left_anti").join(sources.withColumnRenamed("to_id", key), key, "left")
+    changed = {}
+    for c in columns:
+        more = S.has_value(F.col(f"_{c}"), kind[c])
+        changed[c] = more & (~S.has_value(F.col(c), kind[c]) | ((F.col(f"_{c}") > F.col(c)) if c in greater else F.lit(False)))
+    values = [F.when(changed[c], F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in records.columns]
+    return kept.select(*values, F.array_compact(F.array(*[F.when(changed[c], c) for c in columns])).alias("filled"))
+
+
+#: Features that add a key to a record.
+FEATURE_KEYS = {"mail": "email", "orcid_pub": "orcid", "doi": "doi", "Patent_number": "patent_number"}
+
+
+def entity_keys(fields: list[str], features: Column, composite: list[str] | None = None) -> Column:
+    """A map of the keys that identify a record (P2): fields that are present, or one key of all composite fields, joined by |, if
+    none of them is empty; then keys from its features."""
+    filled = lambda c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", c.cast("string"))
+    if composite:
+        own = {"_".join(composite): F.concat(*[x for c in composite for x in (F.lit("|"), filled(F.col(c)))][1:])}
+    else:
+        own = {c: filled(F.col(c)) for c in fields}
+    # a feature's key comes after the record's own and wins
+    found = {k: S.feature(features, f) for f, k in FEATURE_KEYS.items()}
+    both = {k: F.coalesce(filled(found[k]), own.get(k, F.lit(None).cast("string"))) if k in found else own[k] for k in [*own, *(f for f in found if f not in own)]}
+    return F.map_filter(F.create_map(*[x for k, v in both.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+
+
+#: The status that a rating gives to what was rated.
+RATINGS = {"accept": "accepted", "reject": "rejected", "revise": "revised"}
+
+
+def apply_feedback(topics: DataFrame, feedback: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
+    """topics with the status that the last known rating gives, others as they are."""
+    known = feedback.where(F.col("rating").isin(list(RATINGS)))
+    last = known.groupBy(key).agg(F.max_by("rating", F.struct(*order)).alias("_rating"))
+    became = F.create_map(*[F.lit(x) for pair in RATINGS.items() for x in pair])[F.col("_rating")]
+    return topics.join(last, key, "left").withColumn(status, F.coalesce(became, F.col(status))).select(*topics.columns)
 
 
 def latest_date(df: DataFrame, key: str, dates: list[str], today: str) -> DataFrame:
@@ -125,6 +170,9 @@ def quality_index(completeness: Column, veracity: Column, timeliness: Column) ->
     return F.round(S.QUALITY["completeness"] * completeness + S.QUALITY["veracity"] * veracity + S.QUALITY["timeliness"] * timeliness, 4)
 
 
-def split_outcomes(df: DataFrame, outcome: str = "outcome") -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, error rows) of a gated table."""
-    return df.where(F.col(outcome) != "REJECT"), df.where(F.col(outcome) == "REJECT").withColumn("message", F.substring(F.lit("required field missing"), 1, 1000))
+def split_outcomes(df: DataFrame, message: Column, stage: str, outcome: str = "outcome") -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, error rows) of a gated table; an error has its stage and a message of 1,000 characters at most.
+
+    A row without an outcome is an error."""
+    bad = F.coalesce(F.col(outcome) == "REJECT", F.lit(True))
+    return df.where(~bad), df.where(bad).select("*", F.lit(stage).alias("stage"), F.substring(message, 1, 1000).alias("error_msg"))

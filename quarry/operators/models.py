@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
+from quarry.session import small
 
 Client = Callable[[list[str]], list[str]]
 
@@ -53,7 +54,17 @@ def enrich(df: DataFrame, required: list[str], recommended: list[str], prompt: C
 
 
 def map_predicates(triples: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mapped, unmapped) triples by predicate and end types (J11, W10); the unmapped are staged with shortened columns."""
-    joined = triples.join(F.broadcast(mapping), ["predicate", "subj_type", "obj_type"], "left")
-    staged = joined.where("rel is null").drop("rel").withColumn("predicate", F.substring("predicate", 1, 64))
-    return joined.where("rel is not null"), staged
+    """(mapped, unmapped) triples by predicate and end types (J11, W10); the unmapped are staged, not lost."""
+    joined = triples.join(small(mapping), ["predicate", "subj_type", "obj_type"], "left")
+    return joined.where("rel is not null"), staged(joined.where("rel is null").drop("rel"))
+
+
+#: Widths of the staging table's columns.
+STAGED = {"subject": 512, "subj_type": 16, "predicate": 64, "object": 512, "obj_type": 16}
+
+
+def staged(triples: DataFrame) -> DataFrame:
+    """Triples as the staging table takes them (W10): names cut to its widths, nulls empty, no confidence 0, not written yet."""
+    cut = {c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, width) for c, width in STAGED.items() if c in triples.columns}
+    sure = {"confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))} if "confidence" in triples.columns else {}
+    return triples.withColumns({**cut, **sure, "written": F.lit(False)})

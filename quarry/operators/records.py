@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
-from quarry.operators import search
+from quarry.operators import search, signals
 
 #: Fields that hold lists, and parts of the names of date and organisation fields.
 LIST_FIELDS = ["authors", "keywords", "ipc_codes", "institutions"]
@@ -211,6 +211,30 @@ def topic_impact(topics: DataFrame, key: str, orgs: DataFrame, projects: DataFra
     return joined.select(*topics.columns, impact(F.col("_orgs"), F.col("_projects")).alias("impact"))
 
 
+def score_topics(topics: DataFrame, key: str, title: str, techs: DataFrame, keywords: list[str], orgs: DataFrame, projects: DataFrame, history: DataFrame) -> DataFrame:
+    """Topics scored by all strategies and fused with their reviews (E5): score_hot by scored names (name, fusion), score_policy by
+    the share of keywords in the title, score_impact by their organisations and projects, score_dedup by the history (title, at).
+
+    topics has key, title, score_llm_gen and the four review_* columns, keys being unique; all joins are by key or by word."""
+    hot = search.title_overlap(topics.select(key, title), techs, title, "name", "fusion").select(key, F.col("hot").alias("score_hot"))
+    reach = topic_impact(topics.select(key), key, orgs, projects).withColumnRenamed("impact", "score_impact")
+    new = search.history_similarity(topics.select(key, title), history, key, title).withColumnRenamed("novelty", "score_dedup")
+    hits = [F.coalesce(F.contains(F.lower(title), F.lit(k.lower())), F.lit(False)).cast("int") for k in keywords]
+    policy = F.least(sum(hits, F.lit(0)) / max(len(keywords), 1), F.lit(1.0))
+    scored = topics.join(hot, key, "left").join(reach, key, "left").join(new, key, "left").withColumn("score_policy", policy)
+    return scored.withColumn("final_score", signals.fuse_topic())
+
+
+def untranslated(df: DataFrame, key: str, local: str, foreign: str, most: int = 5000) -> DataFrame:
+    """Keys of records that have only a foreign name, the first of them in key order."""
+    return df.where((F.coalesce(F.col(local), F.lit("")) == "") & (F.coalesce(F.col(foreign), F.lit("")) != "")).select(key).orderBy(key).limit(most)
+
+
+def either(df: DataFrame, columns: list[str], value: object, key: str) -> DataFrame:
+    """The first record, in key order, one of whose columns has a value."""
+    return df.where(F.exists(F.array(*[F.col(c) == F.lit(value) for c in columns]), lambda x: x)).orderBy(key).limit(1)
+
+
 # --- views of a graph, spans of several models ---
 
 

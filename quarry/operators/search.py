@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.session import checkpointed
+from quarry.session import checkpointed, small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -152,6 +152,6 @@ def textrank(docs: DataFrame, key: str, terms: str, k: int = 5, span: int = 5, d
 
 def llm_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call from its tokens and the model's price for a million (G25); unknown models cost nothing."""
-    joined = calls.join(F.broadcast(prices), "model", "left")
+    joined = calls.join(small(prices), "model", "left")
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0))) / 1_000_000
     return joined.select(*calls.columns, cost.cast("decimal(12,6)").alias("cost"))

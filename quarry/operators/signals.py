@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.operators import graph
+from quarry.session import checkpointed
 
 SOURCES = 4
 
@@ -126,6 +128,43 @@ def spike(recent: Column, baseline: Column, multiplier: float = 1.5) -> Column:
     return F.when(baseline <= 0, F.when(recent > 0, 0.5).otherwise(0.0)).when(ratio > 1, F.least((ratio - 1) / (multiplier - 1), F.lit(1.0))).otherwise(0.0)
 
 
+def burst_proxy(name: Column, tag: Column) -> Column:
+    """Ten times the share of tags that contain a name, whatever the case, 1 at most; an aggregate, 0 without tags."""
+    return F.least(F.coalesce(F.avg(F.contains(F.lower(tag), F.lower(name)).cast("double")), F.lit(0.0)) * 10, F.lit(1.0))
+
+
+def citation_proxy(citations: Column, high: float = 50, full: int = 3) -> Column:
+    """How near highly cited outputs come to a cluster of three; an aggregate."""
+    return F.least(F.count_if(citations >= high) / full, F.lit(1.0))
+
+
+def invest_proxy(amount: Column, full: float = 100) -> Column:
+    """The sum of amounts as a share of a hundred, 1 at most; an aggregate."""
+    return F.least(F.coalesce(F.sum(amount), F.lit(0.0)) / full, F.lit(1.0))
+
+
+def policy_proxy(full: float = 100) -> Column:
+    """The number of projects as a share of a hundred, 1 at most; an aggregate."""
+    return F.least(F.count("*") / full, F.lit(1.0))
+
+
+def signals_of(signals: DataFrame, least: float = 0.0, domain: str | None = None, since: str | None = None) -> DataFrame:
+    """Signals of a strength, of a domain and of periods that begin on a day or later, where given."""
+    kept = signals.where(F.col("strength") >= least)
+    kept = kept.where(F.col("domain") == domain) if domain else kept
+    return kept.where(F.col("period_from") >= F.lit(since).cast("date")) if since else kept
+
+
+def discover(docs: DataFrame, period_from: str, period_to: str, n_history: int, n_windows: int, related: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals, edges): the weak signals of a period and the network of each with what is related to its term.
+
+    docs as in term_presence; related has term and the lists that graph.signal_network knows, one row for each term. Signals are
+    written once and read by both."""
+    found = checkpointed(weak_signals(term_stats(term_presence(docs, period_from, period_to, n_history), n_history, n_windows), n_history))
+    signals = found.withColumn("period_from", F.lit(period_from).cast("date")).withColumn("period_to", F.lit(period_to).cast("date"))
+    return signals, graph.signal_network(found.select("signal_id", "term").join(related, "term"))
+
+
 def fuse_frontier() -> Column:
     return S.weighted(S.FRONTIER)
 

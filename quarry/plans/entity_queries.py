@@ -135,6 +135,31 @@ def _(t):
 @query("feedback_status", """SELECT user_id, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'revised' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS status
  FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def _(t):
-    last = t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("rating"))
-    status = F.when(F.col("rating") == "click", "accepted").when(F.col("rating") == "view", "revised").when(F.col("rating") == "error", "rejected").otherwise("pending")
-    return last.select("user_id", status.alias("status"))
+    e = t("events")
+    last = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("ts"))
+    feedback = last.select("user_id", "ts", F.when(F.col("kind") == "click", "accept").when(F.col("kind") == "view", "revise").when(F.col("kind") == "error", "reject").alias("rating"))
+    return entities.apply_feedback(e.select("user_id", F.lit("pending").alias("status")).distinct(), feedback, "user_id", ["ts"])
+
+
+@query("record_keys", """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name || '|' || c_mktsegment END AS composite, CASE WHEN c_custkey % 2 = 0 THEN 'm' || c_custkey END AS email FROM customer""")
+def _(t):
+    k = F.col("c_custkey")
+    rows = t("customer").select("c_custkey", F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("full_name"), F.col("c_mktsegment").alias("employer"), F.when(k % 2 == 0, F.to_json(F.struct(F.concat(F.lit("m"), k).alias("mail")))).alias("features"))
+    keys = rows.select("c_custkey", entities.entity_keys([], F.col("features"), ["full_name", "employer"]).alias("keys"))
+    return keys.select("c_custkey", F.col("keys")["full_name_employer"].alias("composite"), F.col("keys")["email"].alias("email"))
+
+
+@query("entity_merge", """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS name, s_acctbal AS confidence FROM supplier),
+ f AS (SELECT k - k % 5 AS k, arg_min(name, k) FILTER (name IS NOT NULL) AS name, max(confidence) AS confidence FROM s WHERE k % 5 <> 0 AND k - k % 5 IN (SELECT k FROM s) GROUP BY 1)
+ SELECT s.k, coalesce(s.name, f.name) AS name, greatest(s.confidence, coalesce(f.confidence, s.confidence)) AS confidence, (s.name IS NULL AND f.name IS NOT NULL)::BIGINT + coalesce(f.confidence > s.confidence, FALSE)::BIGINT AS filled
+ FROM s LEFT JOIN f ON s.k = f.k WHERE s.k % 5 = 0 OR s.k - s.k % 5 NOT IN (SELECT k FROM s)""")
+def _(t):
+    k = F.col("s_suppkey")
+    rows = t("supplier").select(k.alias("k"), F.when(k % 3 != 0, F.col("s_name")).alias("name"), F.col("s_acctbal").alias("confidence"))
+    merged = rows.select(F.col("k").alias("from_id"), (F.col("k") - F.col("k") % 5).alias("to_id"))
+    return entities.merge_entities(rows, merged, "k", ["name", "confidence"]).withColumn("filled", F.size("filled").cast("long"))
+
+
+@query("gate_errors", f"SELECT c_custkey, 'gate' AS stage, repeat('missing ', 125) AS error_msg FROM ({GATED}) WHERE {GATE} = 'REJECT'")
+def _(t):
+    return entities.split_outcomes(_gated(t), F.repeat(F.lit("missing "), F.lit(200)), "gate")[1].select("c_custkey", "stage", "error_msg")

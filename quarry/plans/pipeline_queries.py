@@ -7,8 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import entities, models, search, signals
+from quarry.operators import entities, models, records, search, signals
 from quarry.plans.registry import query
+from quarry.plans.signal_queries import PERIOD, STATS, corpus
 
 
 @query("pipeline_clean", """WITH d AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)) SELECT CASE WHEN doc_id % 11 = 0 THEN 'REJECT' WHEN doc_id % 3 = 0 THEN 'DEGRADE' ELSE 'PASS' END AS outcome, count(*) AS cnt FROM d GROUP BY 1""")
@@ -67,3 +68,39 @@ def _(t):
     mapping = t("region").sparkSession.createDataFrame([("click", "ORG", "ORG", "ORG_COOPERATE"), ("view", "ORG", "ORG", "ORG_FUND")], "predicate string, subj_type string, obj_type string, rel string")
     triples = t("events").select("event_id", F.col("event_type").alias("predicate"), F.lit("ORG").alias("subj_type"), F.lit("ORG").alias("obj_type"))
     return models.map_predicates(triples, mapping)[0].select("event_id", "rel")
+
+
+@query("predicate_staging", "SELECT event_id, substr(repeat(event_type, 30), 1, 64) AS predicate, 0.0::DOUBLE AS confidence, FALSE AS written FROM events WHERE event_type <> 'click'")
+def _(t):
+    mapping = t("region").sparkSession.createDataFrame([("click", "ORG", "ORG", "ORG_COOPERATE")], "predicate string, subj_type string, obj_type string, rel string")
+    kind = F.col("event_type")
+    triples = t("events").select("event_id", F.when(kind == "click", kind).otherwise(F.repeat(kind, F.lit(30))).alias("predicate"), F.lit("ORG").alias("subj_type"), F.lit("ORG").alias("obj_type"), F.lit(None).cast("double").alias("confidence"))
+    return models.map_predicates(triples, mapping)[1].select("event_id", "predicate", "confidence", "written")
+
+
+HOT = """WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), n AS (SELECT w, max(p_size / 50.0::DOUBLE) AS s FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w, p_size FROM part) WHERE length(w) > 1 GROUP BY 1),
+ hot AS (SELECT p_partkey, coalesce(max(s), (SELECT avg(p_size / 50.0::DOUBLE) * 0.5 FROM part)) AS hot FROM w LEFT JOIN n ON w.w = n.w AND length(w.w) > 1 GROUP BY 1),
+ h AS (SELECT p_name FROM part ORDER BY p_partkey DESC, p_name LIMIT 200),
+ nov AS (SELECT p_partkey, 1 - max(len(list_intersect(list_distinct(string_split(p.p_name, '')), list_distinct(string_split(h.p_name, '')))) / len(list_distinct(list_concat(string_split(p.p_name, ''), string_split(h.p_name, ''))))::DOUBLE) AS nov FROM part p, h GROUP BY 1),
+ imp AS (SELECT p.p_partkey, 0.5::DOUBLE * least(count(DISTINCT l_suppkey) / 20.0::DOUBLE, 1) + 0.5::DOUBLE * least(count(l_partkey) / 50.0::DOUBLE, 1) AS imp FROM part p LEFT JOIN lineitem ON l_partkey = p.p_partkey GROUP BY 1)"""
+
+
+@query("pipeline_topics", HOT + """ SELECT p_partkey, round(0.6::DOUBLE * (0.25::DOUBLE * hot + 0.20::DOUBLE * ((contains(lower(p_name), 're'))::INT + (contains(lower(p_name), 'an'))::INT) / 2.0::DOUBLE + 0.20::DOUBLE * imp + 0.15::DOUBLE * nov + 0.20::DOUBLE * 0.5::DOUBLE)
+  + 0.4::DOUBLE * (0.30::DOUBLE * (p_size / 50.0::DOUBLE) + 0.30::DOUBLE * 0.5::DOUBLE + 0.20::DOUBLE * 0.5::DOUBLE + 0.20::DOUBLE * 0.5::DOUBLE), 6) AS final_score FROM part JOIN hot USING (p_partkey) JOIN nov USING (p_partkey) JOIN imp USING (p_partkey)""")
+def _(t):
+    """All strategies, reviews and their fusion (E5)."""
+    p, half = t("part"), F.lit(0.5)
+    topics = p.select("p_partkey", "p_name", half.alias("score_llm_gen"), (F.col("p_size") / 50.0).alias("review_novelty"), *[half.alias(f"review_{c}") for c in ("importance", "feasibility", "expression")])
+    lines = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    techs = p.select(F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("fusion"))
+    history = p.select(F.col("p_name").alias("title"), F.col("p_partkey").alias("at"))
+    scored = records.score_topics(topics, "p_partkey", "p_name", techs, ["re", "an"], lines.distinct(), lines, history)
+    return scored.select("p_partkey", F.round("final_score", 6).alias("final_score"))
+
+
+@query("signals_and_network", STATS + " SELECT 'WS-' || md5(term)[1:16] AS src, 't' || length(term) AS dst, 'same_domain' AS rel, 0.5::DOUBLE AS weight FROM sg WHERE strength >= 0.40 OR burst >= 2.0")
+def _(t):
+    """Signals of a period and their network (E8); related is what each term of the corpus has to do with, here a topic by length."""
+    docs = corpus(t)
+    related = docs.select(F.explode("terms").alias("term")).distinct().select("term", F.array(F.concat(F.lit("t"), F.length("term"))).alias("related_tech_ids"))
+    return signals.discover(docs, *PERIOD, 12, 15, related)[1]

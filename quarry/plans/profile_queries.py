@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import profiles
+from quarry.operators import profiles, records
 from quarry.plans.registry import query
 
 SINCE = "2024-01-15 00:00:00"
@@ -111,7 +111,7 @@ def _(t):
 @query("untranslated_scan", "SELECT c_custkey FROM customer WHERE (nullif(CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_name END, '') IS NULL) AND c_name <> '' ORDER BY c_custkey LIMIT 5000")
 def _(t):
     c = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, F.col("c_name")).alias("cn"), F.col("c_name").alias("en"))
-    return c.where("(cn is null or cn = '') and en is not null and en <> ''").select("c_custkey").orderBy("c_custkey").limit(5000)
+    return records.untranslated(c, "c_custkey", "cn", "en")
 
 
 @query("latest_config", "SELECT s_suppkey, s_name FROM supplier ORDER BY (s_nationkey = 3) DESC, s_suppkey DESC LIMIT 1")
@@ -126,7 +126,7 @@ def _(t):
 
 @query("disjunctive_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7 OR o_custkey = 7 ORDER BY o_orderkey LIMIT 1")
 def _(t):
-    return t("orders").where("o_orderkey = 7 or o_custkey = 7").orderBy("o_orderkey").select("o_orderkey", "o_custkey").limit(1)
+    return records.either(t("orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], 7, "o_orderkey")
 
 
 @query("type_rollup", "SELECT coalesce(p_brand, 'all') AS p_brand, coalesce(p_type, 'all') AS p_type, count(*) AS cnt FROM part GROUP BY ROLLUP (p_brand, p_type)")

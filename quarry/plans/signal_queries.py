@@ -57,7 +57,8 @@ def _(t):
 @query("signal_list", "SELECT c_custkey, s FROM (SELECT c_custkey, round(c_acctbal / 10000, 4) AS s, c_mktsegment AS domain FROM customer) WHERE s >= 0.5 AND domain = 'BUILDING' ORDER BY s DESC, c_custkey LIMIT 20")
 def _(t):
     c = t("customer").select("c_custkey", F.round(F.col("c_acctbal") / 10000, 4).alias("s"), F.col("c_mktsegment").alias("domain"))
-    return c.where("s >= 0.5 and domain = 'BUILDING'").orderBy(F.desc("s"), "c_custkey").select("c_custkey", "s").limit(20)
+    found = signals.signals_of(c.withColumnRenamed("s", "strength"), 0.5, "BUILDING")
+    return found.orderBy(F.desc("strength"), "c_custkey").select("c_custkey", F.col("strength").alias("s")).limit(20)
 
 
 @query("calendar_windows", """SELECT i::INT AS idx, strftime(s, '%Y-%m') AS label, s::DATE AS start, (s + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS "end", s < DATE '2026-01-01' AS is_history
@@ -137,7 +138,13 @@ def _(t):
 
 @query("proxies", """SELECT s_nationkey, round(least(count(*) FILTER (s_acctbal >= 5000) / 3.0::DOUBLE, 1.0), 6) AS citation, round(least(sum(greatest(s_acctbal, 0)) / 100000.0::DOUBLE, 1.0), 6) AS invest, round(least(count(*) / 100.0::DOUBLE, 1.0), 6) AS policy FROM supplier GROUP BY 1""")
 def _(t):
-    return t("supplier").groupBy("s_nationkey").agg(F.round(F.least(F.count_if(F.col("s_acctbal") >= 5000) / 3.0, F.lit(1.0)), 6).alias("citation"), F.round(F.least(F.sum(F.greatest("s_acctbal", F.lit(0.0))) / 100000.0, F.lit(1.0)), 6).alias("invest"), F.round(F.least(F.count("*") / 100.0, F.lit(1.0)), 6).alias("policy"))
+    proxies = {"citation": signals.citation_proxy(F.col("s_acctbal"), 5000), "invest": signals.invest_proxy(F.greatest("s_acctbal", F.lit(0.0)), 100_000), "policy": signals.policy_proxy()}
+    return t("supplier").groupBy("s_nationkey").agg(*[F.round(c, 6).alias(name) for name, c in proxies.items()])
+
+
+@query("burst_proxy", "SELECT event_type, round(least(avg(contains(lower(props), '1')::INT) * 10, 1.0), 6) AS burst FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy("event_type").agg(F.round(signals.burst_proxy(F.lit("1"), F.col("props")), 6).alias("burst"))
 
 
 @query("acceptance_rate", "SELECT event_type, count(*) FILTER (value >= 50) / count(*)::DOUBLE AS rate FROM events GROUP BY 1")

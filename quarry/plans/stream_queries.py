@@ -52,11 +52,16 @@ def _(spark, events):
     return _available(spark, found.select("event_id", "user_id"), "feed")
 
 
-@_stream("stream_tumbling_counts", None)
+def _days(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("start", F.col("start").cast("date"))
+
+
+# windows begin at whole days from 1970-01-01 on
+@_stream("stream_tumbling_counts", "SELECT (DATE '1970-01-01' + (datediff('day', DATE '1970-01-01', ts::DATE) // 7 * 7)::INT)::DATE AS start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2")
 def _(spark, events):
-    return _complete(spark, streams.tumbling_counts(events, "ts", "7 days", ["event_type"], late=None), "tumbling")
+    return _days(_complete(spark, streams.tumbling_counts(events, "ts", "7 days", ["event_type"], late=None), "tumbling"))
 
 
-@_stream("stream_sliding_counts", None)
+@_stream("stream_sliding_counts", "SELECT (ts::DATE - i::INT)::DATE AS start, event_type, count(*) AS cnt FROM events, range(7) r(i) GROUP BY 1, 2")
 def _(spark, events):
-    return _complete(spark, streams.sliding_counts(events, "ts", "7 days", "1 day", ["event_type"], late=None), "sliding")
+    return _days(_complete(spark, streams.sliding_counts(events, "ts", "7 days", "1 day", ["event_type"], late=None), "sliding"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
@@ -28,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcasting if it has no more than most rows, else df as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder, its lineage cut."""
     context = df.sparkSession.sparkContext

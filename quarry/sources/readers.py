@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email.utils
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from quarry.session import checkpointed
+
 CORPUS_SCHEMA = "source string, doc_id string, text string, timestamp date, entities array<string>"
 
 
@@ -38,6 +41,36 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str, lower: int,
     return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=properties)
 
 
+def key_windows(df: DataFrame, key: str, rows: int, last: int | None = None) -> list[int]:
+    """Bounds of key windows of about rows rows each: window i holds the keys from bounds[i] on and below bounds[i + 1].
+
+    Windows without rows do not arise, as bounds are quantiles of the keys above last. The list has one number for each window."""
+    kept = df if last is None else df.where(F.col(key) > last)
+    n, low, high = kept.agg(F.count(key), F.min(key), F.max(key)).first()
+    if not n:
+        return []
+    steps = -(-n // rows)
+    inner = kept.agg(F.percentile_approx(key, [i / steps for i in range(1, steps)], 100 * steps)).first()[0] if steps > 1 else []
+    return [*sorted({low, *inner}), high + 1]
+
+
+def copy_table(df: DataFrame, path: str, key: str, rows: int = 50_000, cap: int | None = None, last: int | None = None) -> list[int]:
+    """Copy a table in key order, at most cap rows of it, into a folder with one partition (win, its first key) for each window, and
+    give the windows' bounds (S7-S9). To take up a copy, give the last key that is in it.
+
+    A window that is copied again replaces itself, so that a run that was lost may be repeated with the same bounds."""
+    taken = df if last is None else df.where(F.col(key) > last)
+    taken = taken if cap is None else taken.orderBy(key).limit(cap)
+    bounds = key_windows(taken, key, rows)
+    if bounds:
+        starts, width = bounds[:-1], math.isqrt(len(bounds)) + 1
+        # looked up in two steps, so that a row is not compared with all bounds
+        groups = F.array(*[F.array(*map(F.lit, starts[i : i + width])) for i in range(0, len(starts), width)])
+        group = F.element_at(F.filter(groups, lambda g: g[0] <= F.col(key)), -1)
+        rewrite_window(taken.where(F.col(key).isNotNull()).withColumn("win", F.array_max(F.filter(group, lambda b: b <= F.col(key)))), path, "win")
+    return bounds
+
+
 def corpus_scan(df: DataFrame, source: str, key: str, texts: list[str], date: str, entities: Column, period: tuple[str, str], limit: int) -> DataFrame:
     """Documents of one source whose date lies in the period, both days included."""
     parts = [p for c in texts for p in (F.lit(" "), F.coalesce(F.col(c).cast("string"), F.lit("")))][1:]
@@ -49,11 +82,13 @@ def corpus_scan(df: DataFrame, source: str, key: str, texts: list[str], date: st
 
 
 def union_corpora(spark: SparkSession, loaders: list[Callable[[], DataFrame]]) -> DataFrame:
-    """All sources that can be read; one that fails counts as empty."""
+    """All sources that can be read; one that fails, while it is planned or while it is read, counts as empty.
+
+    Each is written once to the shared folder, which is where reading fails; corpora are scans of a limited length."""
     out = spark.createDataFrame([], CORPUS_SCHEMA)
     for load in loaders:
         try:
-            out = out.unionByName(load())
+            out = out.unionByName(checkpointed(load()))
         except Exception as error:  # a source that cannot be reached must not stop the others
             print(f"source skipped: {str(error)[:200]}")
     return out

@@ -20,7 +20,7 @@ def batch(events, *window):
 @pytest.mark.parametrize(("name", "window"), [("stream_tumbling_counts", ("7 days",)), ("stream_sliding_counts", ("7 days", "1 day"))])
 def test_every_window(spark, name, window):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    assert rows(registry.QUERIES[name](spark, SF)) == batch(events, *window)
+    assert rows(registry.QUERIES[name](spark, SF)) == [(start[:10], kind, n) for start, kind, n in batch(events, *window)]
 
 
 def test_late_files_count(spark, tmp_path):
