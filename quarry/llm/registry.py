@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, pii, sentencepiece_codec, sharding, toxicity, url_filter
+from quarry.llm import collocations, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, pii, sentencepiece_codec, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_collocations": collocations.op11_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
