@@ -9,11 +9,12 @@ empty no phrase reaches into the next piece. Phrases are extended depth-first, a
 shards are summed.
 
 Counts are taken level by level: a phrase can only occur LEAST times if its first and its last words do, so a shard extends
-just the prefixes that passed. Which those are is told to the tasks by a bitmap of hashes, whose size follows the counted number of
-phrases up to MOST_FILTER_BITS; beyond it, more phrases are counted than needed, and the exact counts decide in any case.
+just the prefixes that passed. Popcounts are summed by 64-bit hashes first; a bitmap of the hashes that are frequent, whose size follows their
+number up to MOST_FILTER_BITS, goes to all tasks, which then sum the popcounts of the phrases themselves. A phrase that the bitmap has by
+chance is counted for nothing: the exact counts decide.
 
-A task holds one shard, or one document if that is longer. Counts of a hot word or phrase are one row a shard and
-are summed before they are shuffled; the best of a language are picked in every task before they meet.
+A task holds one shard, or one document if that is longer. Counts of a hot word or phrase are merged by task
+before they are shuffled; the best of a language are picked in every task before they meet.
 
 Defined results: a null text is empty; a null lang is `und`; repeated rows count each time; words are whole whatever their length; an
 empty table gives an empty result; other columns are ignored.
@@ -21,16 +22,17 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, discard, materialize, small_batches, table, text_chunks
+from quarry.llm.common import broadcast_if_small, discard, materialize, mix64, small_batches, table, text_chunks
 
 #: Words of a shard, and words of all languages that a task gathers before it writes its shards.
 SHARD_WORDS, GATHERED_WORDS = 1 << 17, 1 << 19
@@ -42,6 +44,8 @@ BROADCAST_PHRASES = 300_000
 BITS_EACH, MOST_FILTER_BITS = 16, 1 << 29
 #: Blocks compared at once, and entries of prefixes that are extended to the full depth before the next are.
 BLOCKS, GROUP = 1024, 1 << 15
+#: Counts that a task merges before it passes them on, and shards that a task's reader holds at once.
+MERGED, ROWS_READ = 1 << 20, 8
 SHARDS = "lang string, n long, words array<string>, word binary, block binary, bits binary"
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, 9]] = 1
@@ -152,86 +156,160 @@ def joined(a: Entries, b: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _names(words: pa.Array, ids: np.ndarray) -> pa.Array:
-    return pc.binary_join_element_wise(*(words.take(pa.array(ids[:, j])) for j in range(ids.shape[1])), pa.scalar(" ")) if ids.shape[1] > 1 else words.take(pa.array(ids[:, 0]))
+    columns = [words.take(pa.array(ids[:, j])) for j in range(ids.shape[1])]
+    return pc.binary_join_element_wise(*columns, pa.scalar(" ")) if len(columns) > 1 else columns[0]
+
+
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+
+
+def _followed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hashes of phrases of these hashes with one more word."""
+    return mix64(prefix * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 class Filter:
-    """The bitmap of the hashes of phrases that are frequent enough."""
+    """A bitmap of hashes; it has all phrases that are frequent, and by chance some others."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
 
-    def has(self, lang: str, phrases: pa.Array) -> np.ndarray:
-        seed = zlib.crc32(lang.encode() + b"\0")
-        hashes = np.array([zlib.crc32(p, seed) for p in phrases.cast(pa.binary()).to_pylist()], dtype=np.int64) & (64 * len(self.bits) - 1)
-        return (self.bits[hashes >> 6] >> (hashes & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def level_counts(lang: str, words: pa.Array, entries: Entries, level: int, filters: list[Filter]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, occurrences in this shard) of level words; filters[i] tells which phrases of i + 1 words are frequent."""
-    if level > 1:
-        kept = filters[0].has(lang, words)[entries[0]]
-        entries = tuple(x[kept] for x in entries)
+def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word numbers, hashes, occurrences in this shard) of phrases of level words; filters[i] has the frequent phrases of i + 1 words."""
+    kept = filters[0].has(hashes) if filters else np.ones(len(hashes), dtype=bool)
+    entries = tuple(x[kept[entries[0]]] for x in entries)
 
-    def descend(ids: np.ndarray, prefix: Entries) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Count or extend the phrases of word numbers ids, whose bitmaps are prefix."""
+    def descend(ids: np.ndarray, own: np.ndarray, prefix: Entries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Count or extend the phrases of word numbers ids and hashes own, whose bitmaps are prefix."""
         depth = ids.shape[1]
         if depth == level:
             counts = np.bincount(prefix[0], np.bitwise_count(prefix[2]), len(ids)).astype(np.int64)
             some = np.flatnonzero(counts)
-            yield _names(words, ids[some]), counts[some]
+            yield ids[some], own[some], counts[some]
             return
         moved = shifted(prefix)
         p, w, bits = joined(moved, entries)
-        key, number = np.unique(moved[0][p].astype(np.int64) * len(words) + entries[0][w], return_inverse=True)
-        longer = np.column_stack((ids[key // len(words)], key % len(words)))
+        key, number = np.unique(moved[0][p].astype(np.int64) * len(hashes) + entries[0][w], return_inverse=True)
+        first, last = key // len(hashes), key % len(hashes)
+        longer, own = np.column_stack((ids[first], last)), _followed(own[first], hashes[last])
         kept = np.ones(len(key), dtype=bool)
         if depth > 1:
-            kept = filters[depth - 1].has(lang, _names(words, longer[:, 1:]))
-        if depth + 1 < level:
-            kept[kept] = filters[depth].has(lang, _names(words, longer[kept]))
+            tail = hashes[longer[:, 1]]
+            for j in range(2, depth + 1):
+                tail = _followed(tail, hashes[longer[:, j]])
+            kept = filters[depth - 1].has(tail)
+        if depth < len(filters):
+            kept &= filters[depth].has(own)
         new = np.cumsum(kept) - 1
         inside = kept[number]
         number, block, bits = new[number[inside]], entries[1][w[inside]], bits[inside]
-        longer = longer[kept]
+        longer, own = longer[kept], own[kept]
         # groups of phrases of about GROUP entries go down to the full depth one after the other
         ends = np.cumsum(np.bincount(number, minlength=len(longer)))
-        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(GROUP, len(number), GROUP)) + 1).tolist(), len(longer)] if depth + 1 < level else [0, len(longer)]
+        cuts = [0, *(np.searchsorted(ends, np.arange(GROUP, len(number), GROUP)) + 1).tolist(), len(longer)]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if low < high:
-                own = (number >= low) & (number < high)
-                yield from descend(longer[low:high], (number[own] - low, block[own], bits[own]))
+                here = (number >= low) & (number < high)
+                yield from descend(longer[low:high], own[low:high], (number[here] - low, block[here], bits[here]))
 
-    yield from descend(np.arange(len(words))[:, None], entries)
+    yield from descend(np.arange(len(hashes))[:, None], hashes, entries)
 
 
-def count_level(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, f) of all phrases of level words with f of least or more; filters are broadcast Filters of the shorter ones."""
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Entries]]:
+    for batch in batches:
+        for row in range(len(batch)):
+            entries = tuple(np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("word", np.int32), ("block", np.int32), ("bits", np.uint32)))
+            yield batch.column("lang")[row].as_py(), batch.column("words")[row].values, entries
+
+
+def hashed_counts(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
+    """(hash, f) of the hashes of phrases of level words that occur least times or more; filters are broadcast Filters of shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                lang, words = batch.column("lang")[row].as_py(), batch.column("words")[row].values
-                entries = tuple(np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("word", np.int32), ("block", np.int32), ("bits", np.uint32)))
-                for phrases, counts in level_counts(lang, words, entries, level, [f.value for f in filters]):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "f"])
+        held, more, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([held[0], *(k for k, _ in more)]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([held[1], *(n for _, n in more)]), len(keys)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["hash", "f"])
+
+        for lang, words, entries in _shards_of(batches):
+            for _, own, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
+                more.append((own, counts))
+                size += len(own)
+            if size >= MERGED:
+                held, more, size = merged(), [], 0
+                if len(held[0]) >= 2 * MERGED:
+                    yield out()
+                    held = (held[0][:0], held[1][:0])
+        held = merged()
+        yield out()
+
+    found = shards.select("lang", "words", "word", "block", "bits").mapInArrow(run, "hash long, f long")
+    return found.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+
+
+def exact_counts(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
+    """(lang, phrase, f) of the phrases of level words with f of least or more; filters are broadcast Filters, their own included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            return found.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+        for lang, words, entries in _shards_of(batches):
+            for ids, _, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
+                held.append(pa.table({"lang": pa.array([lang] * len(ids), pa.string()), "phrase": _names(words, ids).cast(pa.string()), "f": counts}))
+                size += len(ids)
+            if size >= MERGED:
+                held = [merged()]
+                size = held[0].num_rows
+                if size >= MERGED // 2:
+                    yield from held[0].to_batches(MERGED)
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches(MERGED)
 
     found = shards.select("lang", "words", "word", "block", "bits").mapInArrow(run, "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def frequent_filter(counts: DataFrame, rows: int) -> Filter:
-    """The Filter of (lang, phrase): at most MOST_FILTER_BITS / 64 rows of 64 bits reach the driver, however many phrases there are."""
+    """The Filter of counts (hash): at most MOST_FILTER_BITS / 64 rows of 64 bits reach the driver, however many phrases there are."""
     bits = 1 << 12
     while bits < min(MOST_FILTER_BITS, BITS_EACH * rows):
         bits *= 2
-    slot = F.pmod(F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")), F.lit(bits))
-    cells = counts.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    cells = counts.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     return Filter(out)
 
 
+@contextlib.contextmanager
+def few_rows_read(spark: SparkSession) -> Iterator[None]:
+    """Let Spark's Parquet reader hold a few rows at once, as a shard is a row of megabytes."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS_READ))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- candidates ---
 
 
@@ -246,10 +324,13 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
     spark = docs.sparkSession
     shards = materialize(vertical(docs), "phrase-shards")
     levels, rows, filters = [], [], []
-    for level in range(1, most_words + 1):
-        levels.append(materialize(count_level(shards, level, filters, least), f"phrase-{level}"))
-        rows.append(levels[-1].count())
-        filters.append(spark.sparkContext.broadcast(frequent_filter(levels[-1], rows[-1])) if level < most_words else None)
+    with few_rows_read(spark):
+        for level in range(1, most_words + 1):
+            hashed = materialize(hashed_counts(shards, level, filters, least), f"phrase-hashes-{level}")
+            filters.append(spark.sparkContext.broadcast(frequent_filter(hashed, hashed.count())))
+            levels.append(materialize(exact_counts(shards, level, filters, least), f"phrase-{level}"))
+            rows.append(levels[-1].count())
+            discard(hashed)
     words = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     parts = levels[0]
     for more in levels[1:-1]:
@@ -277,7 +358,7 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
     top = lowest.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best)
     out = top.join(F.broadcast(words), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     out = materialize(out, "phrase-best")
-    for f in filters[:-1]:
+    for f in filters:
         f.destroy()
     discard(shards, *levels)
     return out
