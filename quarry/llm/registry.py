@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import collocations, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, pii, sentencepiece_codec, sharding, toxicity, url_filter
+from quarry.llm import collocations, decontamination, embedding_dedup, language_id, line_dedup, minhash_dedup, pii, secret_scan, sentencepiece_codec, sharding, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
     "op11_collocations": collocations.op11_collocations,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
