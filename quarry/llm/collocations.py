@@ -2,16 +2,15 @@
 
 The texts of a language are laid end to end in shards of about SHARD_WORDS words. In a shard every word has one position; between
 pieces (text between punctuation or line breaks) and between documents one position stays empty. A word's bitmap has a
-bit for each of its positions and is compressed: only blocks of 32 positions that hold a bit are kept. This vertical
+bit for each of its positions and is compressed: only blocks of 16 positions that hold a bit are kept. This vertical
 database is written once and texts are not read again. A phrase's bitmap has a bit where an occurrence ends; shifted by one
 position and joined by AND with another word's bitmap it is the bitmap of the longer phrase, and since the position after a piece is
 empty no phrase reaches into the next piece. Phrases are extended depth-first, a group of prefixes at a time, and the popcounts of the
 shards are summed.
 
 Counts are taken level by level: a phrase can only occur LEAST times if its first and its last words do, so a shard extends
-just the prefixes that passed. Popcounts are summed by 64-bit hashes first; a bitmap of the hashes that are frequent, whose size follows their
-number up to MOST_FILTER_BITS, goes to all tasks, which then sum the popcounts of the phrases themselves. A phrase that the bitmap has by
-chance is counted for nothing: the exact counts decide.
+just the prefixes that passed. A bitmap of the hashes of the frequent phrases, whose size follows their number up to MOST_FILTER_BITS, tells
+the tasks which those are; a phrase that it has by chance is extended for nothing, and the exact counts decide in any case.
 
 A task holds one shard, or one document if that is longer. Counts of a hot word or phrase are merged by task
 before they are shuffled; the best of a language are picked in every task before they meet.
@@ -23,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +44,8 @@ BROADCAST_PHRASES = 300_000
 BITS_EACH, MOST_FILTER_BITS = 16, 1 << 29
 #: Blocks compared at once, and entries of prefixes that are extended to the full depth before the next are.
 BLOCKS, GROUP = 1024, 1 << 15
-#: Counts that a task merges before it passes them on, and shards that a task's reader holds at once.
-MERGED, ROWS_READ = 1 << 20, 8
+#: Counts that a task merges before it passes them on, those it passes on at once, and shards that a task's reader holds.
+MERGED, PASSED, ROWS_READ = 1 << 19, 1 << 14, 8
 SHARDS = "lang string, n long, words array<string>, word binary, block binary, bits binary"
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, 9]] = 1
@@ -79,12 +79,12 @@ def _shard(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[pa.A
     new = np.concatenate([np.concatenate(([True], p[2][1:] != p[2][:-1])) for p in parts if len(p[2])])
     position = np.arange(len(sizes)) + np.cumsum(new)
     ids = words.indices.to_numpy()
-    key = (position >> 5) * len(words.dictionary) + ids
+    key = (position >> 4) * len(words.dictionary) + ids
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    bits = np.bitwise_or.reduceat((np.uint32(1) << (position[order] & 31).astype(np.uint32)), first)
-    return words.dictionary.cast(pa.string()), (ids[order][first].astype(np.int32), (position[order][first] >> 5).astype(np.int32), bits)
+    bits = np.bitwise_or.reduceat((np.uint16(1) << (position[order] & 15).astype(np.uint16)), first)
+    return words.dictionary.cast(pa.string()), (ids[order][first].astype(np.int32), (position[order][first] >> 4).astype(np.int32), bits)
 
 
 def _vertical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +126,10 @@ def vertical(docs: DataFrame) -> DataFrame:
 def shifted(entries: Entries) -> Entries:
     """Bitmaps moved on by one position, in order of blocks; what leaves a block goes into the next."""
     name, block, bits = entries
-    over = np.flatnonzero(bits >> np.uint32(31))
-    stay = bits << np.uint32(1)
+    over = np.flatnonzero(bits >> np.uint16(15))
+    stay = bits << np.uint16(1)
     name, block = np.concatenate((name, name[over])), np.concatenate((block, block[over] + 1))
-    bits = np.concatenate((stay, np.ones(len(over), np.uint32)))
+    bits = np.concatenate((stay, np.ones(len(over), np.uint16)))
     order = np.argsort(block, kind="stable")
     order = order[bits[order] != 0]
     return name[order], block[order], bits[order]
@@ -139,7 +139,7 @@ def _padded(bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     at = start[:, None] + np.arange(int((end - start).max()))
     inside = at < end[:, None]
     at = np.minimum(at, len(bits) - 1)
-    return at, np.where(inside, bits[at], np.uint32(0))
+    return at, np.where(inside, bits[at], np.uint16(0))
 
 
 def joined(a: Entries, b: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,10 +149,11 @@ def joined(a: Entries, b: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = [(np.searchsorted(x[1], blocks, "left"), np.searchsorted(x[1], blocks, "right")) for x in (a, b)]
     for i in range(0, len(blocks), BLOCKS):
         (at_a, bits_a), (at_b, bits_b) = (_padded(x[2], start[i : i + BLOCKS], end[i : i + BLOCKS]) for x, (start, end) in zip((a, b), ends, strict=True))
-        both = bits_a[:, :, None] & bits_b[:, None, :]
-        k, m, n = np.nonzero(both)
-        out.append((at_a[k, m], at_b[k, n], both[k, m, n]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        both = (bits_a[:, :, None] & bits_b[:, None, :]).ravel()
+        at = np.flatnonzero(both)
+        pair, n = np.divmod(at, bits_b.shape[1])
+        out.append((at_a.ravel()[pair], at_b[pair // bits_a.shape[1], n], both[at]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
 
 def _names(words: pa.Array, ids: np.ndarray) -> pa.Array:
@@ -181,18 +182,18 @@ class Filter:
         return (self.bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word numbers, hashes, occurrences in this shard) of phrases of level words; filters[i] has the frequent phrases of i + 1 words."""
+def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, occurrences in this shard) of phrases of level words; filters[i] has the frequent phrases of i + 1 words."""
     kept = filters[0].has(hashes) if filters else np.ones(len(hashes), dtype=bool)
     entries = tuple(x[kept[entries[0]]] for x in entries)
 
-    def descend(ids: np.ndarray, own: np.ndarray, prefix: Entries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def descend(ids: np.ndarray, own: np.ndarray, prefix: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Count or extend the phrases of word numbers ids and hashes own, whose bitmaps are prefix."""
         depth = ids.shape[1]
         if depth == level:
             counts = np.bincount(prefix[0], np.bitwise_count(prefix[2]), len(ids)).astype(np.int64)
             some = np.flatnonzero(counts)
-            yield ids[some], own[some], counts[some]
+            yield ids[some], counts[some]
             return
         moved = shifted(prefix)
         p, w, bits = joined(moved, entries)
@@ -225,41 +226,12 @@ def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list
 def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Entries]]:
     for batch in batches:
         for row in range(len(batch)):
-            entries = tuple(np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("word", np.int32), ("block", np.int32), ("bits", np.uint32)))
+            entries = tuple(np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("word", np.int32), ("block", np.int32), ("bits", np.uint16)))
             yield batch.column("lang")[row].as_py(), batch.column("words")[row].values, entries
 
 
-def hashed_counts(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
-    """(hash, f) of the hashes of phrases of level words that occur least times or more; filters are broadcast Filters of shorter ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, more, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([held[0], *(k for k, _ in more)]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([held[1], *(n for _, n in more)]), len(keys)).astype(np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["hash", "f"])
-
-        for lang, words, entries in _shards_of(batches):
-            for _, own, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
-                more.append((own, counts))
-                size += len(own)
-            if size >= MERGED:
-                held, more, size = merged(), [], 0
-                if len(held[0]) >= 2 * MERGED:
-                    yield out()
-                    held = (held[0][:0], held[1][:0])
-        held = merged()
-        yield out()
-
-    found = shards.select("lang", "words", "word", "block", "bits").mapInArrow(run, "hash long, f long")
-    return found.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-
-
-def exact_counts(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, f) of the phrases of level words with f of least or more; filters are broadcast Filters, their own included."""
+def count_level(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
+    """(lang, phrase, f) of the phrases of level words with f of least or more; filters are broadcast Filters of the shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -269,30 +241,41 @@ def exact_counts(shards: DataFrame, level: int, filters: list, least: int = LEAS
             return found.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
 
         for lang, words, entries in _shards_of(batches):
-            for ids, _, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
+            for ids, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
                 held.append(pa.table({"lang": pa.array([lang] * len(ids), pa.string()), "phrase": _names(words, ids).cast(pa.string()), "f": counts}))
                 size += len(ids)
             if size >= MERGED:
                 held = [merged()]
                 size = held[0].num_rows
                 if size >= MERGED // 2:
-                    yield from held[0].to_batches(MERGED)
+                    yield from held[0].combine_chunks().to_batches(PASSED)
                     held, size = [], 0
         if held:
-            yield from merged().to_batches(MERGED)
+            yield from merged().combine_chunks().to_batches(PASSED)
 
     found = shards.select("lang", "words", "word", "block", "bits").mapInArrow(run, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    # tasks have merged their counts: they are dealt out as they are and summed once
+    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def frequent_filter(counts: DataFrame, rows: int) -> Filter:
-    """The Filter of counts (hash): at most MOST_FILTER_BITS / 64 rows of 64 bits reach the driver, however many phrases there are."""
+    """The Filter of counts (lang, phrase): at most MOST_FILTER_BITS / 64 rows of 64 bits reach the driver, however many phrases there are."""
     bits = 1 << 12
     while bits < min(MOST_FILTER_BITS, BITS_EACH * rows):
         bits *= 2
-    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    cells = counts.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.zeros(len(batch), np.uint64)
+            langs = batch.column("lang").dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                own = np.flatnonzero(langs.indices.to_numpy() == code)
+                words = pc.split_pattern(batch.column("phrase").take(pa.array(own)), " ")
+                hashes = word_hashes(lang, words.flatten()).reshape(len(own), -1)
+                slots[own] = functools.reduce(_followed, hashes.T) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (slots & np.uint64(63))).view(np.int64))], ["cell", "bits"])
+
+    cells = counts.select("lang", "phrase").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
     return Filter(out)
@@ -326,11 +309,10 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
     levels, rows, filters = [], [], []
     with few_rows_read(spark):
         for level in range(1, most_words + 1):
-            hashed = materialize(hashed_counts(shards, level, filters, least), f"phrase-hashes-{level}")
-            filters.append(spark.sparkContext.broadcast(frequent_filter(hashed, hashed.count())))
-            levels.append(materialize(exact_counts(shards, level, filters, least), f"phrase-{level}"))
+            levels.append(materialize(count_level(shards, level, filters, least), f"phrase-{level}"))
             rows.append(levels[-1].count())
-            discard(hashed)
+            if level < most_words:
+                filters.append(spark.sparkContext.broadcast(frequent_filter(levels[-1], rows[-1])))
     words = shards.groupBy("lang").agg(F.sum("n").alias("n"))
     parts = levels[0]
     for more in levels[1:-1]:
