@@ -50,7 +50,7 @@ CONTEXT, AROUND, LEAST_CHARS = 48, 256, 16
 #: Marginal bytes for each character (a random hexadecimal one has 0.5), and share of the marginal bytes of the same characters in random order,
 #: from which on a candidate is reported.
 NOVEL, AS_MIXED = 0.5, 0.9
-DICTIONARY_BYTES, LEVEL = 1 << 16, 12
+DICTIONARY_BYTES, LEVEL, LEAD = 1 << 16, 12, 64
 #: Letters of an identifier of the dictionary, and different ones that a task counts before it passes its counts on.
 IDENTIFIER_CHARS, HELD = (4, 32), 200_000
 
@@ -78,30 +78,31 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 class Novelty:
-    """Marginal compressed sizes by zstandard, primed with a dictionary or with the surrounding text."""
+    """Marginal compressed sizes by zstandard, primed with a dictionary or with the surrounding text.
+
+    A candidate is compressed behind the last characters of what is primed, so that the frame is a compressed one with or without it."""
 
     def __init__(self, dictionary: bytes) -> None:
         self.known = self._primed(dictionary, precompute=True)
-        #: Bytes of a frame without content.
-        self.empty = len(self._primed(b"").compress(b""))
 
     @staticmethod
-    def _primed(content: bytes, precompute: bool = False) -> zstandard.ZstdCompressor:
+    def _primed(content: bytes, precompute: bool = False) -> tuple[zstandard.ZstdCompressor, bytes, int]:
         primed = {}
         if len(content) >= 8:  # the library takes no shorter dictionary
             primed["dict_data"] = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             if precompute:
                 primed["dict_data"].precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, write_content_size=False, **primed)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_dict_id=False, write_content_size=False, **primed)
+        return compressor, content[-LEAD:], len(compressor.compress(content[-LEAD:]))
 
     def found(self, text: str, start: int, end: int) -> bool:
-        """Whether text[start:end] takes as many bytes as its characters in any order, by the dictionary and by the text around it alike."""
+        """Whether text[start:end] adds as many bytes as its characters in any order, to the dictionary and to the text around it alike."""
         own = text[start:end].lower().encode()
         around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).lower().encode(errors="replace")
         mixed = bytes(random.Random(zlib.crc32(own)).sample(own, len(own)))
-        for primed in (self.known, self._primed(around)):
-            size = len(primed.compress(own)) - self.empty
-            if size < NOVEL * len(own) or size < AS_MIXED * (len(primed.compress(mixed)) - self.empty):
+        for compressor, lead, alone in (self.known, self._primed(around)):
+            size = len(compressor.compress(lead + own)) - alone
+            if size < NOVEL * len(own) or size < AS_MIXED * (len(compressor.compress(lead + mixed)) - alone):
                 return False
         return True
 

@@ -239,7 +239,7 @@ def test_novel_secrets(spark):
     got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(docs).collect()}
     assert [i for i in want if got[i] != want[i]] == []
     assert [got[i] for i in range(len(prose)) if got[i]] == []
-    assert sum(bool(got[i]) for i in range(clean, len(texts))) <= 3
+    assert sum('novel' in got[i] for i in range(clean, len(texts))) <= 3
 
 
 def test_dictionary(spark):
