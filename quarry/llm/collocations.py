@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, discard, materialize, mix64, small_batches, table, text_chunks
+from quarry.llm.common import broadcast_if_small, discard, hash_words, materialize, mix64, small_batches, table, text_chunks
 
 #: Words of a shard, and words of all languages that a task gathers before it writes its shards.
 SHARD_WORDS, GATHERED_WORDS = 1 << 17, 1 << 19
@@ -46,6 +46,8 @@ BITS_EACH, MOST_FILTER_BITS = 16, 1 << 29
 BLOCKS, GROUP = 1024, 1 << 15
 #: Counts that a task merges before it passes them on, those it passes on at once, and shards that a task's reader holds.
 MERGED, PASSED, ROWS_READ = 1 << 19, 1 << 14, 8
+#: Parts by first word in which phrases of three and more words are counted one after the other, so that their shuffles never lie on disk at once.
+PARTS = 4
 SHARDS = "lang string, n long, words array<string>, word binary, block binary, bits binary"
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, 9]] = 1
@@ -162,8 +164,8 @@ def _names(words: pa.Array, ids: np.ndarray) -> pa.Array:
 
 
 def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+    return np.concatenate([np.zeros(0, np.uint64), *(mix64(hash_words(data, offsets)[0] + seed) for _, _, data, offsets in text_chunks(words))])
 
 
 def _followed(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -182,8 +184,10 @@ class Filter:
         return (self.bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers, occurrences in this shard) of phrases of level words; filters[i] has the frequent phrases of i + 1 words."""
+def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list[Filter], part: tuple[int, int] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, occurrences in this shard) of phrases of level words; filters[i] has the frequent phrases of i + 1 words.
+
+    part = (i, n) counts only the phrases whose first word is in the i-th of n parts of all words."""
     kept = filters[0].has(hashes) if filters else np.ones(len(hashes), dtype=bool)
     entries = tuple(x[kept[entries[0]]] for x in entries)
 
@@ -220,7 +224,11 @@ def level_counts(hashes: np.ndarray, entries: Entries, level: int, filters: list
                 here = (number >= low) & (number < high)
                 yield from descend(longer[low:high], own[low:high], (number[here] - low, block[here], bits[here]))
 
-    yield from descend(np.arange(len(hashes))[:, None], hashes, entries)
+    first = entries
+    if part[1] > 1:
+        own = (hashes % np.uint64(part[1]) == part[0])[entries[0]]
+        first = tuple(x[own] for x in entries)
+    yield from descend(np.arange(len(hashes))[:, None], hashes, first)
 
 
 def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Entries]]:
@@ -230,8 +238,10 @@ def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arra
             yield batch.column("lang")[row].as_py(), batch.column("words")[row].values, entries
 
 
-def count_level(shards: DataFrame, level: int, filters: list, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, f) of the phrases of level words with f of least or more; filters are broadcast Filters of the shorter ones."""
+def count_level(shards: DataFrame, level: int, filters: list, least: int = LEAST, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(lang, phrase, f) of the phrases of level words with f of least or more; filters are broadcast Filters of the shorter ones.
+
+    part is as in level_counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -241,7 +251,7 @@ def count_level(shards: DataFrame, level: int, filters: list, least: int = LEAST
             return found.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
 
         for lang, words, entries in _shards_of(batches):
-            for ids, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters]):
+            for ids, counts in level_counts(word_hashes(lang, words), entries, level, [f.value for f in filters], part):
                 held.append(pa.table({"lang": pa.array([lang] * len(ids), pa.string()), "phrase": _names(words, ids).cast(pa.string()), "f": counts}))
                 size += len(ids)
             if size >= MERGED:
@@ -306,10 +316,13 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
     a, l and r are the counts of the phrase, of its first and of its second part at the lowest-scoring cut; n counts the language's words."""
     spark = docs.sparkSession
     shards = materialize(vertical(docs), "phrase-shards")
-    levels, rows, filters = [], [], []
+    levels, rows, filters, written = [], [], [], [shards]
     with few_rows_read(spark):
         for level in range(1, most_words + 1):
-            levels.append(materialize(count_level(shards, level, filters, least), f"phrase-{level}"))
+            parts = PARTS if level > 2 else 1
+            counted = [materialize(count_level(shards, level, filters, least, (i, parts)), f"phrase-{level}") for i in range(parts)]
+            written += counted
+            levels.append(functools.reduce(DataFrame.unionByName, counted))
             rows.append(levels[-1].count())
             if level < most_words:
                 filters.append(spark.sparkContext.broadcast(frequent_filter(levels[-1], rows[-1])))
@@ -342,7 +355,7 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
     out = materialize(out, "phrase-best")
     for f in filters:
         f.destroy()
-    discard(shards, *levels)
+    discard(*written)
     return out
 
 
