@@ -45,9 +45,11 @@ BITS_EACH, MOST_FILTER_BITS = 16, 1 << 29
 #: Blocks compared at once, and entries of prefixes that are extended to the full depth before the next are.
 BLOCKS, GROUP = 1024, 1 << 15
 #: Counts that a task merges before it passes them on, those it passes on at once, and shards that a task's reader holds.
-MERGED, PASSED, ROWS_READ = 1 << 19, 1 << 14, 8
-#: Parts by first word in which phrases of three and more words are counted one after the other, so that their shuffles never lie on disk at once.
+MERGED, PASSED, ROWS_READ = 1 << 18, 1 << 14, 8
+#: Parts by first word in which phrases of two and more words are counted one after the other, so that their shuffles never lie on disk at once.
 PARTS = 4
+#: Settings of the Parquet writer for rows of megabytes: pages and row groups are looked at after each row, and not after a hundred.
+LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "compression": "zstd"}
 SHARDS = "lang string, n long, words array<string>, word binary, block binary, bits binary"
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, 9]] = 1
@@ -315,11 +317,11 @@ def mine(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, cove
 
     a, l and r are the counts of the phrase, of its first and of its second part at the lowest-scoring cut; n counts the language's words."""
     spark = docs.sparkSession
-    shards = materialize(vertical(docs), "phrase-shards")
+    shards = materialize(vertical(docs), "phrase-shards", **LONG_ROWS)
     levels, rows, filters, written = [], [], [], [shards]
     with few_rows_read(spark):
         for level in range(1, most_words + 1):
-            parts = PARTS if level > 2 else 1
+            parts = PARTS if level > 1 else 1
             counted = [materialize(count_level(shards, level, filters, least, (i, parts)), f"phrase-{level}") for i in range(parts)]
             written += counted
             levels.append(functools.reduce(DataFrame.unionByName, counted))

@@ -55,12 +55,14 @@ def finished_shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: it cuts the lineage, survives lost executors and gives the planner true sizes."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: it cuts the lineage, survives lost executors and gives the planner true sizes.
+
+    options go to the Parquet writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with finished_shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
