@@ -13,6 +13,9 @@ that it accepts (probability 0.5 or more) and that overlap no base span of any k
 Only pattern counts reach the driver: there are at most KINDS x 3^LABELERS x 2^FEATURES of them, whatever the input. Texts are read
 once; their candidates are written and read again for scoring.
 
+Work grows with a text and its n matches as n * log(n): positions, contexts and overlaps come from prefixes of arrays, and runs of
+digits that are too short or too long for a card get no votes.
+
 Offsets count code points, ends are exclusive. Defined results: a null text counts as empty; an empty or clean text has
 counts of 0, the sha256 of the empty string and empty spans; repeated rows give the same spans; null doc_ids are carried; an empty table gives an empty result; other
 columns are ignored.
@@ -30,8 +33,10 @@ from quarry.llm.common import materialize, table
 KINDS = ["email", "ip", "card", "phone"]
 #: Characters of the text before a candidate in which context words are looked for.
 CONTEXT = 40
-#: Private-use characters that mark matches; where a text holds them itself, they count as U+FFFD.
-OPEN, CLOSE, GAP = "", "", ""
+#: Levels that cover every text: 4^15 matches take more characters than a string has.
+LEVELS = 15
+#: Private-use characters that mark matches, and spaces and hyphens beside another; where a text holds them itself, they count as U+FFFD.
+OPEN, CLOSE, GAP, DASH = "\uE000", "\uE001", "\uE002", "\uE003"
 LOCAL = "[A-Za-z0-9._%+-]"
 #: The fixed patterns, in forms that do not start within a run that an earlier start has tried.
 STRICT = {
@@ -62,19 +67,51 @@ CHECK_PASSES = {1: 0.99, 0: 0.1}
 EM_ROUNDS, FIT_ROUNDS = 50, 300
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefixes(xs: Column, op, levels: int = LEVELS) -> Column:
+    """The array whose i-th item is op, which is associative, over the items of xs up to the i-th: of each item and those 4^k, 2 * 4^k and 3 * 4^k
+    places before it, for k from 0 on, until the array is covered; with fewer levels, over the last 4^levels items."""
+
+    def level(a: Column, k: int) -> Column:
+        if k == levels:
+            return a
+        step = 4**k
+
+        def upto(x: Column, i: Column, n: int) -> Column:
+            return op(upto(F.get(a, i - step), i - step, n - 1), x) if n else x
+
+        wider = F.transform(a, lambda x, i: F.when(i < step, x).when(i < 2 * step, upto(x, i, 1)).when(i < 3 * step, upto(x, i, 2)).otherwise(upto(x, i, 3)))
+        return F.when(F.size(a) > step, let(wider, lambda w: level(w, k + 1))).otherwise(a)
+
+    return let(xs, lambda a: level(a, 0))
+
+
+MATCH = "struct<start:int,end:int,match:string,before:string>"
+
+
 def _cut(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as (start, end, match), from a text without marks."""
-    marked = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
-    first = F.struct(F.length(F.element_at(marked, 1)).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
+    """Matches of a pattern as (start, end, match, the CONTEXT characters before it), from a text without marks."""
+    tail = lambda c: F.right(c, F.lit(CONTEXT))
+
+    def of(marked: Column) -> Column:
+        # the part before the first match, then each match, its mark and what follows it; every part has a character at least, so 4^3 parts have CONTEXT
+        ends = prefixes(F.transform(marked, lambda x, i: F.length(x) - F.when(i > 0, 1).otherwise(0)), lambda a, b: a + b)
+        tails = prefixes(F.transform(marked, lambda x: tail(F.translate(x, CLOSE, ""))), lambda a, b: tail(F.concat(a, b)), 3)
+
+        def match(i: Column, ends: Column, tails: Column) -> Column:
+            found = F.substring_index(F.get(marked, i), CLOSE, 1)
+            start = F.get(ends, i - 1)
+            return F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("match"), F.get(tails, i - 1).alias("before"))
 
-    def step(acc: Column, part: Column) -> Column:
-        match = F.substring_index(part, CLOSE, 1)
-        end = acc["at"] + F.length(match)
-        found = F.array_append(acc["found"], F.struct(acc["at"].alias("start"), end.alias("end"), match.alias("match")))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), found.alias("found"))
+        every = F.sequence(F.lit(1), F.size(marked) - 1)
+        return let(ends, lambda e: let(tails, lambda t: F.transform(every, lambda i: match(i, e, t))))
 
-    some = F.aggregate(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), first, step)["found"]
-    return F.when(text.rlike(pattern), some).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    found = let(F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN), of)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def _digits(match: Column) -> Column:
@@ -129,9 +166,8 @@ def _votes(kind: str, match: Column, before: Column, strict: bool) -> dict[str,
 
 def _candidate(i: int, kind: str, strict: bool):
     def made(s: Column) -> Column:
-        before = F.substring(F.col("clean"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
         base = _checked(kind, s["match"]) if strict else F.lit(False)
-        votes = _votes(kind, s["match"], before, strict)
+        votes = _votes(kind, s["match"], F.translate(s["before"], GAP + DASH, " -"), strict)
         return F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), *(v.cast("int").alias(n) for n, v in votes.items()))
 
     return made
@@ -141,11 +177,28 @@ def _is_kind(i: int):
     return lambda c: c["kind"] == i
 
 
+CANDIDATE = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{n}:int" for n in (*LABELERS, *FEATURES)) + ">"
+
+
+def _with_free(cands: Column) -> Column:
+    """cands with free: whether a candidate overlaps no base span.
+
+    Base spans in order of their starts meet the others in order of their ends: the greatest end so far tells."""
+    events = F.array_sort(F.transform(cands, lambda c: F.struct(F.when(c["base"], c["start"]).otherwise(c["end"]).alias("at"), c["base"].alias("base"), c.alias("c"))))
+
+    def flagged(e: Column) -> Column:
+        far = prefixes(F.transform(e, lambda x: F.when(x["base"], x["c"]["end"]).otherwise(0)), F.greatest)
+        return let(far, lambda m: F.transform(e, lambda x, i: F.struct(x["c"].alias("c"), (x["base"] | (F.get(m, i) <= x["c"]["start"])).alias("free"))))
+
+    return F.when(F.size(cands) > 0, let(events, flagged)).otherwise(F.array().cast(f"array<struct<c:{CANDIDATE},free:boolean>>"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text): doc_id and cands, an array of structs of kind (its place in KINDS), start, end, base and all votes and features."""
-    clean = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE + GAP, "�" * 3)
+    """Of docs (doc_id, text): doc_id and cands, an array of structs of kind (its place in KINDS), start, end, base, all votes and features, and free."""
+    clean = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE + GAP + DASH, "�" * 4)
     # two separators in a row end a card number: each of them becomes a mark of the same length
-    texts = docs.select("doc_id", clean.alias("clean")).withColumn("parted", F.regexp_replace("clean", r"(?<=[ -])[ -]|[ -](?=[ -])", GAP))
+    parted = F.regexp_replace(F.regexp_replace("clean", r"(?<=[ -]) | (?=[ -])", GAP), rf"(?<=[ {GAP}-])-|-(?=[ {GAP}-])", DASH)
+    texts = docs.select("doc_id", clean.alias("clean")).withColumn("parted", parted)
     columns = []
     for i, kind in enumerate(KINDS):
         texts = texts.withColumn(f"strict_{kind}", _cut(F.col("parted" if kind == "card" else "clean"), STRICT[kind]))
@@ -153,13 +206,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         if kind in LOOSE:
             texts = texts.withColumn(f"loose_{kind}", _cut(F.col("clean"), LOOSE[kind]))
             columns.append((i, kind, f"loose_{kind}", False))
-    base = F.concat(*(F.filter(F.transform(column, _candidate(i, kind, True)), lambda c: c["base"]) for i, kind, column, strict in columns if strict))
-    texts = texts.withColumn("spans", F.transform(base, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
-    for _, _, column, strict in columns:
-        if not strict:  # what lies in a base span is no candidate of its own
-            texts = texts.withColumn(column, F.filter(column, lambda c: ~F.exists("spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    # runs of digits that cannot be card numbers are no candidates
+    texts = texts.withColumn("strict_card", F.filter("strict_card", lambda s: F.length(_digits(s["match"])).between(12, 19)))
     lists = [F.transform(column, _candidate(i, kind, strict)) for i, kind, column, strict in columns]
-    return texts.select("doc_id", F.concat(*lists).alias("cands"))
+    texts = texts.select("doc_id", F.concat(*lists).alias("found"))
+    # what lies in a base span is no candidate of its own, unless the fixed pattern found it
+    kept = F.filter(_with_free(F.col("found")), lambda x: x["free"] | (x["c"]["pattern"] == 1))
+    return texts.select("doc_id", F.transform(kept, lambda x: x["c"].withField("free", x["free"])).alias("cands"))
 
 
 def estimate(patterns: list[tuple[int, tuple[int, ...], float]]) -> tuple[list[float], dict[tuple[int, tuple[int, ...]], float]]:
@@ -251,16 +304,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return z >= 0
 
     split = cands.select("doc_id", F.filter("cands", lambda c: c["base"]).alias("base"), F.filter("cands", lambda c: ~c["base"]).alias("other"))
-    split = split.withColumn("added", F.filter("other", lambda c: accepted(c) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    # of added spans that overlap each other, the earliest and then the longest stays
+    split = split.withColumn("added", F.filter("other", lambda c: c["free"] & accepted(c)))
+    # of added spans that hang together by overlaps, the earliest and then the longest stays
     ordered = F.array_sort(F.transform("added", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
-    none = F.struct(F.lit(0).alias("far"), F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("kept"))
 
-    def keep(acc: Column, c: Column) -> Column:
-        more = F.array_append(acc["kept"], F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end")))
-        return F.when(c["start"] >= acc["far"], F.struct((-c["back"]).alias("far"), more.alias("kept"))).otherwise(acc)
+    def heads(o: Column) -> Column:
+        far = prefixes(F.transform(o, lambda c: -c["back"]), F.greatest)
+        chosen = let(far, lambda m: F.filter(o, lambda c, i: (i == 0) | (F.get(m, i - 1) <= c["start"])))
+        return F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["back"]).alias("end")))
 
-    split = split.withColumn("kept", F.aggregate(ordered, none, keep)["kept"])
+    split = split.withColumn("kept", let(ordered, heads))
     slim = F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return split.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat(slim, F.col("kept"))).alias("spans"), F.size("kept").cast("long").alias("n_added"))
