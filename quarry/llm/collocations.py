@@ -47,7 +47,7 @@ BLOCKS, GROUP = 1024, 1 << 15
 #: Counts that a task merges before it passes them on, those it passes on at once, and shards that a task's reader holds.
 MERGED, PASSED, ROWS_READ = 1 << 18, 1 << 14, 8
 #: Parts by first word in which phrases of two and more words are counted one after the other, so that their shuffles never lie on disk at once.
-PARTS = 4
+PARTS = 2
 #: Settings of the Parquet writer for rows of megabytes: pages and row groups are looked at after each row, and not after a hundred.
 LONG_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20), "compression": "zstd"}
 SHARDS = "lang string, n long, words array<string>, word binary, block binary, bits binary"
