@@ -91,10 +91,21 @@ def dedup_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def upsert_with_log(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows after the upsert, change log): values present replace old ones; the log has each field that changed."""
+def last_of_key(new: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row for each key, rows without a key): the last by order (W1), or of several without an order the greatest, so that a run repeats itself."""
+    rows = new.where(F.col(key).isNotNull())
+    rest = [c for c in new.columns if c not in (key, order)]
+    last = F.max_by(F.struct(*new.columns), F.struct(*([order] if order else []), *rest)).alias("_row")
+    return rows.groupBy(key).agg(last).select("_row.*"), new.where(F.col(key).isNull())
+
+
+def upsert_with_log(old: DataFrame, new: DataFrame, key: str, columns: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows after the upsert, change log): values present replace old ones; the log has each field that changed.
+
+    A key that is in new more than once counts with its last row (last_of_key); rows of new without a key are left out, and errors for the caller."""
     o = old.select(key, *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("_o"))
-    n = new.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("_n"))
+    kept = last_of_key(new.select(*dict.fromkeys([key, *columns, *([order] if order else [])])), key, order)[0]
+    n = kept.select(key, *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("_n"))
     both = o.join(n, key, "full")
     after = both.select(key, *[F.coalesce(f"new_{c}", f"old_{c}").alias(c) for c in columns])
     changed = both.where("_n").select(key, F.col("_o").isNull().alias("is_new"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"old_{c}").cast("string").alias("old_value"), F.coalesce(f"new_{c}", f"old_{c}").cast("string").alias("new_value")) for c in columns])).alias("x"))
@@ -102,6 +113,22 @@ def upsert_with_log(old: DataFrame, new: DataFrame, key: str, columns: list[str]
     return after, log
 
 
+def upsert_properties(nodes: DataFrame, updates: DataFrame, key: str, properties: str, order: list[str]) -> DataFrame:
+    """Nodes (key, properties) after updates (key, properties, order) are folded into them in order: of each property the last writer wins.
+
+    Properties are maps; one whose value is null is removed by it, as where a node is set to null. Nodes without updates stay, updates of new keys
+    make nodes, rows without a key are left out. A property is one aggregate, so a node of very many updates is never gathered."""
+    each = updates.where(F.col(key).isNotNull()).select(key, F.struct(F.lit(1).alias("_new"), *order).alias("_order"), F.explode(properties).alias("_name", "_value"))
+    blank = [F.lit(None).cast(updates.schema[c].dataType).alias(c) for c in order]
+    old = nodes.where(F.col(key).isNotNull()).select(key, F.struct(F.lit(0).alias("_new"), *blank).alias("_order"), F.explode(properties).alias("_name", "_value"))
+    # a value in a struct, as a null is a value here; of equal order the greatest value
+    last = each.unionByName(old).groupBy(key, "_name").agg(F.max_by(F.struct("_value"), F.struct("_order", "_value")).alias("_last"))
+    pairs = last.where("_last._value is not null").groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_last._value")))).alias(properties))
+    kind = nodes.schema[properties].dataType
+    keys = nodes.select(key).unionByName(updates.select(key)).where(F.col(key).isNotNull()).distinct()
+    return keys.join(pairs, key, "left").select(key, F.coalesce(F.col(properties), F.create_map().cast(kind)).alias(properties))
+
+
 def delete(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 
@@ -110,14 +137,52 @@ def delete(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 GREATER = ["confidence", "completeness_score", "updated_at", "last_seen_at"]
 
 
+def survivors(merged: DataFrame) -> DataFrame:
+    """(from_id, to_id): for each record that merged (from_id, to_id) sends away, the one that is left at the end of its chain.
+
+    Of several targets of a record the smallest counts. Of a cycle its smallest record is left, and records that lead into the cycle end there.
+    Pairs of a record with itself or with null are no merge. Rounds double the distance looked ahead, so they grow with the logarithm of the longest
+    chain; each is checkpointed, and rows stay one a record."""
+    step = merged.where("from_id <> to_id").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("next"))
+    step = checkpointed(step)
+
+    def doubled(far: DataFrame) -> DataFrame:
+        return checkpointed(far.join(far.select(F.col("id").alias("at"), F.col("at").alias("further")), "at", "left").select("id", F.coalesce("further", "at").alias("at")))
+
+    def ahead(step: DataFrame) -> tuple[DataFrame, int]:
+        """Where the chains of step (id, next) lead, and how many records are on or before a cycle; the records of cycles are where those lead."""
+        far, before, walked = step.select("id", F.col("next").alias("at")), None, 1
+        while True:
+            open_ = far.join(step.select(F.col("id").alias("at")), "at", "left_semi").count()
+            # every round ends chains while there are any that end; a walk as long as there are records on or before cycles is on one
+            if not open_ or (open_ == before and walked >= open_):
+                return far, open_
+            before, far, walked = open_, doubled(far), 2 * walked
+
+    far, cyclic = ahead(step)
+    if cyclic:
+        ends = far.join(step.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id")).distinct()
+        ring = checkpointed(step.join(ends, "id", "left_semi"))
+        # once round, each record of a cycle knows the least one
+        low = ring.select("id", F.col("next").alias("at"), F.least("id", "next").alias("low"))
+        for _ in range(ring.count().bit_length()):
+            more = low.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("low").alias("lower"))
+            low = checkpointed(low.join(more, "at").select("id", F.col("further").alias("at"), F.least("low", "lower").alias("low")))
+        heads = low.select(F.col("low").alias("id")).distinct()
+        far, _ = ahead(checkpointed(step.join(heads, "id", "left_anti")))
+    return far.select(F.col("id").alias("from_id"), F.col("at").alias("to_id"))
+
+
 def merge_entities(records: DataFrame, merged: DataFrame, key: str, columns: list[str], greater: list[str] = GREATER) -> DataFrame:
     """Records after those of merged (from_id, to_id) went into another one (I3, X45); edges are moved by graph.redirect.
 
-    The target's value stays unless it is empty, then the first present of its sources in id order fills it; attributes of
-    greater keep the greatest. Adds filled (names of the attributes that changed). A pair without a target leaves its source as it
-    is. Sources of a target are aggregated, so one with very many stays one row; pairs of a chain are merged one call at a time."""
+    Chains and cycles end at one survivor. Its value stays unless it is empty, then the first present of its sources in id order fills it;
+    attributes of greater keep the greatest. Adds filled (names of the attributes that changed). A pair without a record at one of its ends is
+    no merge. Sources of a survivor are aggregated, so one with very many stays one row."""
     kind = {c: records.schema[c].dataType.typeName() for c in columns}
-    known = merged.where("from_id <> to_id").join(records.select(F.col(key).alias("to_id")), "to_id", "left_semi")
+    ids = records.select(key).distinct()
+    known = merged.join(ids.withColumnRenamed(key, "to_id"), "to_id", "left_semi").join(ids.withColumnRenamed(key, "from_id"), "from_id", "left_semi")
+    known = survivors(known)
     pick = lambda c: F.max(c) if c in greater else F.min_by(c, F.when(S.has_value(F.col(c), kind[c]), F.col(key)))
     sources = records.join(known, F.col(key) == F.col("from_id")).groupBy("to_id").agg(*[pick(c).alias(f"_{c}") for c in columns])
     kept = records.join(known.select(F.col("from_id").alias(key)), key, "left_anti").join(sources.withColumnRenamed("to_id", key), key, "left")

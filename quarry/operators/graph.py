@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
+from quarry.operators.entities import survivors
 from quarry.session import checkpointed
 
 
@@ -72,8 +73,8 @@ def with_satellites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def redirect(edges: DataFrame, merged: DataFrame) -> DataFrame:
-    """Edges after entities were merged (from_id into to_id): ends moved, loops and repeats gone."""
-    m = merged.select("from_id", "to_id")
+    """Edges after entities were merged (from_id into to_id, chains and cycles to their survivor): ends moved, loops and repeats gone."""
+    m = survivors(merged)
     out = edges
     for end in ("src", "dst"):
         out = out.join(m.withColumnRenamed("from_id", end), end, "left").withColumn(end, F.coalesce("to_id", end)).drop("to_id")

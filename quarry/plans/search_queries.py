@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import search
+from quarry.operators import search, text_index, vector_index
 from quarry.plans.registry import query
 
 SIM = "SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -116,3 +116,32 @@ def _(t):
 def _(t):
     d = t("documents").select(S.detect_lang(F.col("text")).alias("lang"), F.size(S.tokenize(F.col("text"), ["the", "of", "and"])).alias("n"))
     return d.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+TERMS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+(\+\+|#)?'), lambda x: x <> '')"
+
+
+@query("keyword_index", f"""WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents), s AS (SELECT count(*) AS nd, avg(len(w)) AS av FROM d),
+ tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ q AS (SELECT item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+ s2 AS (SELECT item_id, doc_id, round(sum(ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / av))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term), s GROUP BY 1, 2)
+ SELECT item_id AS query, doc_id AS key, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s2) WHERE rank <= 20""")
+def _(t):
+    """The 20 best documents for each benchmark text, by an index of all documents (K3)."""
+    index = text_index.build(t("documents"), "doc_id", "text")
+    return text_index.search(index, t("benchmark"), "item_id", "text")
+
+
+@query("knn_join", """SELECT q AS query, vec_id AS key, round(sim, 9) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM
+ (SELECT q.vec_id AS q, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 20""")
+def _(t):
+    """The 20 nearest of all vectors to each query vector, all lists of the index being probed (K1, K5)."""
+    index = vector_index.build(t("embeddings"), "vec_id", "embedding")
+    return vector_index.nearest(index, t("embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+@query("knn_index")
+def _(t):
+    """The same by codes and the lists that reach the recall (K1, K5)."""
+    index = vector_index.build(t("embeddings"), "vec_id", "embedding")
+    return vector_index.search(index, t("embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, where unset in local mode, as in tests, a temporary folder; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/quarry-checkpoints"
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df marked for broadcasting if it has no more than most rows, else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
