@@ -113,7 +113,7 @@ def build(rows: DataFrame, key: str, column: str, lists: int | None = None, path
     count = F.create_map(*[F.lit(x) for r in sizes for x in (r["list"], max(1, r["count"] // BLOCK))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     # rows are dealt to blocks by number, so that equal keys and vectors do not meet in one
     dealt = listed.withColumn("block", F.pmod(F.monotonically_increasing_id(), count[F.col("list")].cast("long")))
-    blocks = dealt.groupBy("list", "block").agg(F.collect_list(F.struct("key", "vector")).alias("rows"))
+    blocks = dealt.groupBy("list", "block").agg(F.sort_array(F.collect_list(F.struct("key", "vector"))).alias("rows"))
     blocks = blocks.select("list", "block", F.col("rows.key").alias("keys"), F.col("rows.vector").alias("vectors"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +188,9 @@ def _probed(index: VectorIndex, queries: DataFrame, query: str, column: str, pro
                     about = (q @ centroids[number])[:, None] + sum((p @ b.T)[:, own[:, j]] for j, (p, b) in enumerate(zip(parts, codebooks, strict=True)))
                 else:
                     about = q @ v.T
-                most = min(candidates, about.shape[1])
-                best = np.argpartition(-about, most - 1, axis=1)[:, :most] if most < about.shape[1] else np.tile(np.arange(most), (len(q), 1))
-                if not codes:
-                    # all that tie with the last one stay
-                    least = np.take_along_axis(about, best, 1).min(axis=1) - 1e-9
-                    at, col = np.nonzero(about >= least[:, None])
-                else:
-                    at, col = np.repeat(np.arange(len(q)), most), best.ravel()
+                # keys of a block are in order, so of equal rows those with the smallest keys stay
+                best = np.argsort(-np.round(about, 9), axis=1, kind="stable")[:, :candidates]
+                at, col = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
                 sims = (q[at] * v[col]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("queries")[row].values.take(pa.array(at)), batch.column("keys")[row].values.take(pa.array(col)), pa.array(about[at, col]), pa.array(sims), pa.array(np.full(len(at), number, np.int32))], ["query", "key", "about", "sim", "list"])
 
