@@ -7,8 +7,8 @@ by the scores, byte fallback, and the decoder. The model at hand is of type BPE,
 
 Where no piece has a metaspace marker or line break after another character, no piece can reach over a space or line
 break, so a text's ids are those of its parts; each task encodes a part once and remembers it. Parts are encoded in
-batches by the library's threads. Other models are encoded text by text. Unigram models whose texts hold
-characters outside their pieces, and normalisers with a character map, take the library's form of both.
+batches by the library's threads. Other models are encoded text by text. A normaliser's character map is read from its trie and applied
+to the longest key at each place, as the sentencepiece library does; the tokenizers library's own form goes by grapheme and differs.
 
 Parity with the sentencepiece library is verified on PROBES when a tokenizer is built and, in the tests, on documents.
 
@@ -98,6 +98,58 @@ def parse_model(data: bytes) -> Parsed:
     return out
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The replacements of a normaliser's character map: a double-array trie of UTF-8 keys, whose values are places in a list of texts that end with a zero byte.
+
+    A unit has its label in the lowest byte (bit 31 marks a value), a bit for a value below it (8), and its offset from bit 10 on, times 256 where bit 9 is set."""
+    size = struct.unpack("<I", blob[:4])[0]
+    units = np.frombuffer(blob, "<u4", size // 4, 4)
+    texts = blob[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    every = np.arange(1, 256)
+    out = {}
+    stack = [(offset(int(units[0])), b"")]
+    while stack:
+        node, key = stack.pop()
+        places = node ^ every
+        found = units[np.minimum(places, len(units) - 1)]
+        for byte in every[(places < len(units)) & ((found & 0x800000FF) == every)].tolist():
+            unit = int(units[node ^ byte])
+            below = (node ^ byte) ^ offset(unit)
+            if unit >> 8 & 1:
+                at = int(units[below]) & 0x7FFFFFFF
+                out[(key + bytes([byte])).decode()] = texts[at : texts.index(b"\0", at)].decode()
+            stack.append((below, key + bytes([byte])))
+    return out
+
+
+class Normaliser:
+    """Replaces the longest key of a character map at each place of a text; user-defined pieces stay as they are."""
+
+    def __init__(self, parsed: Parsed) -> None:
+        kept = {piece: piece for piece, _, kind in parsed.pieces if kind == USER}
+        self.map = character_map(parsed.charsmap)
+        self.users = kept
+        self.longest: dict[str, int] = {}
+        for key in (*self.map, *kept):
+            self.longest[key[0]] = max(len(key), self.longest.get(key[0], 0))
+        alone = {k for k in (*self.map, *kept) if len(k) == 1}
+        more = [k for k in (*self.map, *kept) if len(k) > 1]
+        some = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]" if chars else "(?!)"
+        self.start = re.compile(f"{some(alone)}|{some({k[0] for k in more})}(?={some({k[1] for k in more})})")
+
+    def __call__(self, text: str) -> str:
+        out, at = [], 0
+        while found := self.start.search(text, at):
+            i = found.start()
+            out.append(text[at:i])
+            sizes = range(min(self.longest[text[i]], len(text) - i), 0, -1)
+            key = next((text[i : i + n] for n in sizes if text[i : i + n] in self.users), None) or next((text[i : i + n] for n in sizes if text[i : i + n] in self.map), None)
+            out.append(self.users.get(key) or self.map[key] if key else text[i])
+            at = i + len(key or " ")
+        return "".join(out) + text[at:] if out else text
+
+
 def build_tokenizer(parsed: Parsed, prefix: bool = True):
     """A tokenizers.Tokenizer with the model's pieces; without prefix it takes parts of a text, not whole ones."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
@@ -115,16 +167,19 @@ def build_tokenizer(parsed: Parsed, prefix: bool = True):
         model = models.BPE(ids, [pair for *_, pair in sorted(ranked)], unk_token=parsed.pieces[unknown][0], fuse_unk=True, byte_fallback=parsed.byte_fallback)
     else:
         raise ValueError(f"model type {parsed.model_type}: only unigram (1) and BPE (2) models have scored pieces")
-    steps = [normalizers.Precompiled(parsed.charsmap)] if parsed.charsmap else []
+    steps = []
     if parsed.remove_extra_whitespaces and prefix:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        # just spaces go, and at the end metaspace markers too
+        steps += [normalizers.Replace(Regex(r"\A +"), ""), normalizers.Replace(Regex(rf"[ {MARK}]+\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if parsed.add_dummy_prefix and prefix:
         steps.append(normalizers.Prepend(" "))
     steps.append(normalizers.Replace(" ", MARK))
     made = Tokenizer(model)
     made.normalizer = normalizers.Sequence(steps)
     made.encode_special_tokens = True
-    tail = [decoders.Strip(" ", 1, 0)] if parsed.add_dummy_prefix and prefix else []
+    # a model that trims spaces loses all at the beginning, others just the one of the prefix
+    leading = 1 << 30 if parsed.remove_extra_whitespaces else 1
+    tail = [decoders.Strip(" ", leading, 0)] if parsed.add_dummy_prefix and prefix else []
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return made
 
@@ -159,6 +214,7 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         parsed = parse_model(data)
         self.whole = build_tokenizer(parsed)
+        self.normalise = Normaliser(parsed) if parsed.charsmap else None
         self.by_parts = parts_hold(parsed)
         self.part = build_tokenizer(parsed, prefix=False) if self.by_parts else None
         self._forget()
@@ -184,7 +240,8 @@ class Codec:
     def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text and whether they decode to it (metaspace markers read as spaces)."""
         if not self.by_parts:
-            ids = [np.array(e.ids, dtype=np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            plain = list(map(self.normalise, texts)) if self.normalise else texts
+            ids = [np.array(e.ids, dtype=np.int32) for e in self.whole.encode_batch_fast(plain, add_special_tokens=False)]
             return ids, [d == t.replace(MARK, " ") for d, t in zip(self.decode(ids), texts, strict=True)]
         if len(self.known) > REMEMBERED:
             self._forget()

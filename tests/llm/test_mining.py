@@ -270,3 +270,30 @@ def test_queries(spark, name):
 
     table = spark.read.parquet(f"{SF}/{'embeddings' if '12' in name else 'documents'}.parquet")
     assert registry.QUERIES[name](spark, SF).count() == table.count() * (32 if "12" in name else 1)
+
+
+# --- op5: models with a character map ---
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("byte_fallback", [True, False])
+@pytest.mark.parametrize("trim", [True, False])
+def test_character_map(rule, byte_fallback, trim):
+    """Ids of models with a public normalisation rule's map equal the sentencepiece library's."""
+    import sentencepiece
+
+    from quarry.llm import sentencepiece_codec
+    from tests.llm.test_llm import message, unigram_model
+
+    parsed = sentencepiece_codec.parse_model(unigram_model(byte_fallback, trim))
+    blob = sentencepiece_codec.parse_model(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).charsmap
+    spec = message((1, rule), (2, blob), (3, 1), (4, int(trim)), (5, 1))
+    pieces = [*parsed.pieces, ("Ａé", -1.0, sentencepiece_codec.USER)]
+    model = message(*((1, message((1, p), (2, float(s)), (3, k))) for p, s, k in pieces), (2, message((3, 1), (35, int(byte_fallback)))), (3, spec))
+    reference, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    rng = random.Random(1)
+    bits = ["a", "abc", "Ａ", "ｂ", "ﬁ", "①", "㍿", "é", "e\u0301", "\u3000", " ", "  ", "\t", "\n", "\u2028", "\u200b", "ｶﾞ", "\u212b", "½", "\r", "\x00", "日本", "…", "\u0301", "\ufeff", "𝒳", "▁", "Ａé"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(1500)] + ["ﬁ " * 20_000]
+    assert [x.tolist() for x in codec.encode(texts)] == [reference.encode(t) for t in texts]
+    if byte_fallback:
+        assert codec.decode(codec.encode(texts)) == [reference.decode(reference.encode(t)) for t in texts]
