@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import broadcast_if_small, discard, free_name, hash_words, materialize, mix64, small_batches, table, text_chunks
@@ -46,7 +46,9 @@ LINES_AT_ONCE, TOKEN_BITS = 1 << 20, 44
 #: duplicates, and members beyond which a list is always cut into blocks.
 SHORT_LIST, DENSE, LIST_ROWS = 64, 8, 4096
 #: Members of such a list in one block.
-BLOCK_ROWS = 1024
+BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 20
+#: Keys that a task remembers at once to count and join equal lines once.
+MOST_SEEN = 500_000
 #: Rows of the sorted lists that a task handles at once.
 ROWS_AT_ONCE = 1 << 16
 KEY = ["set_key", "set_more"]
@@ -97,8 +99,10 @@ def line_sets(column: pa.Array) -> Iterator[Lines]:
 
 
 def _new(keys: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which keys this task has not seen before."""
+    """Which keys this task has not seen before, or not since it last forgot; a key that is new twice is counted and joined again, as that of another task is."""
     out = np.zeros(len(keys), dtype=bool)
+    if len(seen) >= MOST_SEEN:
+        seen.clear()
     for i, key in enumerate(keys.tolist()):
         if key not in seen:
             seen.add(key)
@@ -325,16 +329,21 @@ def _later_ones(rows: pa.Table) -> pa.Table:
     return rows.select(KEY).take(pa.array(order[gone], pa.int64()))
 
 
+def _blocks() -> Column:
+    """Blocks of a list: of BLOCK_ROWS sets, or fewer where these are long."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("words").cast("long")) / BLOCK_WORDS)).cast("int")
+
+
 def _dense_matches(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Keys of the members (token, set_key) of long lists that have a similar earlier member."""
     rows = members.distinct().join(sets, "set_key")
-    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes = rows.groupBy("token").agg(_blocks().alias("blocks"))
     rows = materialize(rows.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64(*KEY), "blocks").cast("int")), "line-dense")
     keys = "set_key long, set_more long"
     found = materialize(rows.withColumn("asks", F.lit(True)).groupBy("token", "block").applyInArrow(_later_ones, keys).distinct(), "line-later")
     long = rows.where("blocks > 1")
     open_ = materialize(long.join(found, KEY, "left_anti"), "line-open")
-    counts = open_.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    counts = open_.groupBy("token").agg(_blocks().alias("parts"))
     # open members (in parts) against all blocks: a cell has one part and one block, less what has met already
     asking = open_.join(counts, "token").withColumn("part", F.pmod(F.xxhash64("set_more", "set_key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asking = asking.where("other <> block").select("token", "part", F.col("other").alias("cell"), F.lit(True).alias("asks"), *KEY, "first", "words")

@@ -297,3 +297,34 @@ def test_character_map(rule, byte_fallback, trim):
     assert [x.tolist() for x in codec.encode(texts)] == [reference.encode(t) for t in texts]
     if byte_fallback:
         assert codec.decode(codec.encode(texts)) == [reference.decode(reference.encode(t)) for t in texts]
+
+
+# --- op9: bounded memory ---
+
+
+def test_lines_with_little_memory(spark, monkeypatch):
+    """A task that remembers few keys, and cells of few words: lines of a long list, one of them of a hundred thousand words, go all the same."""
+    from quarry.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MOST_SEEN", 3)
+    monkeypatch.setattr(line_dedup, "BLOCK_WORDS", 400)
+    rng = random.Random(8)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(400)]
+    center = rng.sample(words, 40)
+    texts = []
+    for i in range(120):
+        own = list(center)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(40)] = rng.choice(words)
+        texts.append("\n".join([" ".join(own), " ".join(rng.sample(words, 12))]))
+    texts += [" ".join(f"w{j}" for j in range(100_000)), " ".join(f"w{j}" for j in range(99_000))]
+    seen, want = [], []
+    for t in texts:
+        near = 0
+        for line in t.split("\n"):
+            s = frozenset(line.split())
+            near += any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen)
+            seen.append(s)
+        want.append(near)
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["n_exact"] + r["n_near"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
