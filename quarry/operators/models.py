@@ -15,22 +15,27 @@ from quarry.session import small
 Client = Callable[[list[str]], list[str]]
 
 
-def answer(df: DataFrame, prompt: Column, client: Client, schema: str, out: str = "answer") -> DataFrame:
+def answer(df: DataFrame, prompt: Column, client: Client, schema: str, out: str = "answer", error: str | None = None) -> DataFrame:
     """df with the client's answer to each prompt as a struct of the given schema; null where it is not such JSON.
 
-    The client is called in the tasks, a batch at a time; a batch that fails gives nulls."""
+    The client is called in the tasks, a batch at a time; a batch that fails gives nulls. With a name for error, that column has what the
+    client raised, `no answer in the form asked for` where the answer is no such JSON, and null where all is well: an outage can be told from empty answers."""
     asked = df.withColumn("_prompt", prompt)
-    fields = T.StructType([*asked.drop("_prompt").schema.fields, T.StructField("_text", T.StringType())])
+    fields = T.StructType([*asked.drop("_prompt").schema.fields, T.StructField("_text", T.StringType()), T.StructField("_error", T.StringType())])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            failed = None
             try:
                 texts = client(batch["_prompt"].tolist())
-            except Exception:  # a failed call is a null answer; the row stays
-                texts = [None] * len(batch)
-            yield batch.drop(columns="_prompt").assign(_text=texts)
+            except Exception as raised:  # a failed call is a null answer; the row stays
+                texts, failed = [None] * len(batch), f"{type(raised).__name__}: {raised}"[:1000]
+            yield batch.drop(columns="_prompt").assign(_text=texts, _error=failed)
 
-    return asked.mapInPandas(call, fields).withColumn(out, F.from_json(S.fenced_json(F.col("_text")), schema)).drop("_text")
+    found = asked.mapInPandas(call, fields).withColumn(out, F.from_json(S.fenced_json(F.col("_text")), schema))
+    if error:
+        found = found.withColumn(error, F.coalesce("_error", F.when(F.col(out).isNull(), "no answer in the form asked for")))
+    return found.drop("_text", "_error")
 
 
 def accept_fills(df: DataFrame, confidence: str, auto: float = 0.80, review: float = 0.60) -> DataFrame:
@@ -55,7 +60,9 @@ def enrich(df: DataFrame, required: list[str], recommended: list[str], prompt: C
 
 def map_predicates(triples: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mapped, unmapped) triples by predicate and end types (J11, W10); the unmapped are staged, not lost."""
-    joined = triples.join(small(mapping), ["predicate", "subj_type", "obj_type"], "left")
+    # of several relations of a predicate the first by name counts
+    one = mapping.groupBy("predicate", "subj_type", "obj_type").agg(F.min("rel").alias("rel"))
+    joined = triples.join(small(one), ["predicate", "subj_type", "obj_type"], "left")
     return joined.where("rel is not null"), staged(joined.where("rel is null").drop("rel"))
 
 

@@ -24,9 +24,15 @@ VIEWPOINTS = {"evolve": "TECH_EVOLVE", "prereq": "TECH_PREREQ"}
 
 
 def rename_fields(df: DataFrame, fields: dict[str, str], keep: list[str], titles: list[str], title: str = "title") -> DataFrame:
-    """Fields under their common names, all others in a map raw with keys raw_<name>; an empty title is the first of titles present."""
+    """Fields under their common names, all others in a map raw with keys raw_<name>; an empty title is the first of titles present.
+
+    Of several fields for one name the first that is present counts, row by row."""
     lists = lambda c: isinstance(df.schema[c].dataType, T.ArrayType | T.MapType | T.StructType)
-    known = [F.col(source).alias(target) for source, target in fields.items() if source in df.columns and target != title]
+    sources: dict[str, list[str]] = {}
+    for source, target in fields.items():
+        if source in df.columns and target != title:
+            sources.setdefault(target, []).append(source)
+    known = [(F.col(own[0]) if len(own) == 1 else F.coalesce(*[F.when(S.has_value(F.col(c), df.schema[c].dataType.typeName()), F.col(c)) for c in own])).alias(target) for target, own in sources.items()]
     own = [F.col(source) for source, target in fields.items() if source in df.columns and target == title]
     fallback = [F.when(c.cast("string") != "", c.cast("string")) for c in [*own, *(F.col(t) for t in titles if t in df.columns)]]
     rest = [c for c in df.columns if c not in fields and c not in keep]
@@ -262,6 +268,8 @@ def network_view(edges: DataFrame, order: str, names: DataFrame) -> DataFrame:
 def ensemble(models: list[DataFrame], doc: str, least: float = 0.7) -> DataFrame:
     """Spans of several models (doc, text, label, start, end, confidence): the best of each text and label, without overlaps, of
     at least a confidence; a model without spans adds none (I2)."""
+    if not models:
+        raise ValueError("an ensemble needs the spans of one model at least; a model without any is an empty table")
     every = None
     for i, spans in enumerate(models):
         own = spans.withColumn("model_order", F.lit(i))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def knn(vectors: DataFrame, vector: list[float], k: int = 20, key: str = "vec_id
 
 
 def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The k best documents for query terms, words of a-z and 0-9, by BM25 (K3)."""
+    """The k best documents for query terms by BM25 (K3), whatever their case; for many queries, and for all scripts, there is text_index.
+
+    Words are runs of a-z and 0-9; other characters of a term stand for themselves, so c++ finds c++ and not c."""
     return _best(docs, key, [(text, 1.0)], terms, k, k1, b)
 
 
@@ -36,11 +40,16 @@ def best_field(docs: DataFrame, key: str, fields: dict[str, float], terms: list[
 
 def _best(docs: DataFrame, key: str, fields: list[tuple[Column, float]], terms: list[str], k: int, k1: float, b: float) -> DataFrame:
     # the counts of words are written, so that texts are read once and statistics and scores are taken from narrow rows
-    counts = []
+    counts, patterns = [], []
+    for term in terms:
+        term = term.lower()
+        # the term ends where its kind of character ends
+        edge = lambda c: r"[a-z0-9]" if re.match("[a-z0-9]", c) else re.escape(c)
+        patterns.append(f"(?<!{edge(term[0])}){re.escape(term)}(?!{edge(term[-1])})" if term else "(?!)")
     for f, (text, _) in enumerate(fields):
         lowered = F.lower(F.coalesce(text, F.lit("")))
         counts.append(F.regexp_count(lowered, F.lit("[a-z0-9]+")).alias(f"n{f}"))
-        counts += [F.regexp_count(lowered, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"tf{f}_{i}") for i, t in enumerate(terms)]
+        counts += [F.regexp_count(lowered, F.lit(p)).alias(f"tf{f}_{i}") for i, p in enumerate(patterns)]
     rows = checkpointed(docs.select(key, *counts))
     pairs = [(f, i) for f in range(len(fields)) for i in range(len(terms))]
     stats = rows.agg(F.count("*").alias("docs"), *[F.avg(f"n{f}").alias(f"avg{f}") for f in range(len(fields))], *[F.count_if(F.col(f"tf{f}_{i}") > 0).alias(f"df{f}_{i}") for f, i in pairs])
@@ -151,7 +160,8 @@ def textrank(docs: DataFrame, key: str, terms: str, k: int = 5, span: int = 5, d
 
 
 def llm_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost of each call from its tokens and the model's price for a million (G25); unknown models cost nothing."""
-    joined = calls.join(small(prices), "model", "left")
+    """Cost of each call from its tokens and the model's price for a million (G25); unknown models cost nothing, of several prices the greatest counts."""
+    one = prices.groupBy("model").agg(F.max(F.struct("price_in", "price_out")).alias("_p")).select("model", "_p.*")
+    joined = calls.join(small(one), "model", "left")
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0))) / 1_000_000
     return joined.select(*calls.columns, cost.cast("decimal(12,6)").alias("cost"))

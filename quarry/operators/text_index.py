@@ -13,14 +13,19 @@ A null text is empty; a query without a known term has no hits; rows with equal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import shared_path
 
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 4096, 64, 4
+#: Bits of a document's number within a slab: the numbers of 16 tasks.
+SLAB = 37
 K1, B = 1.2, 0.75
 
 
@@ -35,7 +40,7 @@ def _bucket(term: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """Tables under path: docs (doc, key, length), terms (term, df) and postings (bucket, term, block, max_tf, min_length, hits)."""
+    """Tables under path: docs (doc, key, length, terms, tfs), terms (term, df) and postings (bucket, term, block, max_tf, min_length, hits)."""
 
     spark: SparkSession
     path: str
@@ -43,26 +48,41 @@ class TextIndex:
 
     def table(self, name: str) -> DataFrame:
         schema = {
-            "docs": f"doc long, key {self.key_type}, length int, terms array<string>",
+            "docs": f"doc long, key {self.key_type}, length int, terms array<string>, tfs array<int>",
             "terms": "term string, df long",
             "postings": "term string, block long, max_tf int, min_length int, hits array<struct<doc:long,tf:int,length:int>>, bucket int",
         }[name]
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different terms of each document and how often each occurs, by sorting the documents of a batch together."""
+    for batch in batches:
+        lists = batch.column("terms")
+        lengths = lists.value_lengths().to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        keys, counts = np.unique(np.repeat(np.arange(len(batch)), lengths) * n + coded.indices.to_numpy(), return_counts=True)
+        offsets = pa.array(np.searchsorted(keys, np.arange(len(batch) + 1) * n).astype(np.int32))
+        terms, tfs = coded.dictionary.take(pa.array(keys % n)) if len(keys) else pa.array([], pa.string()), pa.array(counts.astype(np.int32))
+        columns = [batch.column("doc"), batch.column("key"), pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, tfs)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "length", "terms", "tfs"])
+
+
 def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> TextIndex:
-    """Index docs (key, text) under path, or a folder of its own in the shared one."""
+    """Index docs (key, text) under path, or a folder of its own in the shared one.
+
+    Postings are dealt out once, by bucket and SLAB of documents: a bucket of a slab is a task's work and a file."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "text-index")
     # numbers of documents are written with their terms, so that a task that is repeated later cannot change them
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), analyse(F.col(text)).alias("terms"))
     index = TextIndex(spark, path, numbered.schema["key"].dataType.simpleString())
-    numbered.select("doc", "key", F.size("terms").alias("length"), "terms").write.parquet(f"{path}/docs")
-    rows = index.table("docs")
-    counts = rows.select("doc", "length", F.explode("terms").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    blocks = counts.groupBy("term", F.floor(F.col("doc") / BLOCK_DOCS).alias("block")).agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc", "tf", "length")).alias("hits"))
-    dealt = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    numbered.mapInArrow(_counted, f"doc long, key {index.key_type}, length int, terms array<string>, tfs array<int>").write.option("compression", "zstd").parquet(f"{path}/docs")
+    each = index.table("docs").select("doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc", "length", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    dealt = each.withColumns({"bucket": _bucket(F.col("term")), "slab": F.shiftright("doc", SLAB)}).repartition("bucket", "slab")
+    blocks = dealt.groupBy("bucket", "slab", "term", F.floor(F.col("doc") / BLOCK_DOCS).alias("block")).agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc", "tf", "length")).alias("hits"))
+    blocks.drop("slab").sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     index.table("postings").groupBy("term").agg(F.sum(F.size("hits")).alias("df")).write.parquet(f"{path}/terms")
     return index
 

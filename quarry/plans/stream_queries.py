@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans import registry
-from quarry.session import shared_folder
+from quarry.session import shared_folder, shared_path
 from quarry.streaming import streams
 
 
@@ -65,3 +65,16 @@ def _(spark, events):
 @_stream("stream_sliding_counts", "SELECT (ts::DATE - i::INT)::DATE AS start, event_type, count(*) AS cnt FROM events, range(7) r(i) GROUP BY 1, 2")
 def _(spark, events):
     return _days(_complete(spark, streams.sliding_counts(events, "ts", "7 days", "1 day", ["event_type"], late=None), "sliding"))
+
+
+@registry.query("stream_two_keys", "SELECT DISTINCT md5(text) AS title FROM documents")
+def _(t):
+    """Documents by id and title over micro-batches (Z2), a title being what stays whatever the order of the files."""
+    docs = t("documents")
+    spark, schema = docs.sparkSession, docs.select("doc_id", F.lit("").alias("title"), F.lit(0).cast("long").alias("rank")).schema
+    rows = streams.file_stream(spark, docs.inputFiles()[0].rsplit("/documents.parquet", 1)[0] + "/documents.parquet*", docs.schema)
+    rows = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("title"), F.col("doc_id").alias("rank"))
+    root = shared_path(spark, "two-keys")
+    kept = streams.KeyedDedup(spark, root, schema, "doc_id", "title", "rank")
+    streams.run_batches(rows, kept, f"{root}/checkpoint").awaitTermination()
+    return kept.rows().select("title")

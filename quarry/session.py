@@ -35,6 +35,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whichever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df marked for broadcasting if it has no more than most rows, else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -84,6 +84,12 @@ class CommittedTable:
     def rows(self) -> DataFrame:
         return self._rows(self.manifest())
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys in keys, of which just the buckets are read."""
+        wanted = keys.select(self.key).distinct()
+        buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]  # at most one number a bucket
+        return self._rows(self.manifest(), buckets).join(wanted, self.key, "left_semi")
+
     def log(self) -> DataFrame:
         """All changes: version, key, is_new, field, old_value, new_value."""
         kind = self.schema[self.key].dataType.simpleString()

@@ -111,3 +111,40 @@ def test_two_writers(spark, tmp_path, monkeypatch):
         with pytest.raises(Conflict):
             t.upsert(rows, "three")
     assert state(t) == [(1, "1")] and committed.Manifest().version == 0
+
+
+@pytest.mark.parametrize("cuts", [[], [7], [3, 40, 41], list(range(0, 90, 9))])
+def test_two_key_dedup_over_batches(spark, tmp_path, cuts):
+    """Any split into batches keeps what dedup_documents keeps of all rows, and a run that is lost and repeated keeps it once."""
+    from quarry.streaming.streams import KeyedDedup
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *map(str, range(25))]), rng.choice([None, "", *[f"t{i}" for i in range(25)]]), i) for i in range(90)]
+    kept, ids, titles = [], set(), set()
+    for i, t, r in rows:
+        if i in ids or t in titles:
+            continue
+        kept.append(r)
+        ids |= {i} - {None}
+        titles |= {t} - {None, ""}
+    schema = "i string, t string, r long"
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(x["r"] for x in entities.dedup_documents(df, "i", "t", "r").collect()) == kept
+    dedup = KeyedDedup(spark, f"file://{tmp_path}/d", df.schema, "i", "t", "r")
+    commit = CommittedTable._commit
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, 90], strict=True)):
+        part = spark.createDataFrame(rows[a:b], schema)
+        if n == 1:
+
+            def killed(self, new):
+                raise RuntimeError("killed")
+
+            CommittedTable._commit = killed
+            try:
+                with pytest.raises(RuntimeError):
+                    dedup(part, n)
+            finally:
+                CommittedTable._commit = commit
+        dedup(part, n)
+        dedup(part, n)
+    assert sorted(x["r"] for x in dedup.rows().collect()) == kept
