@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import scalars as S
+from quarry.operators import search, text_index
+from quarry.operators.text_index import TextIndex
 from quarry.session import small
 
 Client = Callable[[list[str]], list[str]]
@@ -44,6 +46,17 @@ def accept_fills(df: DataFrame, confidence: str, auto: float = 0.80, review: flo
     return df.withColumn("accepted", c >= review).withColumn("needs_review", (c >= review) & (c < auto))
 
 
+def retrieved_context(index: TextIndex, rows: DataFrame, key: str, text: Column, passages: DataFrame, passage_key: str, passage: str, k: int = 5, budget: int = 4000) -> DataFrame:
+    """rows with context: the best k passages for each row's text, in order, up to a budget of characters (E6, K3, P14); null where nothing is found.
+
+    All rows are searched in one job; index is of the same passages by their key."""
+    asked = rows.select(F.col(key).alias("_key"), text.alias("_text"))
+    hits = text_index.search(index, asked, "_key", "_text", k)
+    of = passages.select(F.col(passage_key).alias("key"), F.col(passage).alias("_passage")).dropDuplicates(["key"])
+    packed = search.context_pack(hits.join(of, "key"), "query", "rank", "_passage", budget)
+    return rows.join(packed, F.col(key) == F.col("query"), "left").select(*rows.columns, "context")
+
+
 def enrich(df: DataFrame, required: list[str], recommended: list[str], prompt: Column, client: Client, least: float = 0.6) -> DataFrame:
     """A round of enrichment (E6): rows less complete than least are asked about, answers that are accepted fill what is empty, and every row is scored again.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import shared_path
+from quarry.session import shared_path, small_batches
 
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 4096, 64, 4
 #: Bits of a document's number within a slab: the numbers of 16 tasks.
@@ -74,6 +74,7 @@ def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> Text
 
     Postings are dealt out once, by bucket and SLAB of documents: a bucket of a slab is a task's work and a file."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or shared_path(spark, "text-index")
     # numbers of documents are written with their terms, so that a task that is repeated later cannot change them
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), analyse(F.col(text)).alias("terms"))

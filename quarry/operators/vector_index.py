@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.session import shared_path
+from quarry.session import shared_path, small_batches
 
 #: Vectors on which the index is fitted, rounds of k-means, lists at most, parts of a code and words of a part, vectors of a block.
 SAMPLE, ROUNDS, MOST_LISTS, PARTS, CODE_WORDS, BLOCK = 20_000, 12, 4096, 16, 256, 1024
@@ -88,6 +88,7 @@ class VectorIndex:
 def build(rows: DataFrame, key: str, column: str, lists: int | None = None, path: str | None = None) -> VectorIndex:
     """Index rows (key, column of arrays); without a number of lists, the square root of the rows' number, at most MOST_LISTS and a tenth of the sample."""
     spark = rows.sparkSession
+    small_batches(spark)
     path = path or shared_path(spark, "vector-index")
     kept = rows.select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("vector"))
     sample = [r[0] for r in kept.where("vector is not null").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").collect()]
@@ -154,6 +155,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _probed(index: VectorIndex, queries: DataFrame, query: str, column: str, probes: int, candidates: int, codes: bool) -> DataFrame:
+    small_batches(index.spark)
     spark, dim, centroids, codebooks, key_type = index.spark, index.dim, index.centroids, index.codebooks, index.key_type
     asked = queries.select(F.col(query).alias("query"), F.col(column).cast("array<double>").alias("vector"))
     query_type = asked.schema["query"].dataType.simpleString()

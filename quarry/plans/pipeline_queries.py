@@ -7,8 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import entities, models, records, search, signals
+from quarry.operators import entities, models, records, search, signals, text_index
 from quarry.plans.registry import query
+from quarry.plans.search_queries import TERMS
 from quarry.plans.signal_queries import PERIOD, STATS, corpus
 
 
@@ -63,6 +64,30 @@ def _(t):
     return models.accept_fills(scored.where("completeness < 0.6").withColumn("c", k % 100 / 100.0), "c").select("s_suppkey", "accepted", "needs_review")
 
 
+def _filler(prompts: list[str]) -> list[str]:
+    """A deterministic stand-in for a model: a confidence and a field by the prompt."""
+    return [json.dumps({"confidence": len(p) % 100 / 100, "fields": {"summary": p[6:16]}}) for p in prompts]
+
+
+@query("enrichment_retrieval", f"""WITH d AS (SELECT doc_id, text, {TERMS} AS w FROM documents), s AS (SELECT count(*) AS nd, avg(len(w)) AS av FROM d),
+ tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ q AS (SELECT item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+ s2 AS (SELECT item_id, doc_id, round(sum(ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / av))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term), s GROUP BY 1, 2),
+ h AS (SELECT item_id, substr(text, 1, 300) AS passage, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s2 JOIN d USING (doc_id) QUALIFY rank <= 3),
+ c AS (SELECT item_id, string_agg(passage, chr(10) ORDER BY rank) AS context FROM (SELECT *, sum(length(passage)) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM h) WHERE used <= 700 GROUP BY 1),
+ r AS (SELECT item_id, item_id % 4 <> 0 AS asked, 'Fill: ' || coalesce(context, '') AS prompt FROM benchmark LEFT JOIN c USING (item_id)),
+ a AS (SELECT item_id, asked, asked AND length(prompt) % 100 / 100.0::DOUBLE >= 0.6 AS accepted, asked AND length(prompt) % 100 / 100.0::DOUBLE >= 0.6 AND length(prompt) % 100 / 100.0::DOUBLE < 0.8 AS needs_review, prompt FROM r)
+ SELECT item_id, CASE WHEN NOT asked THEN 'known' WHEN accepted THEN substr(prompt, 7, 10) END AS summary, CASE WHEN asked THEN 0.5 ELSE 1.0 END::DOUBLE AS before, CASE WHEN asked AND NOT accepted THEN 0.5 ELSE 1.0 END::DOUBLE AS after, accepted, needs_review FROM a""")
+def _(t):
+    """Rows that are incomplete are asked about with the passages found for them, filled and scored again."""
+    docs = t("documents").select("doc_id", "text", F.substring("text", 1, 300).alias("passage"))
+    index = text_index.build(docs, "doc_id", "text")
+    rows = t("benchmark").select("item_id", F.col("text").alias("title"), F.when(F.col("item_id") % 4 == 0, "known").alias("summary"))
+    found = models.retrieved_context(index, rows, "item_id", F.col("title"), docs, "doc_id", "passage", 3, 700)
+    prompt = F.concat(F.lit("Fill: "), F.coalesce("context", F.lit("")))
+    return models.enrich(found, ["title", "summary"], [], prompt, _filler).select("item_id", "summary", "before", "after", "accepted", "needs_review")
+
+
 @query("predicate_mapping", "SELECT event_id, CASE event_type WHEN 'click' THEN 'ORG_COOPERATE' WHEN 'view' THEN 'ORG_FUND' END AS rel FROM events WHERE event_type IN ('click', 'view')")
 def _(t):
     mapping = t("region").sparkSession.createDataFrame([("click", "ORG", "ORG", "ORG_COOPERATE"), ("view", "ORG", "ORG", "ORG_FUND")], "predicate string, subj_type string, obj_type string, rel string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.operators import search, text_index, vector_index
+from quarry.operators import search, text_index, vector_index, words
 from quarry.plans.registry import query
 
 SIM = "SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -145,3 +145,40 @@ def _(t):
     """The same by codes and the lists that reach the recall (K1, K5)."""
     index = vector_index.build(t("embeddings"), "vec_id", "embedding")
     return vector_index.search(index, t("embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+#: Words of six and more letters of the benchmark texts: a list bounded by that table.
+LONG_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark)"
+
+
+@query("many_keywords", f"SELECT doc_id, count(*) AS n FROM documents, ({LONG_WORDS}) WHERE contains(lower(text), w) GROUP BY 1")
+def _(t):
+    """How many of a long list of words each document contains, by one automaton."""
+    listed = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1))).alias("w")).distinct()
+    docs = t("documents").select("doc_id", F.lower("text").alias("lowered"))
+    found = words.find_words(docs, "lowered", [r[0] for r in listed.collect()])
+    return found.select("doc_id", F.size("words").cast("long").alias("n")).where("n > 0")
+
+
+@query("word_segmentation")
+def _(t):
+    """Benchmark texts without their spaces cut into the commonest words of the documents."""
+    counted = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))).alias("w")).where(F.length("w") <= words.LONGEST).groupBy("w").agg(F.count("*").alias("n"))
+    listed = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(20_000).collect()}  # a dictionary of fixed size
+    texts = t("benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "").alias("text"))
+    return words.segment(texts, "text", listed).select("item_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"))
+
+
+INDUCED = """WITH p AS (SELECT unnest(string_split_regex(coalesce(text, ''), '[^\\p{L}\\p{N}]+')) AS part FROM benchmark), i AS (SELECT part, unnest(range(1, length(part) + 1)) AS pos FROM p WHERE part <> ''),
+ r AS (SELECT part, pos, unnest(range(1, least(4, length(part) - pos + 1) + 1)) AS size FROM i), c AS (SELECT part[pos:pos + size - 1] AS run, CASE WHEN pos > 1 THEN part[pos - 1:pos - 1] ELSE '' END AS b, part[pos + size:pos + size] AS a FROM r),
+ n AS (SELECT run, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT count(*) AS total FROM c WHERE length(run) = 1),
+ k AS (SELECT run, n, unnest(range(1, length(run))) AS k FROM n WHERE length(run) > 1),
+ h AS (SELECT k.run, any_value(k.n) AS n, min(ln(k.n::DOUBLE * total / (l.n::DOUBLE * q.n))) AS cohesion FROM k JOIN n l ON l.run = k.run[1:k] JOIN n q ON q.run = k.run[k + 1:], t GROUP BY 1),
+ eb AS (SELECT run, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS e FROM (SELECT run, b, count(*) AS m FROM c GROUP BY 1, 2) GROUP BY 1), ea AS (SELECT run, ln(sum(m)) - sum(m * ln(m)) / sum(m) AS e FROM (SELECT run, a, count(*) AS m FROM c GROUP BY 1, 2) GROUP BY 1)
+ SELECT run AS word, n, round(cohesion, 6) AS cohesion, round(least(eb.e, ea.e), 6) AS freedom FROM h JOIN eb USING (run) JOIN ea USING (run) WHERE cohesion >= 1 AND round(least(eb.e, ea.e), 6) >= 0.5"""
+
+
+@query("induced_words", INDUCED)
+def _(t):
+    """Runs of letters that hang together and stand freely."""
+    return words.induced_words(t("benchmark"), F.col("text"))

@@ -35,6 +35,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Limit the rows and bytes that a Python task is handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     """Delete a folder in whichever store it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
