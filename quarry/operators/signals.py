@@ -41,15 +41,9 @@ def term_presence(docs: DataFrame, period_from: str, period_to: str, lookback: i
 def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int = 2, mode: str = "presence") -> DataFrame:
     """One row for each term of min_df windows or more: current, mean_history, sd_history, seen, diversity, velocity series and coherence parts."""
     cell = F.lit(1) if mode == "presence" else F.col("docs")
-    # dealt by term once: all groupings, the window and the join below keep to it; a term has no more rows than windows and sources
+    # dealt by term once: both groupings keep to it; a term has no more rows than windows and sources
     presence = presence.repartition("term")
     by_window = presence.groupBy("term", "win").agg(F.sum("docs").alias("docs"), F.collect_set("source").alias("sources"))
-    # presence has one row for each term, window and source
-    by_source = presence.groupBy("term", "source").agg(F.count("win").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("term"))
-    p = F.col("n") / total
-    spread = by_source.select("term", p.alias("p")).groupBy("term").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), F.count("*").alias("n_sources"))
-    spread = spread.select("term", F.when(F.col("n_sources") <= 1, 0.0).otherwise(F.col("entropy") / F.ln("n_sources")).alias("diversity"))
     value = cell.cast("double")
     now, before = F.col("win") >= n_history, F.col("win") < n_history
     n_h = float(n_history)
@@ -63,10 +57,16 @@ def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int
         F.array(*recent).alias("recent"),
         F.max(F.when(F.col("win") == n_windows - 1, F.col("sources"))).alias("last"),
         F.max(F.when(F.col("win") == n_windows - 2, F.col("sources"))).alias("previous"),
+        F.flatten(F.collect_list("sources")).alias("_seen"),
     ).where(F.col("n_windows") >= min_df)
+    # presence has one row for each term, window and source: how often a source is seen is its number of windows
+    kinds = F.array_distinct("_seen")
+    shares = F.transform(kinds, lambda s: F.size(F.filter("_seen", lambda x: x == s)) / F.size("_seen"))
+    entropy = F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.ln(p))
+    stats = stats.withColumn("diversity", F.when(F.size(kinds) <= 1, 0.0).otherwise(entropy / F.ln(F.size(kinds)))).drop("_seen")
     mean = F.col("sum_h") / n_h
     sd = F.sqrt(F.greatest(F.col("sq_h") / n_h - mean * mean, F.lit(0.0)))
-    return stats.withColumn("burst", F.greatest(F.lit(0.0), (F.col("current") - mean) / (sd + 1e-6))).join(spread, "term")
+    return stats.withColumn("burst", F.greatest(F.lit(0.0), (F.col("current") - mean) / (sd + 1e-6)))
 
 
 def weak_signals(stats: DataFrame, n_history: int, threshold: float | Column = 0.40, theta: float = 2.0) -> DataFrame:

@@ -8,7 +8,7 @@ from quarry.functions import scalars as S
 from quarry.operators import entities, graph
 from quarry.plans.registry import query
 from quarry.session import shared_path
-from quarry.sources.committed import CommittedTable
+from quarry.sources.committed import CommittedTable, ingest
 
 
 @query("mapped_events", "SELECT event_id AS id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events")
@@ -167,18 +167,18 @@ def _(t):
     return entities.split_outcomes(_gated(t), F.repeat(F.lit("missing "), F.lit(200)), "gate")[1].select("c_custkey", "stage", "error_msg")
 
 
-#: Customers of a hundred are a chain from the last to the first; those of every seventh hundred are a cycle, too.
-MERGES = """m AS (SELECT c_custkey AS from_id, CASE WHEN c_custkey % 100 <> 0 THEN c_custkey - 1 WHEN c_custkey // 100 % 7 = 0 THEN c_custkey + 99 END AS to_id FROM customer),
- r AS (SELECT from_id, to_id FROM m WHERE to_id IN (SELECT c_custkey FROM customer)),
+#: Documents of a hundred are a chain from the last to the first; those of every seventh hundred are a cycle, too.
+MERGES = """m AS (SELECT doc_id AS from_id, CASE WHEN doc_id % 100 <> 0 THEN doc_id - 1 WHEN doc_id // 100 % 7 = 0 THEN doc_id + 99 END AS to_id FROM documents),
+ r AS (SELECT from_id, to_id FROM m WHERE to_id IN (SELECT doc_id FROM documents)),
  e(id, tgt, n) AS (SELECT from_id, to_id, 1 FROM r UNION ALL SELECT e.id, r.to_id, n + 1 FROM e JOIN r ON r.from_id = e.tgt WHERE n < 100),
  s AS (SELECT id AS from_id, min(tgt) AS to_id FROM e GROUP BY 1)"""
 
 
 def _merges(t):
-    k = F.col("c_custkey")
+    k = F.col("doc_id")
     to = F.when(k % 100 != 0, k - 1).when(F.floor(k / 100) % 7 == 0, k + 99)
-    pairs = t("customer").select(k.alias("from_id"), to.alias("to_id"))
-    return pairs.join(t("customer").select(k.alias("to_id")), "to_id", "left_semi")
+    pairs = t("documents").select(k.alias("from_id"), to.alias("to_id"))
+    return pairs.join(t("documents").select(k.alias("to_id")), "to_id", "left_semi")
 
 
 @query("merge_closure", f"WITH RECURSIVE {MERGES} SELECT from_id, to_id FROM s WHERE from_id <> to_id")
@@ -187,62 +187,70 @@ def _(t):
     return entities.survivors(_merges(t))
 
 
-@query("entity_merge_closure", f"""WITH RECURSIVE {MERGES}, g AS (SELECT coalesce(s.to_id, c_custkey) AS k, c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS name, c_acctbal AS confidence FROM customer LEFT JOIN s ON s.from_id = c_custkey)
- SELECT k, coalesce(min(name) FILTER (c_custkey = k), arg_min(name, c_custkey) FILTER (name IS NOT NULL AND c_custkey <> k)) AS name, max(confidence) AS confidence FROM g GROUP BY k""")
+@query("entity_merge_closure", f"""WITH RECURSIVE {MERGES}, g AS (SELECT coalesce(s.to_id, doc_id) AS k, doc_id, CASE WHEN doc_id % 3 = 1 THEN source END AS name, n_chars AS confidence FROM documents LEFT JOIN s ON s.from_id = doc_id)
+ SELECT k, coalesce(min(name) FILTER (doc_id = k), arg_min(name, doc_id) FILTER (name IS NOT NULL AND doc_id <> k)) AS name, max(confidence) AS confidence FROM g GROUP BY k""")
 def _(t):
     """Entities after such merges."""
-    k = F.col("c_custkey")
-    rows = t("customer").select(k.alias("k"), F.when(k % 3 == 1, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("confidence"))
+    k = F.col("doc_id")
+    rows = t("documents").select(k.alias("k"), F.when(k % 3 == 1, F.col("source")).alias("name"), F.col("n_chars").alias("confidence"))
     return entities.merge_entities(rows, _merges(t), "k", ["name", "confidence"]).drop("filled")
 
 
-@query("redirect_closure", f"WITH RECURSIVE {MERGES} SELECT DISTINCT 'n' || c_nationkey AS src, 'c' || coalesce(to_id, c_custkey) AS dst FROM customer LEFT JOIN s ON from_id = c_custkey")
+@query("redirect_closure", f"WITH RECURSIVE {MERGES} SELECT DISTINCT source AS src, coalesce(to_id, doc_id) AS dst FROM documents LEFT JOIN s ON from_id = doc_id")
 def _(t):
     """Edges to merged entities."""
-    edges = t("customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"), F.lit("IN").alias("rel"))
-    merged = _merges(t).select(F.concat(F.lit("c"), "from_id").alias("from_id"), F.concat(F.lit("c"), "to_id").alias("to_id"))
-    # names of a cycle are smallest as text: those of the query end with their hundred's first, which is the smallest of its cycle as text too
-    return graph.redirect(edges, merged).select("src", "dst")
+    numbered = lambda c: F.format_string("d%012d", c)
+    edges = t("documents").select(F.col("source").alias("src"), numbered(F.col("doc_id")).alias("dst"), F.lit("HAS").alias("rel"))
+    merged = _merges(t).select(numbered(F.col("from_id")).alias("from_id"), numbered(F.col("to_id")).alias("to_id"))
+    return graph.redirect(edges, merged).select("src", F.substring("dst", 2, 12).cast("long").alias("dst"))
 
 
-@query("node_upsert", """WITH o AS (SELECT user_id, event_type AS name, arg_max(coalesce(CASE WHEN value >= 10 THEN round(value, 2)::VARCHAR END, 'none'), event_id) AS v FROM events GROUP BY 1, 2),
- p AS (SELECT user_id, name, v FROM o UNION ALL SELECT user_id, 'seen', 'yes' FROM (SELECT DISTINCT user_id FROM events))
- SELECT user_id, string_agg(name || '=' || v, ';' ORDER BY name) AS properties FROM p WHERE v <> 'none' GROUP BY 1""")
+@query("node_upsert", """WITH o AS (SELECT conv_id, role, arg_max(CASE WHEN length(text) >= 100 THEN md5(text) ELSE 'none' END, turn) AS v FROM conversations GROUP BY 1, 2),
+ p AS (SELECT conv_id, role, v FROM o UNION ALL SELECT conv_id, 'seen', 'yes' FROM (SELECT DISTINCT conv_id FROM conversations))
+ SELECT conv_id, string_agg(role || '=' || v, ';' ORDER BY role) AS properties FROM p WHERE v <> 'none' GROUP BY 1""")
 def _(t):
-    """Property maps of users, the last writer of each property wins, small values remove it."""
-    e = t("events")
-    nodes = e.select("user_id").distinct().select("user_id", F.create_map(F.lit("seen"), F.lit("yes"), F.lit("click"), F.lit("before")).alias("properties"))
-    nodes = nodes.withColumn("properties", F.map_filter("properties", lambda k, _: (k == "seen") | (F.col("user_id") < 0)))
-    updates = e.select("user_id", "event_id", F.create_map("event_type", F.when(F.col("value") >= 10, F.format_string("%s", F.round("value", 2)))).alias("properties"))
-    after = entities.upsert_properties(nodes, updates, "user_id", "properties", ["event_id"])
+    """Property maps of conversations, the last writer of each property wins, a short text removes it."""
+    c = t("conversations")
+    nodes = c.select("conv_id").distinct().select("conv_id", F.create_map(F.lit("seen"), F.lit("yes")).alias("properties"))
+    updates = c.select("conv_id", "turn", F.create_map("role", F.when(F.length("text") >= 100, F.md5(F.col("text").cast("binary")))).alias("properties"))
+    after = entities.upsert_properties(nodes, updates, "conv_id", "properties", ["turn"])
     pairs = F.transform(F.array_sort(F.map_entries("properties")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
-    return after.select("user_id", F.array_join(pairs, ";").alias("properties"))
+    return after.select("conv_id", F.array_join(pairs, ";").alias("properties"))
 
 
 def _ingested(t):
-    """Orders in two batches; the second comes twice, has keys twice and rows without a key."""
-    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    k = F.col("o_orderkey")
-    table = CommittedTable(o.sparkSession, shared_path(o.sparkSession, "ingest"), "o_orderkey", o.schema)
-    table.upsert(o.where(k % 3 != 0), "first", last=1)
-    late = o.where(k % 2 == 0).withColumn("at", F.lit(1))
-    again = late.where(k % 4 == 0).withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(None).cast("double"), "at": F.lit(2)})
-    batch = late.unionByName(again).unionByName(late.where(k % 100 == 0).withColumn("o_orderkey", F.lit(None).cast("long")))
+    """Documents in two batches; the second comes twice, has keys twice and rows without a key."""
+    d = t("documents").select("doc_id", "lang", "n_chars")
+    k = F.col("doc_id")
+    table = CommittedTable(d.sparkSession, shared_path(d.sparkSession, "ingest"), "doc_id", d.schema)
+    table.upsert(d.where(k % 3 != 0), "first", last=1)
+    late = d.where(k % 2 == 0).withColumn("at", F.lit(1))
+    again = late.where(k % 4 == 0).withColumns({"lang": F.lit("X"), "n_chars": F.lit(None).cast("long"), "at": F.lit(2)})
+    batch = late.unionByName(again).unionByName(late.where(k % 100 == 0).withColumn("doc_id", F.lit(None).cast("long")))
     table.upsert(batch, "second", last=2, order="at")
     table.upsert(batch, "second", last=2, order="at")
     return table
 
 
-@query("committed_ingest", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 <> 0 OR o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice
- FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
+@query("committed_ingest", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'X' ELSE lang END AS lang, CASE WHEN doc_id % 4 <> 0 OR doc_id % 3 <> 0 THEN n_chars END AS n_chars
+ FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
 def _(t):
     """The state of a committed table after two batches."""
     return _ingested(t).rows()
 
 
-@query("committed_log", """SELECT 1 AS version, field, count(*) AS n FROM orders, (VALUES ('o_orderstatus'), ('o_totalprice')) f(field) WHERE o_orderkey % 3 <> 0 GROUP BY 2
- UNION ALL SELECT 2, 'o_orderstatus', count(*) FROM orders WHERE o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR (o_orderkey % 4 = 0 AND o_orderstatus <> 'X'))
- UNION ALL SELECT 2, 'o_totalprice', count(*) FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0""")
+@query("committed_log", """SELECT 1 AS version, field, count(*) AS n FROM documents, (VALUES ('lang'), ('n_chars')) f(field) WHERE doc_id % 3 <> 0 AND CASE field WHEN 'lang' THEN lang ELSE n_chars::VARCHAR END IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 2, 'lang', count(*) FROM documents WHERE doc_id % 2 = 0 AND CASE WHEN doc_id % 4 = 0 THEN 'X' ELSE lang END IS DISTINCT FROM CASE WHEN doc_id % 3 <> 0 THEN lang END AND (doc_id % 4 = 0 OR lang IS NOT NULL)
+ UNION ALL SELECT 2, 'n_chars', count(*) FROM documents WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0 AND n_chars IS NOT NULL""")
 def _(t):
     """Its change log by version and field."""
     return _ingested(t).log().groupBy("version", "field").agg(F.count("*").alias("n"))
+
+
+@query("committed_windows", "SELECT source, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def _(t):
+    """Sources as the last of their documents has them, taken in key windows whose last key is committed with them."""
+    d = t("documents").select("source", "lang", "n_chars", "doc_id")
+    table = CommittedTable(d.sparkSession, shared_path(d.sparkSession, "windows"), "source", d.drop("doc_id").schema)
+    ingest(table, d, "doc_id", -(-d.count() // 3), order="doc_id")
+    return table.rows()

@@ -34,15 +34,18 @@ def _(t):
     return d.select("doc_id", F.md5(records.query_text(F.col("lang"), F.col("text")).cast("binary")).alias("query_md5"))
 
 
-@query("entity_summary", "SELECT s_suppkey, '  name: ' || s_name || chr(10) || '  nation: ' || s_nationkey || chr(10) || '  tags: a, b, c' AS summary FROM supplier")
+@query("entity_summary", """SELECT s_suppkey, '  name: ' || s_name || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN '  alias: n' || s_suppkey || chr(10) ELSE '' END || '  nation: ' || s_nationkey || chr(10) || '  tags: ' || array_to_string(['a', 'b', 'c'][1:(s_suppkey % 4 + 1)::INT], ', ') AS summary FROM supplier""")
 def _(t):
-    columns = {"name": F.col("s_name"), "none": F.lit(""), "nation": F.col("s_nationkey"), "tags": F.array(*map(F.lit, "abcd"))}
+    k = F.col("s_suppkey")
+    alias = F.when(k % 2 == 0, F.concat(F.lit("n"), k)).otherwise("")
+    columns = {"name": F.col("s_name"), "alias": alias, "nation": F.col("s_nationkey"), "tags": F.slice(F.array(*map(F.lit, "abcd")), 1, (k % 4 + 1).cast("int"))}
     return t("supplier").select("s_suppkey", records.entity_summary(columns, ["tags"]).alias("summary"))
 
 
-@query("plain_properties", "SELECT n_nationkey, '[\"' || n_name || '\",\"x\"]' AS names, '2024-01-01' AS day FROM nation")
+@query("plain_properties", "SELECT n_nationkey, '[\"' || n_name || '\",\"x' || n_nationkey || '\"]' AS names, (DATE '2024-01-01' + n_nationkey::INT)::DATE::VARCHAR AS day FROM nation")
 def _(t):
-    return records.plain_properties(t("nation").select("n_nationkey", F.array("n_name", F.lit("x")).alias("names"), F.lit("2024-01-01").cast("date").alias("day")))
+    k = F.col("n_nationkey")
+    return records.plain_properties(t("nation").select("n_nationkey", F.array("n_name", F.concat(F.lit("x"), k)).alias("names"), F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")).alias("day")))
 
 
 @query("frontier_list", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate + INTERVAL 30 DAY <= '1996-01-01'")
@@ -99,11 +102,13 @@ def _(t):
     return records.distinct_concepts(t("lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("new_peers", "SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'a,c' ELSE 'a,b,c' END AS peers FROM supplier")
+@query("new_peers", """SELECT s_suppkey, array_to_string(list_filter(['n' || s_nationkey % 3, 'm', 's' || s_suppkey % 4], lambda p: CASE WHEN s_nationkey % 2 = 0 THEN p NOT IN ('n1', 's2') ELSE TRUE END), ',') AS peers FROM supplier""")
 def _(t):
-    related = F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("b")))
+    nation, k = F.col("s_nationkey"), F.col("s_suppkey")
     kept = records.whitelisted(t("supplier"), ["s_suppkey", "s_nationkey"])
-    return kept.select("s_suppkey", F.array_join(records.new_peers(F.array(*map(F.lit, "abc")), related), ",").alias("peers"))
+    peers = F.array(F.concat(F.lit("n"), nation % 3), F.lit("m"), F.concat(F.lit("s"), k % 4))
+    related = F.when(nation % 2 == 0, F.array(F.lit("n1"), F.lit("s2")))
+    return kept.select("s_suppkey", F.array_join(records.new_peers(peers, related), ",").alias("peers"))
 
 
 @query("patent_rules", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CN' || (100000000 + o_orderkey) || 'A' END AS cn_patent_number, CASE WHEN o_orderkey % 3 = 1 THEN 'WO2020/' || (100000 + o_custkey) END AS wo_patent_number,
@@ -182,9 +187,12 @@ def _(t):
     return records.network_view(edges, "at", names)
 
 
-@query("span_ensemble", "SELECT o_orderkey, 1::INT AS n, 0.9::DOUBLE AS confidence FROM orders")
+@query("span_ensemble", "SELECT o_orderkey, 1 + (o_orderkey % 2)::INT AS n, CASE WHEN o_orderkey % 3 = 2 THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS confidence FROM orders")
 def _(t):
-    span = lambda a, b, c, x: t("orders").select("o_orderkey", F.lit(x).alias("text"), F.lit("ORG").alias("label"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("confidence"))
-    models = [span(0, 5, 0.8, "alpha"), span(0, 5, 0.9, "alpha").union(span(3, 8, 0.85, "habet")).union(span(20, 25, 0.6, "gamma")), span(0, 0, 0.0, "").limit(0)]
+    k = F.col("o_orderkey")
+    span = lambda a, b, c, x: t("orders").select("o_orderkey", F.lit(x).alias("text"), F.lit("ORG").alias("label"), F.lit(a).alias("start"), F.lit(b).alias("end"), c.alias("confidence"))
+    # the second model is surer of alpha for a third of the orders, and of gamma for half of them
+    sure = F.when(k % 3 == 2, 0.9).when(k % 3 == 1, 0.8).otherwise(0.7)
+    models = [span(0, 5, F.lit(0.8), "alpha"), span(0, 5, sure, "alpha").union(span(3, 8, F.lit(0.85), "habet")).union(span(20, 25, F.when(k % 2 == 1, 0.8).otherwise(0.6), "gamma")), span(0, 0, F.lit(0.0), "").limit(0)]
     found = records.ensemble(models, "o_orderkey")
     return found.select("o_orderkey", F.size("spans").alias("n"), F.col("spans")[0]["confidence"].alias("confidence"))

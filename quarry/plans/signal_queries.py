@@ -61,10 +61,13 @@ def _(t):
     return found.orderBy(F.desc("strength"), "c_custkey").select("c_custkey", F.col("strength").alias("s")).limit(20)
 
 
-@query("calendar_windows", """SELECT i::INT AS idx, strftime(s, '%Y-%m') AS label, s::DATE AS start, (s + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS "end", s < DATE '2026-01-01' AS is_history
- FROM (SELECT i, DATE '2025-11-01' + to_months(i::INT) AS s FROM range(5) r(i))""")
+@query("calendar_windows", """SELECT i::INT AS idx, strftime(s, '%Y-%m') AS label, s::DATE AS start, (s + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS "end", s < DATE '1997-03-01' AS is_history, (SELECT count(*) FROM orders WHERE o_orderdate >= s AND o_orderdate < s + INTERVAL 1 MONTH) AS n
+ FROM (SELECT i, DATE '1996-11-01' + to_months(i::INT) AS s FROM range(7) r(i))""")
 def _(t):
-    return signals.month_windows(t("region").sparkSession, "2026-01-01", "2026-03-31", lookback=2)
+    """Orders of each month of a period and its lookback."""
+    windows = signals.month_windows(t("orders").sparkSession, "1997-03-01", "1997-05-31", lookback=4)
+    counts = t("orders").groupBy(signals.window_index(F.col("o_orderdate"), "1997-03-01", 4).alias("idx")).agg(F.count("*").alias("n"))
+    return windows.join(counts, "idx", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("burst_recent_vs_baseline", """WITH c AS (SELECT event_type AS keyword, datediff('day', DATE '2024-01-01', ts::DATE) AS slot, count(*) AS cnt FROM events GROUP BY ALL),

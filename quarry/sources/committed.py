@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators.entities import last_of_key, upsert_with_log
+from quarry.sources.readers import key_windows
 
 BUCKETS = 32
 
@@ -146,3 +148,14 @@ class CommittedTable:
                 if status.getPath().getName() not in used:
                     gone += fs.delete(status.getPath(), True)
         return gone
+
+
+def ingest(table: CommittedTable, source: DataFrame, key: str, rows: int, transform: Callable[[DataFrame], DataFrame] = lambda df: df, order: str | None = None) -> int:
+    """Take a source into the table in windows of about rows rows by its key, from the table's last key on (E2); the number of windows is returned.
+
+    Each window is mapped, scored or related by transform, upserted, and committed with its last key: a run that is lost goes on with the window it was at,
+    and a run on a source without newer keys does nothing. Keys are whole numbers that rise; a later row with an older key is not seen."""
+    bounds = key_windows(source, key, rows, table.last)
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        table.upsert(transform(source.where((F.col(key) >= low) & (F.col(key) < high))), f"{key} {low} to {high}", last=high - 1, order=order)
+    return max(0, len(bounds) - 1)

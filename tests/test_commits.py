@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import entities
 from quarry.sources import committed
@@ -148,3 +149,22 @@ def test_two_key_dedup_over_batches(spark, tmp_path, cuts):
         dedup(part, n)
         dedup(part, n)
     assert sorted(x["r"] for x in dedup.rows().collect()) == kept
+
+
+def test_ingest_goes_on_where_it_was_lost(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path)
+    source = spark.range(1, 101).select(F.col("id").alias("at"), (F.col("id") % 7).alias("k"), F.col("id").cast("string").alias("v"))
+    calls = []
+
+    def transform(df):
+        calls.append(df.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return df
+
+    with pytest.raises(RuntimeError):
+        committed.ingest(t, source, "at", 20, transform, order="at")
+    assert 35 <= t.last <= 45 and len(calls) == 3 and max(calls) <= 22
+    assert committed.ingest(t, source, "at", 20, order="at") >= 3 and t.last == 100
+    assert state(t) == sorted((k, str(max(i for i in range(1, 101) if i % 7 == k))) for k in range(7))
+    assert committed.ingest(t, source, "at", 20, order="at") == 0
