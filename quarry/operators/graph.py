@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
@@ -26,13 +26,15 @@ def neighbors(edges: DataFrame, start: str, rels: list[str] | None = None, limit
 def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, limit: int = 5) -> DataFrame:
     """Shortest undirected paths of at most max_depth steps, as arrays of nodes, at most limit in order.
 
-    A breadth-first search: each level joins the frontier once and drops nodes that an earlier level reached."""
+    A breadth-first search: each level joins the frontier once and drops nodes that an earlier level reached. Of the paths to a node the first limit
+    in order stay, as any other that goes on from it comes after them: a level has no more than limit paths a node."""
     both = undirected(edges.select("src", "dst")).distinct()
     frontier = edges.sparkSession.range(1).select(F.lit(start).alias("at"), F.array(F.lit(start)).alias("path"))
     seen = frontier.select("at")
     for _ in range(max_depth):
         step = frontier.join(both, F.col("at") == F.col("src")).select(F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = checkpointed(step.join(seen, "at", "left_anti"))
+        first = F.row_number().over(Window.partitionBy("at").orderBy("path"))
+        frontier = checkpointed(step.join(seen, "at", "left_anti").withColumn("_n", first).where(F.col("_n") <= limit).drop("_n"))
         found = frontier.where(F.col("at") == goal)
         if not found.isEmpty():
             return found.select("path", (F.size("path") - 1).alias("depth")).orderBy("path").limit(limit)
@@ -41,15 +43,19 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, l
 
 
 def chain(edges: DataFrame, start: str, rels: list[str], depth: int = 2, direction: str = "out", limit: int = 200) -> DataFrame:
-    """Trails from start over typed edges, each edge once in a trail (R4): path, eids, depth; ordered, at most limit."""
+    """Trails from start over typed edges, each edge once in a trail (R4): path, eids, depth; ordered, at most limit.
+
+    Shorter trails come first, so where limit are found, longer ones are not looked for: a hub's trails are not extended for nothing."""
     typed = edges.where(F.col("rel").isin(rels)).select("src", "dst", "eid")
     steps = {"out": typed, "in": typed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "eid"), "both": undirected(typed)}[direction]
     trails = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("path"), F.array().cast(f"array<{dict(edges.dtypes)['eid']}>").alias("eids"))
     out = None
     for _ in range(max(1, min(depth, 4))):
         grown = trails.join(steps, (F.element_at("path", -1) == F.col("src")) & ~F.array_contains("eids", F.col("eid")))
-        trails = grown.select(F.array_append("path", F.col("dst")).alias("path"), F.array_append("eids", F.col("eid")).alias("eids"))
+        trails = checkpointed(grown.select(F.array_append("path", F.col("dst")).alias("path"), F.array_append("eids", F.col("eid")).alias("eids")))
         out = trails if out is None else out.unionByName(trails)
+        if out.limit(limit).count() == limit:
+            break
     return out.withColumn("depth", F.size("eids")).orderBy("depth", "eids").limit(limit)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName("quarry").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # checkpoints go once nothing refers to them
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

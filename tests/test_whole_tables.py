@@ -31,3 +31,15 @@ def test_latest_of_a_longer_history(spark):
     for r in got:
         own = set(dict(titles)[r["k"]])
         assert abs(r["novelty"] - (1 - max(len(own & set(o)) / len(own | set(o)) for o in latest))) < 1e-9
+
+
+def test_paths_through_a_hub(spark):
+    """Three hubs between two nodes, and a start of many edges: the first paths in order, and no more trails than asked for."""
+    edges = [("s", f"a{i}") for i in range(40)] + [(f"a{i}", f"h{j}") for i in range(40) for j in range(3)] + [(f"h{j}", "g") for j in range(3)]
+    df = spark.createDataFrame([(a, b, "R", i) for i, (a, b) in enumerate(edges)], "src string, dst string, rel string, eid long")
+    every = sorted(["s", f"a{i}", f"h{j}", "g"] for i in range(40) for j in range(3))
+    assert [r["path"] for r in graph.shortest_path(df, "s", "g", 4, 7).collect()] == every[:7]
+    assert graph.shortest_path(df, "s", "nowhere").count() == 0
+    got = graph.chain(df, "s", ["R"], 3, limit=50).collect()
+    first = [[i] for i in range(40)] + sorted([i, k] for i in range(40) for k, (a, _) in enumerate(edges) if a == f"a{i}")
+    assert [r["eids"] for r in got] == first[:50]
