@@ -328,3 +328,34 @@ def test_lines_with_little_memory(spark, monkeypatch):
         want.append(near)
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r["n_exact"] + r["n_near"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+
+
+# --- op2: scores word by word ---
+
+
+def test_toxicity_scores_by_hand(spark):
+    """The score of every document: the logistic of the bias and the weights of its different words, each hashed by itself."""
+    import math
+    import zlib
+
+    from quarry.llm import toxicity
+    from quarry.llm.common import doc_crc, hash_words
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    crc = doc_crc(F.col("doc_id"), 5)
+    model = toxicity.train(docs.select("doc_id", "text").where(crc != 0), labels.select("doc_id", "toxic").where(crc != 0))
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert len(weights) > 10
+
+    def bucket(word):
+        data = word.encode()
+        return int(hash_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0] >> np.uint64(46))
+
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    marks = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", " "))
+    for r in docs.collect():
+        words = set(re.findall("[^\x20\x09-\x0d]+", (r["text"] or "").translate(marks)))
+        z = model.bias + sum(weights.get(b, 0.0) for b in {bucket(w) for w in words})
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)
