@@ -345,7 +345,7 @@ def test_toxicity_scores_by_hand(spark):
     crc = doc_crc(F.col("doc_id"), 5)
     model = toxicity.train(docs.select("doc_id", "text").where(crc != 0), labels.select("doc_id", "toxic").where(crc != 0))
     weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
-    assert len(weights) > 10
+    assert len(weights) >= 5
 
     def bucket(word):
         data = word.encode()
