@@ -295,7 +295,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sets = found.select("doc_id", "text_key", "text", "wanted").mapInArrow(_word_sets, "doc_id long, text_key long, line int, set_key long, set_more long, words array<long>")
     # rows that repeat a document give a set again
     sets = sets.select(*KEY, F.struct("doc_id", "text_key", "line").alias("first"), "words")
-    sets = materialize(sets.groupBy(*KEY).agg(F.first("first").alias("first"), F.first("words").alias("words")), "line-sets")
+    sets = materialize(sets.groupBy(*KEY).agg(F.first("first").alias("first"), F.first("words").alias("words")).withColumn("n_words", F.size("words").cast("long")), "line-sets")
     discard(places)
     return sets
 
@@ -331,7 +331,7 @@ def _later_ones(rows: pa.Table) -> pa.Table:
 
 def _blocks() -> Column:
     """Blocks of a list: of BLOCK_ROWS sets, or fewer where these are long."""
-    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("words").cast("long")) / BLOCK_WORDS)).cast("int")
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int")
 
 
 def _dense_matches(members: DataFrame, sets: DataFrame) -> DataFrame:
