@@ -69,10 +69,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "length", "terms", "tfs"])
 
 
+def _postings(block_docs: int):
+    """The postings of each term in the documents of a batch, by block and in order of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            own = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            if not len(own):
+                continue
+            coded = lists.flatten().dictionary_encode()
+            doc, length, tf = batch.column("doc").to_numpy()[own], batch.column("length").to_numpy()[own], batch.column("tfs").flatten().to_numpy()
+            term, block = coded.indices.to_numpy(), doc // block_docs
+            order = np.lexsort((doc, term, block))
+            doc, length, tf, term, block = (x[order] for x in (doc, length, tf, term, block))
+            first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+            hits = pa.StructArray.from_arrays([pa.array(doc), pa.array(tf), pa.array(length)], ["doc", "tf", "length"])
+            listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), hits)
+            columns = [coded.dictionary.take(pa.array(term[first])), pa.array(block[first]), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(length, first)), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "block", "max_tf", "min_length", "hits"])
+
+    return run
+
+
 def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> TextIndex:
     """Index docs (key, text) under path, or a folder of its own in the shared one.
 
-    Postings are dealt out once, by bucket and SLAB of documents: a bucket of a slab is a task's work and a file."""
+    Tasks gather the postings of their documents by term, and these are dealt out once, by bucket and SLAB of documents: a bucket of a slab is a task's
+    work and a file."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or shared_path(spark, "text-index")
@@ -80,9 +104,10 @@ def build(docs: DataFrame, key: str, text: str, path: str | None = None) -> Text
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("key"), analyse(F.col(text)).alias("terms"))
     index = TextIndex(spark, path, numbered.schema["key"].dataType.simpleString())
     numbered.mapInArrow(_counted, f"doc long, key {index.key_type}, length int, terms array<string>, tfs array<int>").write.option("compression", "zstd").parquet(f"{path}/docs")
-    each = index.table("docs").select("doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc", "length", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    dealt = each.withColumns({"bucket": _bucket(F.col("term")), "slab": F.shiftright("doc", SLAB)}).repartition("bucket", "slab")
-    blocks = dealt.groupBy("bucket", "slab", "term", F.floor(F.col("doc") / BLOCK_DOCS).alias("block")).agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc", "tf", "length")).alias("hits"))
+    hits = "hits array<struct<doc:long,tf:int,length:int>>"
+    each = index.table("docs").select("doc", "length", "terms", "tfs").mapInArrow(_postings(BLOCK_DOCS), f"term string, block long, max_tf int, min_length int, {hits}")
+    dealt = each.withColumns({"bucket": _bucket(F.col("term")), "slab": F.shiftright(F.col("block") * BLOCK_DOCS, SLAB)}).repartition("bucket", "slab")
+    blocks = dealt.groupBy("bucket", "slab", "term", "block").agg(F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"), F.flatten(F.collect_list("hits")).alias("hits"))
     blocks.drop("slab").sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     index.table("postings").groupBy("term").agg(F.sum(F.size("hits")).alias("df")).write.parquet(f"{path}/terms")
     return index
