@@ -47,8 +47,8 @@ LINES_AT_ONCE, TOKEN_BITS = 1 << 20, 44
 SHORT_LIST, DENSE, LIST_ROWS = 64, 8, 4096
 #: Members of such a list in one block.
 BLOCK_ROWS, BLOCK_WORDS = 1024, 1 << 20
-#: Keys that a task remembers at once to count and join equal lines once.
-MOST_SEEN = 500_000
+#: Keys that a task remembers to count and join equal lines once: 8 MB.
+SEEN_SLOTS = 1 << 20
 #: Rows of the sorted lists that a task handles at once.
 ROWS_AT_ONCE = 1 << 16
 KEY = ["set_key", "set_more"]
@@ -98,15 +98,17 @@ def line_sets(column: pa.Array) -> Iterator[Lines]:
             yield Lines(a + rows[which], numbers[which], np.append(begins, len(own)), own)
 
 
-def _new(keys: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which keys this task has not seen before, or not since it last forgot; a key that is new twice is counted and joined again, as that of another task is."""
-    out = np.zeros(len(keys), dtype=bool)
-    if len(seen) >= MOST_SEEN:
-        seen.clear()
-    for i, key in enumerate(keys.tolist()):
-        if key not in seen:
-            seen.add(key)
-            out[i] = True
+def _nothing_seen() -> np.ndarray:
+    """A table of the keys seen, each in the slot of its lowest bits; a slot without a key holds a number that belongs into another."""
+    return np.arange(SEEN_SLOTS, dtype=np.int64) ^ 1
+
+
+def _new(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which keys are not in the table, into which they go. A key that another one has driven out is new again, as is one that repeats within
+    keys: it is counted and joined once more, as that of another task is."""
+    slots = keys & (SEEN_SLOTS - 1)
+    out = seen[slots] != keys
+    seen[slots] = keys
     return out
 
 
@@ -122,7 +124,7 @@ def _buckets(tokens: np.ndarray) -> np.ndarray:
 def _lines_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that has words; at the end one for each bucket (bucket, n): the task's different lines with a token of it."""
     counts = np.zeros(RANK_BUCKETS, dtype=np.int64)
-    seen: set[int] = set()
+    seen = _nothing_seen()
     names = ["doc_id", "text_key", "line", *KEY, "bucket", "n"]
     for batch in batches:
         for lines in line_sets(batch.column("text")):
@@ -157,7 +159,7 @@ def _by_rarity(lines: Lines, rarity: np.ndarray, line: np.ndarray) -> np.ndarray
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        seen: set[int] = set()
+        seen = _nothing_seen()
         for batch in batches:
             for lines in line_sets(batch.column("text")):
                 (keys, _), n = lines.keys(), np.diff(lines.cuts)

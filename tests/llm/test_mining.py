@@ -306,7 +306,7 @@ def test_lines_with_little_memory(spark, monkeypatch):
     """A task that remembers few keys, and cells of few words: lines of a long list, one of them of a hundred thousand words, go all the same."""
     from quarry.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "MOST_SEEN", 3)
+    monkeypatch.setattr(line_dedup, "SEEN_SLOTS", 4)
     monkeypatch.setattr(line_dedup, "BLOCK_WORDS", 400)
     rng = random.Random(8)
     words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(400)]
