@@ -26,6 +26,8 @@ from quarry.session import shared_path, small_batches
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 4096, 64, 4
 #: Bits of a document's number within a slab: the numbers of 16 tasks.
 SLAB = 37
+#: Rows of query, term and block up to which they are broadcast; more are shuffled.
+BROADCAST_ROWS = 300_000
 K1, B = 1.2, 0.75
 
 
@@ -138,8 +140,13 @@ def search(index: TextIndex, queries: DataFrame, query: str, text: str, k: int =
 
     def scored(blocks: DataFrame) -> DataFrame:
         """(query, doc, score) of the documents in some blocks (query, block)."""
-        hits = weighed.join(blocks, "query").join(postings.select("term", "block", "hits"), ["term", "block"]).select("query", "idf", "average", F.explode("hits").alias("hit"))
-        return hits.groupBy("query", F.col("hit.doc").alias("doc")).agg(F.round(F.sum(F.col("idf") * _factor(F.col("hit.tf"), F.col("hit.length"))), 6).alias("score"))
+        wanted = weighed.join(blocks, "query")
+        few = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
+        # what is wanted of the postings is dealt by block once, whatever the number of queries; a document's terms then meet in one task
+        needed = postings.select("term", "block", "hits").join(few(wanted.select("term", "block").distinct()), ["term", "block"], "left_semi").repartition("block")
+        hits = needed.join(few(wanted), ["term", "block"]).select("query", "block", "idf", "average", F.explode("hits").alias("hit"))
+        found = hits.groupBy("query", "block", F.col("hit.doc").alias("doc")).agg(F.round(F.sum(F.col("idf") * _factor(F.col("hit.tf"), F.col("hit.length"))), 6).alias("score"))
+        return found.drop("block")
 
     scored(bounds.where(F.col("place") <= FIRST_BLOCKS).select("query", "block")).write.parquet(f"{path}/first")
     first = index.spark.read.parquet(f"{path}/first")
