@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import shared_path, small_batches
 
-BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 4096, 64, 4
+BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 1024, 64, 16
 #: Bits of a document's number within a slab: the numbers of 16 tasks.
 SLAB = 37
 #: Rows of query, term and block up to which they are broadcast; more are shuffled.
