@@ -26,7 +26,7 @@ from quarry.session import shared_path, small_batches
 BLOCK_DOCS, BUCKETS, FIRST_BLOCKS = 1024, 64, 16
 #: Bits of a document's number within a slab: the numbers of 16 tasks.
 SLAB = 37
-#: Rows of query, term and block up to which they are broadcast; more are shuffled.
+#: Rows of query and term, or of query and block, up to which they are broadcast; more are shuffled.
 BROADCAST_ROWS = 300_000
 K1, B = 1.2, 0.75
 
@@ -140,11 +140,12 @@ def search(index: TextIndex, queries: DataFrame, query: str, text: str, k: int =
 
     def scored(blocks: DataFrame) -> DataFrame:
         """(query, doc, score) of the documents in some blocks (query, block)."""
-        wanted = weighed.join(blocks, "query")
-        few = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
+        few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+        n_terms, n_blocks = weighed.count(), blocks.count()
         # what is wanted of the postings is dealt by block once, whatever the number of queries; a document's terms then meet in one task
-        needed = postings.select("term", "block", "hits").join(few(wanted.select("term", "block").distinct()), ["term", "block"], "left_semi").repartition("block")
-        hits = needed.join(few(wanted), ["term", "block"]).select("query", "block", "idf", "average", F.explode("hits").alias("hit"))
+        needed = postings.select("term", "block", "hits").join(few(weighed.select("term").distinct(), n_terms), "term", "left_semi")
+        needed = needed.join(few(blocks.select("block").distinct(), n_blocks), "block", "left_semi").repartition("block")
+        hits = needed.join(few(weighed, n_terms), "term").join(few(blocks, n_blocks), ["query", "block"]).select("query", "block", "idf", "average", F.explode("hits").alias("hit"))
         found = hits.groupBy("query", "block", F.col("hit.doc").alias("doc")).agg(F.round(F.sum(F.col("idf") * _factor(F.col("hit.tf"), F.col("hit.length"))), 6).alias("score"))
         return found.drop("block")
 
