@@ -42,8 +42,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 4, l
     return frontier.where("false").select("path", F.size("path").alias("depth"))
 
 
-def chain(edges: DataFrame, start: str, rels: list[str], depth: int = 2, direction: str = "out", limit: int = 200) -> DataFrame:
-    """Trails from start over typed edges, each edge once in a trail (R4): path, eids, depth; ordered, at most limit.
+def chain(edges: DataFrame, start: str, rels: list[str], depth: int = 2, direction: str = "out", limit: int | None = 200) -> DataFrame:
+    """Trails from start over typed edges, each edge once in a trail (R4): path, eids, depth; ordered, at most limit, or all of them, unordered, without one.
 
     Shorter trails come first, so where limit are found, longer ones are not looked for: a hub's trails are not extended for nothing."""
     typed = edges.where(F.col("rel").isin(rels)).select("src", "dst", "eid")
@@ -54,9 +54,10 @@ def chain(edges: DataFrame, start: str, rels: list[str], depth: int = 2, directi
         grown = trails.join(steps, (F.element_at("path", -1) == F.col("src")) & ~F.array_contains("eids", F.col("eid")))
         trails = checkpointed(grown.select(F.array_append("path", F.col("dst")).alias("path"), F.array_append("eids", F.col("eid")).alias("eids")))
         out = trails if out is None else out.unionByName(trails)
-        if out.limit(limit).count() == limit:
+        if limit is not None and out.limit(limit).count() == limit:
             break
-    return out.withColumn("depth", F.size("eids")).orderBy("depth", "eids").limit(limit)
+    out = out.withColumn("depth", F.size("eids"))
+    return out if limit is None else out.orderBy("depth", "eids").limit(limit)
 
 
 def chain_edges(trails: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def _(t):
 
 @query("chain_edges", f"WITH {TYPED} SELECT eid FROM e WHERE src = 'r1' UNION SELECT e.eid FROM e o JOIN e ON e.src = o.dst WHERE o.src = 'r1'")
 def _(t):
-    return graph.chain_edges(graph.chain(_typed(t), "r1", ["HAS"], 2, limit=10_000))
+    return graph.chain_edges(graph.chain(_typed(t), "r1", ["HAS"], 2, limit=None))
 
 
 @query("edge_upsert", f"WITH {EDGES} SELECT src, dst, rel FROM e WHERE src IN (SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey < 10) AND dst IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 25)")

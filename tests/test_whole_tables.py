@@ -43,3 +43,13 @@ def test_paths_through_a_hub(spark):
     got = graph.chain(df, "s", ["R"], 3, limit=50).collect()
     first = [[i] for i in range(40)] + sorted([i, k] for i in range(40) for k, (a, _) in enumerate(edges) if a == f"a{i}")
     assert [r["eids"] for r in got] == first[:50]
+
+
+def test_chain_edges_of_many_suppliers(spark, tmp_path):
+    """The query on 60,000 suppliers, a fifth of them two steps from the region: more trails than any number that a query names."""
+    from quarry.plans import registry
+
+    spark.range(60_000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).select(F.col("id").alias("n_nationkey"), (F.col("id") % 5).alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    got = sorted(r["eid"] for r in registry.QUERIES["chain_edges"](spark, str(tmp_path)).collect())
+    assert got == sorted([f"b{n}" for n in range(25) if n % 5 == 1] + [f"a{i}" for i in range(60_000) if i % 5 == 1])
