@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import graph
-from quarry.session import checkpointed
+from quarry.session import checkpointed, small_batches
 
 SOURCES = 4
 
@@ -40,6 +40,7 @@ def term_presence(docs: DataFrame, period_from: str, period_to: str, lookback: i
 
 def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int = 2, mode: str = "presence") -> DataFrame:
     """One row for each term of min_df windows or more: current, mean_history, sd_history, seen, diversity, velocity series and coherence parts."""
+    small_batches(presence.sparkSession)
     cell = F.lit(1) if mode == "presence" else F.col("docs")
     # dealt by term once: both groupings keep to it; a term has no more rows than windows and sources
     presence = presence.repartition("term")
@@ -60,10 +61,7 @@ def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int
         F.flatten(F.collect_list("sources")).alias("_seen"),
     ).where(F.col("n_windows") >= min_df)
     # presence has one row for each term, window and source: how often a source is seen is its number of windows
-    kinds = F.array_distinct("_seen")
-    shares = F.transform(kinds, lambda s: F.size(F.filter("_seen", lambda x: x == s)) / F.size("_seen"))
-    entropy = F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.ln(p))
-    stats = stats.withColumn("diversity", F.when(F.size(kinds) <= 1, 0.0).otherwise(entropy / F.ln(F.size(kinds)))).drop("_seen")
+    stats = stats.withColumn("diversity", S.evenness("_seen")).drop("_seen")
     mean = F.col("sum_h") / n_h
     sd = F.sqrt(F.greatest(F.col("sq_h") / n_h - mean * mean, F.lit(0.0)))
     return stats.withColumn("burst", F.greatest(F.lit(0.0), (F.col("current") - mean) / (sd + 1e-6)))

@@ -1,6 +1,7 @@
 """Scalar functions and operators on small values."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,11 @@ def test_upsert_log(spark):
     after, log = entities.upsert_with_log(old, new, "k", ["p", "q"])
     assert sorted(map(tuple, after.collect())) == [(1, "a", None), (2, "c", "y"), (3, "d", "z")]
     assert sorted((r["k"], r["field"], r["new_value"]) for r in log.collect()) == [(2, "p", "c"), (3, "p", "d"), (3, "q", "z")]
+
+
+def test_weak_signals_at_the_threshold(spark):
+    """Three sources twice each: by the C library's logarithms, as SQL has them, a diversity just below 1 and a strength just below 0.40; by Spark's own, 0.40."""
+    seen = [("three", w, s, 1) for w, s in zip((0, 3, 5, 9, 12, 13), "abcabc", strict=True)]
+    stats = signals.term_stats(spark.createDataFrame(seen, "term string, win int, source string, docs long"), 12, 15)
+    assert stats.first()["diversity"] == -3 * (1 / 3 * math.log(1 / 3)) / math.log(3) < 1
+    assert signals.weak_signals(stats, 12, theta=9.0).count() == 0
