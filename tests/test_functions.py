@@ -115,3 +115,12 @@ def test_weak_signals_at_the_threshold(spark):
     stats = signals.term_stats(spark.createDataFrame(seen, "term string, win int, source string, docs long"), 12, 15)
     assert stats.first()["diversity"] == -3 * (1 / 3 * math.log(1 / 3)) / math.log(3) < 1
     assert signals.weak_signals(stats, 12, theta=9.0).count() == 0
+
+
+def test_network_of_a_signal_at_the_threshold(spark):
+    """Three sources twice each and no burst: just below the threshold, so that there is neither a signal nor an edge."""
+    days = zip(("2024-01-05", "2024-04-05", "2024-06-05", "2024-10-05", "2025-01-05", "2025-01-06"), "abcabc", strict=True)
+    docs = spark.createDataFrame([(s, datetime.date.fromisoformat(d), ["three"]) for d, s in days], "source string, timestamp date, terms array<string>")
+    related = spark.createDataFrame([("three", ["t5"])], "term string, related_tech_ids array<string>")
+    found, edges = signals.discover(docs, "2025-01-01", "2025-03-25", 12, 15, related)
+    assert found.count() == 0 and edges.count() == 0
