@@ -102,6 +102,15 @@ def test_vector_search(spark, vectors):
     assert max(len(r["keys"]) for r in index.blocks().select("keys").collect()) <= 2 * vector_index.BLOCK + 64
 
 
+def test_vector_search_hands_on_little(spark):
+    """What tasks hand on hangs on their number, not on that of lists: with a row a query and list, memory and shuffles grow faster than the input."""
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(clustered())], "id long, vector array<double>")
+    index = vector_index.build(rows, "id", "vector", lists=100)
+    for codes in (False, True):
+        found = vector_index._probed(index, rows.where("id % 20 = 0"), "id", "vector", 100, 20, codes)
+        assert 150 * 20 <= found.count() <= 150 * 20 * 2 * spark.sparkContext.defaultParallelism
+
+
 def test_vector_search_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, vector array<float>")
     index = vector_index.build(empty, "id", "vector")
