@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
-from quarry.session import checkpointed, small
+from quarry.session import checkpointed, small, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,7 +130,7 @@ def history_similarity(titles: DataFrame, history: DataFrame, key: str, title: s
 def tfidf(docs: DataFrame, key: str, terms: str, k: int = 5) -> DataFrame:
     """The k terms of each document with the greatest tf * ln((1 + n) / (1 + df)) + tf (X15), ties by term."""
     # counted once and written, for the statistics and for the scores
-    tf = checkpointed(docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    tf = written(docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
     df = small(tf.groupBy("term").agg(F.count("*").alias("df")), 300_000)
     n = docs.agg(F.count("*").alias("n"))
     scored = tf.join(df, "term").join(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1), 6))

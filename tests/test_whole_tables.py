@@ -53,3 +53,15 @@ def test_chain_edges_of_many_suppliers(spark, tmp_path):
     spark.range(25).select(F.col("id").alias("n_nationkey"), (F.col("id") % 5).alias("n_regionkey")).write.parquet(f"{tmp_path}/nation.parquet")
     got = sorted(r["eid"] for r in registry.QUERIES["chain_edges"](spark, str(tmp_path)).collect())
     assert got == sorted([f"b{n}" for n in range(25) if n % 5 == 1] + [f"a{i}" for i in range(60_000) if i % 5 == 1])
+
+
+def test_tfidf_writes_little(spark):
+    """Counted terms are written as compressed columns: as rows they take some fifty bytes each."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    docs = spark.createDataFrame([(i, [f"term{(i * 31 + j * 17) % 3000}" for j in range(200)]) for i in range(200)], "id long, terms array<string>")
+    before = size()
+    assert search.tfidf(docs, "id", "terms").count() == 200 * 5
+    assert 0 < size() - before < 200 * 200 * 20
