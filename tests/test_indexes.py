@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import text_index, vector_index
 
@@ -54,6 +55,20 @@ def test_text_search(spark, monkeypatch):
     assert "PartitionFilters: [bucket" in plan
 
 
+def test_text_search_in_bounded_tasks(spark, monkeypatch, tmp_path):
+    """More documents are more tasks of the build, not larger ones, and a block hands on the best documents of a query instead of all; slices of two queries."""
+    monkeypatch.setattr(text_index, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    for name, value in (("BLOCK_DOCS", 8), ("DEALT", 50), ("SLICE_BITS", 1), ("SLICE", 2), ("GATHERED", 100)):
+        monkeypatch.setattr(text_index, name, value, raising=False)
+    docs, queries = text_docs()[:400], [(i, " ".join(RNG.sample(WORDS, 30))) for i in range(7)]
+    index = text_index.build(spark.createDataFrame(docs, "id long, body string"), "id", "body")
+    files = index.table("postings").groupBy("bucket", F.input_file_name().alias("file")).agg(F.sum(F.size("hits")).alias("n"))
+    assert files.agg(F.max("n")).first()[0] < files.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] / 2
+    got = text_index.search(index, spark.createDataFrame(queries, "q long, text string"), "q", "text", 2).collect()
+    assert sorted((r["query"], r["key"], r["score"], r["rank"]) for r in got) == bm25_by_hand(docs, queries, 2)
+    assert spark.read.parquet(f"file://{tmp_path}/search/first").count() <= 7 * text_index.FIRST_BLOCKS * 4
+
+
 def test_text_search_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, body string")
     index = text_index.build(empty, "id", "body")
