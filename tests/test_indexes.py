@@ -126,6 +126,22 @@ def test_vector_search_hands_on_little(spark):
         assert 150 * 20 <= found.count() <= 150 * 20 * 2 * spark.sparkContext.defaultParallelism
 
 
+def test_vector_search_by_weak_codes(spark, monkeypatch):
+    """Candidates grow until codes find the neighbours, as with more rows; a task that sees the whole table hands on little, and the rows are the same."""
+    monkeypatch.setattr(vector_index, "PARTS", 2)
+    monkeypatch.setattr(vector_index, "CODE_WORDS", 8)
+    x = np.random.default_rng(3).standard_normal((4000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    queries = rows.where("id % 40 = 0")
+    index = vector_index.build(rows, "id", "vector")
+    assert vector_index.recall(index, queries, "id", "vector", num_candidates=200) < 0.9
+    assert vector_index.recall(index, queries, "id", "vector") >= 0.9
+    found = sorted(vector_index.search(index, queries, "id", "vector").collect())
+    monkeypatch.setattr(vector_index, "KEPT", 5 * index.candidates)
+    assert vector_index._probed(index, queries, "id", "vector", index.probes, index.candidates, True, 20).count() == 100 * 20
+    assert sorted(vector_index.search(index, queries, "id", "vector").collect()) == found
+
+
 def test_vector_search_of_nothing(spark):
     empty = spark.createDataFrame([], "id long, vector array<float>")
     index = vector_index.build(empty, "id", "vector")
