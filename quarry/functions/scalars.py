@@ -308,10 +308,10 @@ def burst_zscore(x: Column, history: Column, eps: float = 1e-6) -> Column:
 
 @F.arrow_udf(T.DoubleType())
 def evenness(labels: pa.Array) -> pa.Array:
-    """Entropy of an array's labels by that of as many equally frequent ones, 0 for one label or none; rare labels are added first.
+    """Entropy of an array's labels, null being one, by that of as many equally frequent ones, 0 for one label or none; rare labels are added first.
 
     Spark's ln(3) is one unit in the last place less than the C library's, which scores at a threshold show; so logarithms are Python's."""
-    rows, codes = len(labels), labels.flatten().dictionary_encode()
+    rows, codes = len(labels), labels.flatten().dictionary_encode("encode")
     n = max(1, len(codes.dictionary))
     cells, counts = np.unique(np.repeat(np.arange(rows), labels.value_lengths().fill_null(0).to_numpy()) * n + codes.indices.to_numpy(), return_counts=True)
     order = np.lexsort((counts, cells // n))

@@ -28,12 +28,14 @@ def window_index(date: Column, period_from: str, lookback: int = 12, step: int =
     return F.floor(F.months_between(F.trunc(date, "MM"), first) / step).cast("int")
 
 
-def term_presence(docs: DataFrame, period_from: str, period_to: str, lookback: int = 12, step: int = 1) -> DataFrame:
+def term_presence(docs: DataFrame, period_from: str, period_to: str, lookback: int = 12, step: int = 1, earlier: bool = False) -> DataFrame:
     """(term, win, source, docs) of docs (source, timestamp, terms): documents with a term by window and source.
 
-    A row of a term and document counts once; the shuffle carries counts, not documents."""
+    A row of a term and document counts once; the shuffle carries counts, not documents. With earlier, windows before the lookback
+    count too, numbered from -1 down."""
     first = F.add_months(F.trunc(F.lit(period_from).cast("date"), "MM"), -lookback)
-    inside = docs.where((F.col("timestamp") >= first) & (F.col("timestamp") < F.add_months(F.trunc(F.lit(period_to).cast("date"), "MM"), 1)))
+    inside = docs.where(F.col("timestamp") < F.add_months(F.trunc(F.lit(period_to).cast("date"), "MM"), 1))
+    inside = inside if earlier else inside.where(F.col("timestamp") >= first)
     rows = inside.select("source", window_index(F.col("timestamp"), period_from, lookback, step).alias("win"), F.explode(F.array_distinct("terms")).alias("term"))
     return rows.groupBy("term", "win", "source").agg(F.count("*").alias("docs"))
 
@@ -44,7 +46,9 @@ def term_stats(presence: DataFrame, n_history: int, n_windows: int, min_df: int
     cell = F.lit(1) if mode == "presence" else F.col("docs")
     # dealt by term once: both groupings keep to it; a term has no more rows than windows and sources
     presence = presence.repartition("term")
-    by_window = presence.groupBy("term", "win").agg(F.sum("docs").alias("docs"), F.collect_set("source").alias("sources"))
+    # a missing source is one of its own, which collect_set leaves out
+    missing = F.array_repeat(F.lit(None).cast("string"), F.max(F.col("source").isNull().cast("int")))
+    by_window = presence.groupBy("term", "win").agg(F.sum("docs").alias("docs"), F.concat(F.collect_set("source"), missing).alias("sources"))
     value = cell.cast("double")
     now, before = F.col("win") >= n_history, F.col("win") < n_history
     n_h = float(n_history)
@@ -73,7 +77,8 @@ def weak_signals(stats: DataFrame, n_history: int, threshold: float | Column = 0
     tau = S.mann_kendall(recent)
     scored = stats.withColumn("novelty", S.novelty(F.col("seen"), F.lit(n_history)))
     scored = scored.withColumn("tau", tau).withColumn("velocity", S.velocity(recent, F.col("tau")))
-    rising = F.size(F.array_except("last", F.coalesce("previous", F.array().cast("array<string>"))))
+    # a missing source is never new
+    rising = F.size(F.array_except(F.array_compact("last"), F.coalesce("previous", F.array().cast("array<string>"))))
     coherence = F.when(F.col("previous").isNull() | F.col("last").isNull(), 0.0).otherwise(rising / F.size("last"))
     scored = scored.withColumn("coherence", coherence).withColumn("strength", S.weighted(S.STRENGTH))
     kept = scored.where((F.col("strength") >= threshold) | (F.col("burst") >= theta))
@@ -153,12 +158,12 @@ def signals_of(signals: DataFrame, least: float = 0.0, domain: str | None = None
     return kept.where(F.col("period_from") >= F.lit(since).cast("date")) if since else kept
 
 
-def discover(docs: DataFrame, period_from: str, period_to: str, n_history: int, n_windows: int, related: DataFrame) -> tuple[DataFrame, DataFrame]:
+def discover(docs: DataFrame, period_from: str, period_to: str, n_history: int, n_windows: int, related: DataFrame, earlier: bool = False) -> tuple[DataFrame, DataFrame]:
     """(signals, edges): the weak signals of a period and the network of each with what is related to its term.
 
-    docs as in term_presence; related has term and the lists that graph.signal_network knows, one row for each term. Signals are
+    docs and earlier as in term_presence; related has term and the lists that graph.signal_network knows, one row for each term. Signals are
     written once and read by both."""
-    found = checkpointed(weak_signals(term_stats(term_presence(docs, period_from, period_to, n_history), n_history, n_windows), n_history))
+    found = checkpointed(weak_signals(term_stats(term_presence(docs, period_from, period_to, n_history, earlier=earlier), n_history, n_windows), n_history))
     signals = found.withColumn("period_from", F.lit(period_from).cast("date")).withColumn("period_to", F.lit(period_to).cast("date"))
     return signals, graph.signal_network(found.select("signal_id", "term").join(related, "term"))
 

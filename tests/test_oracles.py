@@ -44,3 +44,25 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+ODD = {
+    "missing source": "SELECT i * 57 % 450 AS doc_id, 't' || chr((97 + i % 26)::INT) AS text, CASE WHEN i % 4 > 0 THEN 's' || i % 3 END AS source FROM range(600) r(i)",
+    "days before the lookback": "SELECT i * 57 % 900 - 450 AS doc_id, 't' || chr((97 + i % 26)::INT) || chr((97 + i // 26 % 5)::INT) AS text, 's' || i % 3 AS source FROM range(600) r(i)",
+    "capital I with a dot": "SELECT i * 57 % 450 AS doc_id, 'İstanbul ABİDE' AS text, 's' || i AS source FROM range(3) r(i)",
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+@pytest.mark.parametrize("name", ["signals_and_network", "weak_signals", "term_window_presence"])
+def test_odd_documents(spark, tmp_path, name, kind):
+    """Sources that are missing, days before the lookback, a letter whose lower case is two in Spark: as SQL has them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY ({ODD[kind]}) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet'")
+    found = con.execute(registry.ORACLES[name])
+    names = [d[0] for d in found.description]
+    rows = sorted(tuple(map(plain, r)) for r in found.fetchall())
+    assert rows and sorted(tuple(plain(r[c]) for c in names) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == rows
